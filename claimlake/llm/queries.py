@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimlake.llm import components
+from claimlake.llm import components, sentences
 from claimlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,16 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return components.consolidate(table(spark, root, "relations", "left_id", "right_id", "relation"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    page = F.concat_ws("#", "doc_id", F.col("page_no").cast("string"))
+    whole = F.when(F.col("doc_id").isNotNull() & F.col("page_no").isNotNull(), page)
+    pages = sentences.split_sentences(table(spark, root, "pages", "doc_id", "page_no", "text"), whole, "text", "pages.text")
+    evidence = table(spark, root, "facts", "fact_id", "evidence")
+    return pages.unionByName(sentences.split_sentences(evidence, F.col("fact_id"), "evidence", "facts.evidence", least=2))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found,)}
+    return {f.__name__: f for f in (p1_found, p3_found)}
 
 
 def oracle_sql() -> dict[str, str]:
