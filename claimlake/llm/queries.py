@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimlake.llm import components, leakage, sentences
+from claimlake.llm import areas, components, leakage, sentences
 from claimlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,12 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.find_leaks(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text"))
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return areas.label_documents(table(spark, root, "documents", "doc_id", "text", "source"), table(spark, root, "area_examples", "area", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
