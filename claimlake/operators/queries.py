@@ -4,14 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimlake.operators import references, skew
+from claimlake.operators import references, skew, unify
 from claimlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _unified(spark: SparkSession, root: str) -> DataFrame:
+    facts = table(spark, root, "facts", "fact_id", "recorded_at", "doc_id", "page_no", "value_start", "display", "value", "unit", "metric_key", "precision", "evidence", "char_start")
+    quantities = table(spark, root, "quantities", "quantity_id", "doc_id", "page_no", "value_start", "raw", "value", "unit", "precision", "unit_context")
+    return unify.unify(facts, quantities, table(spark, root, "pages", "doc_id", "page_no", "text"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return unify.not_in_base(_unified(spark, root))
+
+
+def p2_routes(spark: SparkSession, root: str) -> DataFrame:
+    return _unified(spark, root).groupBy("record_table", "base_unit", "route").agg(F.count("*").alias("n"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return skew.dominant_keys(table(spark, root, "facts"))
 
@@ -29,7 +43,7 @@ def p5_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_key_profile, p5_found, p5_report)}
+    return {f.__name__: f for f in (p2_found, p2_routes, p4_found, p4_key_profile, p5_found, p5_report)}
 
 
 P5 = """
