@@ -162,7 +162,7 @@ def to_base(m: Measure, unit: tuple[str, int, int], scale: int) -> int:
 
 
 _BRACKET = re.compile(r"\(([^()\n]{1,40})\)")
-_ROW_END = re.compile(r"\s[(\-−]?[\d٠-٩०-९][\d.,'٫٬٠-٩०-९]*[)]?%?$")
+_ROW_END = re.compile(r"\s[(\-−]?\d(?:[\d.,'٫٬]*\d)?[)]?%?$")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
 
 
