@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimlake.llm import areas, components, leakage, sentences
+from claimlake.llm import areas, components, leakage, packing, sentences
 from claimlake.sources.tables import table
 
+#: Folder of the public tokenizers' vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,16 +27,36 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return pages.unionByName(sentences.split_sentences(evidence, F.col("fact_id"), "evidence", "facts.evidence", least=2))
 
 
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents", "doc_id", "text")
+    return packing.fill_containers(packing.count_tokens(documents, TOKENIZERS), n_documents=documents.count())
+
+
+def p6_report(spark: SparkSession, root: str) -> DataFrame:
+    return packing.container_report(p6_containers(spark, root))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.find_leaks(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text"))
 
 
+def p7_kept(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that remain after those with leaked items are removed."""
+    documents = table(spark, root, "documents", "doc_id", "source")
+    return documents.join(p7_found(spark, root).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return areas.label_documents(table(spark, root, "documents", "doc_id", "text", "source"), table(spark, root, "area_examples", "area", "text"))
 
 
+def p8_composition(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of each area."""
+    return p8_found(spark, root).groupBy("area").agg(F.count("*").alias("n_docs"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p6_containers, p6_report, p7_found, p7_kept, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
