@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from claimlake.functions import units as U
+from claimlake.plans.sample import smallest_hashes
 from claimlake.plans.scratch import Scratch
 
 #: Labelled records the classifier is fitted on, of which a third calibrates it; every record is classified.
@@ -153,7 +154,7 @@ def _isotonic(score: np.ndarray, right: np.ndarray) -> float:
     return next((b[2] for b in blocks if b[0] / b[1] >= RIGHT), 2.0)
 
 
-def fit_missing_units(features: DataFrame) -> tuple[RandomForestClassificationModel, list[str], float] | None:
+def fit_missing_units(features: DataFrame, n_rows: int) -> tuple[RandomForestClassificationModel, list[str], float] | None:
     """Fit on records whose unit is known without their page: declared beside them, or a count in a sentence.
 
     At most TRAIN of them, those with the smallest hash of their id. Returns the model, the units its classes stand
@@ -162,7 +163,8 @@ def fit_missing_units(features: DataFrame) -> tuple[RandomForestClassificationMo
     spark = features.sparkSession
     unit = F.when(F.col("in_row"), F.split("declared", r"\|")[0]).otherwise("count")
     known = features.where(F.col("own") & (~F.col("in_row") | F.col("declared").isNotNull()))
-    rows = known.select(F.xxhash64("record_table", "record_id").alias("h"), unit.alias("label_unit"), *FEATURES).orderBy("h").limit(TRAIN).collect()
+    known = known.select("record_table", "record_id", unit.alias("label_unit"), *FEATURES)
+    rows = smallest_hashes(known, F.concat_ws("#", "record_table", "record_id"), TRAIN, n_rows).collect()
     names = sorted({r["label_unit"] for r in rows})
     if len(names) < 2:
         return None
@@ -195,8 +197,8 @@ def unify(facts: DataFrame, quantities: DataFrame, pages: DataFrame) -> DataFram
     scratch = Scratch(spark, "units")
     _, once = scratch.write(once)
     bare = _with_declarations(once.where("base_unit is null").drop("base_unit", "base_value"), pages)
-    path, bare = scratch.write(_features(bare))
-    fitted = fit_missing_units(bare)
+    _, bare, n_bare = scratch.write_counting(_features(bare))
+    fitted = fit_missing_units(bare, n_bare)
     if fitted:
         model, names, threshold = fitted
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(bare))
