@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from claimlake.llm.sentences import sentence_spans
+from claimlake.plans.sample import smallest_hashes
 
 #: Documents that the model is fitted on, with at most that many characters altogether. All documents are classified.
 SAMPLE, SAMPLE_CHARS = 4_000, 20_000_000
@@ -260,7 +261,7 @@ def classify(texts: Sequence[str | None], sources: Sequence, model: AreaModel) -
 def fit(documents: DataFrame, examples: DataFrame, sample: int = SAMPLE) -> AreaModel:
     """Fit on the labelled examples and on at most ``sample`` documents, those with the smallest hash of their id."""
     labelled = [(r[0], r[1]) for r in examples.select("area", "text").where("area is not null and length(text) > 0").orderBy("area", "text").collect()]
-    some = documents.select("doc_id", "text", "source").where(F.length("text") > 0).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
+    some = smallest_hashes(documents.select("doc_id", "text", "source").where(F.length("text") > 0), F.col("doc_id"), sample, documents.count())
     texts, sources, room = [], [], SAMPLE_CHARS
     for r in some.toLocalIterator():
         room -= len(r["text"])
