@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 # Words that may stand inside a metric phrase but carry no meaning of their own.
 INTERNAL = "of from in on for to and & per by the a".split()
 # Legal suffixes of company names.
-LEGAL = "limited ltd inc corp corporation company co plc llp llc pvt private gmbh sa ag bv the".split()
+LEGAL = "limited ltd pvt private inc incorporated corp corporation plc llp llc company co".split()
 _TWO60 = 1 << 60
 
 
@@ -40,7 +40,7 @@ def metric_key(phrase: Column) -> Column:
 def subject_key(name: Column) -> Column:
     """A subject in lower case without legal suffixes and punctuation."""
     words = r"(?U)\b(?:" + "|".join(LEGAL) + r")\b\.?"
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), words, " "), r"(?U)[^\w\s]+", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), words, ""), r"(?U)[^\w\s]+", " "), r"(?U)\s+", " "))
 
 
 def short_label(title: Column, filename: Column, width: int = 52) -> Column:

@@ -384,7 +384,7 @@ def fiscal_year(spark, root):
     return days.select("period_start", C.fiscal_year(F.col("period_start")).cast("long").alias("fy"), C.fiscal_quarter(F.col("period_start")).alias("fq"))
 
 
-@query("SELECT DISTINCT subject, trim(regexp_replace(regexp_replace(regexp_replace(lower(subject), '\\b(limited|ltd|inc|corp|corporation|company|co|plc|llp|llc|pvt|private|gmbh|sa|ag|bv|the)\\b\\.?', ' ', 'g'), '[^\\w\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) subject_key FROM source_documents WHERE subject IS NOT NULL")
+@query("SELECT DISTINCT subject, trim(regexp_replace(regexp_replace(regexp_replace(lower(subject), '\\b(limited|ltd|pvt|private|inc|incorporated|corp|corporation|plc|llp|llc|company|co)\\b\\.?', '', 'g'), '[^\\w\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) subject_key FROM source_documents WHERE subject IS NOT NULL")
 def subject_key(spark, root):
     return table(spark, root, "source_documents", "subject").where("subject is not null").distinct().select("subject", C.subject_key(F.col("subject")).alias("subject_key"))
 
