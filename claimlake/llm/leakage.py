@@ -48,7 +48,7 @@ def normal_words(text: str, known: dict | None = None, compounds: dict | None =
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if "&" in text:
-        text = html.unescape(text).replace("\xad", "").replace("​", "")
+        text = html.unescape(text).replace("\xad", "").replace("\u200b", "")
     if "-" in text or "‐" in text:
 
         def mend(m: re.Match) -> str:
