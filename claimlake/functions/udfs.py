@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from claimlake.functions import facts as X, metrics, periods, qualifiers, quantities, text as N
+from claimlake.plans.spread import spread
 
 S, I, D = T.StringType(), T.IntegerType(), T.DoubleType()  # noqa: E741
 
@@ -110,7 +111,7 @@ def extract_facts(pages: DataFrame, documents: DataFrame) -> DataFrame:
     from claimlake.functions import columns as C
 
     subjects = documents.select("doc_id", F.coalesce("subject", "title").alias("doc_subject"))
-    found = pages.select("doc_id", "page_no", "text").join(subjects, "doc_id", "left").select("doc_id", "page_no", F.inline(facts_on_page("text", "doc_subject")))
+    found = spread(pages.select("doc_id", "page_no", "text"), "doc_id", "page_no").join(subjects, "doc_id", "left").select("doc_id", "page_no", F.inline(facts_on_page("text", "doc_subject")))
     keyed = found.withColumns({"fact_id": C.fact_id(*(F.col(c) for c in ("doc_id", "page_no", "value_start", "value_end", "metric"))), "kind": F.lit("quantity"), "extractor": F.lit("rules")})
     return keyed.dropDuplicates(["fact_id"])
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from claimlake.functions import units as U
 from claimlake.plans.sample import smallest_hashes
 from claimlake.plans.scratch import Scratch
+from claimlake.plans.spread import spread
 
 #: Labelled records the classifier is fitted on, of which a third calibrates it; every record is classified.
 TRAIN = 12_000
@@ -190,13 +191,13 @@ def unify(facts: DataFrame, quantities: DataFrame, pages: DataFrame) -> DataFram
     * Empty tables give empty results; other columns are ignored. Results beyond a bigint are null.
     """
     spark = facts.sparkSession
-    written = fact_records(facts).unionByName(quantity_records(quantities)).where(F.col("record_id").isNotNull() & (F.length("written") > 0))
+    written = fact_records(spread(facts, "fact_id")).unionByName(quantity_records(spread(quantities, "quantity_id"))).where(F.col("record_id").isNotNull() & (F.length("written") > 0))
     read = written.mapInPandas(_read, RECORD).where("mantissa is not null")
     rest = [c for c in read.columns if c not in ("record_table", "record_id", "arrived")]
     once = read.groupBy("record_table", "record_id").agg(F.min(F.struct("arrived", *rest)).alias("_r")).select("record_table", "record_id", "_r.*")
     scratch = Scratch(spark, "units")
     _, once = scratch.write(once)
-    bare = _with_declarations(once.where("base_unit is null").drop("base_unit", "base_value"), pages)
+    bare = _with_declarations(once.where("base_unit is null").drop("base_unit", "base_value"), spread(pages, "doc_id", "page_no"))
     _, bare, n_bare = scratch.write_counting(_features(bare))
     fitted = fit_missing_units(bare, n_bare)
     if fitted:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from claimlake.functions import columns as C, udfs as U
 from claimlake.operators import concepts as K, layout as L, refine as RF, search as FT
 from claimlake.sources import claims as T
+from claimlake.plans.spread import spread
 from claimlake.sources.tables import table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -198,16 +199,17 @@ def metric_phrase(spark, root):
 @query()
 def extract_facts_pages(spark, root):
     """Facts of all pages as they are, with the subjects of their documents."""
-    return U.extract_facts(T.pages(spark, root), T.documents(spark, root, "subject", "title")).select("fact_id", "doc_id", "page_no", "metric", "value", "unit", "period_label", "confidence")
+    return U.extract_facts(table(spark, root, "pages", "doc_id", "page_no", "text"), T.documents(spark, root, "subject", "title")).select("fact_id", "doc_id", "page_no", "metric", "value", "unit", "period_label", "confidence")
 
 
 @query("SELECT count(*) n_pages, 0::BIGINT n_bad FROM (SELECT DISTINCT doc_id, page_no FROM pages)")
 def grounded_facts(spark, root):
     """Pages with a fact whose evidence or display is not the text at its offsets: none."""
-    p = T.pages(spark, root)
+    p = spread(table(spark, root, "pages", "doc_id", "page_no", "text"), "doc_id", "page_no")
     f = U.facts_on_page("text", F.lit("x"))
     bad = lambda x: (F.col("text").substr(x["char_start"] + 1, x["char_end"] - x["char_start"]) != x["evidence"]) | (F.trim(F.regexp_replace(F.col("text").substr(x["value_start"] + 1, x["value_end"] - x["value_start"]), r"^\s+|\s+$", "")) != x["display"])
-    return p.select("text", f.alias("f")).agg(F.count("*").alias("n_pages"), F.count_if(F.exists("f", bad)).alias("n_bad"))
+    judged = p.select("doc_id", "page_no", "text", f.alias("f")).select("doc_id", "page_no", F.exists("f", bad).alias("bad"))
+    return judged.groupBy("doc_id", "page_no").agg(F.bool_or("bad").alias("bad")).agg(F.count("*").alias("n_pages"), F.count_if("bad").alias("n_bad"))
 
 
 # --- text --------------------------------------------------------------------------------------------------------
@@ -378,7 +380,7 @@ def _tiles(spark: SparkSession, root: str) -> DataFrame:
     doc, page, k = F.concat(F.lit("t"), F.floor(n / 1000).cast("string")), F.floor(n % 1000 / 10).cast("int"), n % 10
     y = 140.0 + k * 30.0
     piece = lambda i, x0, x1, at, text: F.struct(F.lit(i).alias("i"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), at.alias("y0"), text.alias("text"))
-    body = F.array(piece(0, 60.0, 140.0, y, F.concat(F.lit("1,"), F.lpad((F.col("p_size") + 100).cast("string"), 3, "0"))), piece(1, 60.0, 140.0, y + 15.0, F.concat(F.lit("Orders of part "), F.col("p_partkey").cast("string"))))
+    body = F.array(piece(0, 60.0, 140.0, y, F.concat(F.lit("1,"), F.lpad((F.col("p_size") + 100).cast("string"), 3, "0"))), piece(1, 60.0, 140.0, y + 12.0, F.concat(F.lit("Orders of part "), F.col("p_partkey").cast("string"))))
     heads = F.when(k == 0, F.array(piece(2, 60.0, 140.0, F.lit(110.0), F.lit("FY24 consolidated")))).otherwise(F.array().cast("array<struct<i:int,x0:double,x1:double,y0:double,text:string>>"))
     rows = p.select(doc.alias("doc_id"), page.alias("page_no"), (k * 3).cast("int").alias("base"), F.explode(F.concat(body, heads)).alias("e"))
     return rows.select("doc_id", "page_no", F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"), (F.col("base") + F.col("e.i")).alias("line_no"), "e.x0", "e.y0", "e.x1", (F.col("e.y0") + 10.0).alias("y1"), "e.text")
