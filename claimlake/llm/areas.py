@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from claimlake.llm.sentences import sentence_spans
 from claimlake.plans.sample import smallest_hashes
+from claimlake.plans.spread import spread
 
 #: Documents that the model is fitted on, with at most that many characters altogether. All documents are classified.
 SAMPLE, SAMPLE_CHARS = 4_000, 20_000_000
@@ -296,4 +297,4 @@ def label_documents(documents: DataFrame, examples: DataFrame, sample: int = SAM
                 pairs = [(d, a) for d, areas in zip(part["doc_id"], found) for a in areas]
                 yield pd.DataFrame(pairs, columns=["doc_id", "area"])
 
-    return documents.select("doc_id", "text", "source").where(F.length("text") > 0).mapInPandas(run, schema)
+    return spread(documents.select("doc_id", "text", "source"), "doc_id").where(F.length("text") > 0).mapInPandas(run, schema)

@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from claimlake.plans.spread import spread
+
 #: Words in a row that make a leak, words of which one may be replaced, and the n-gram whose size follows from both.
 RUN, PER_REPLACED, GRAM = 20, 10, 6
 #: Items are sent to every worker only up to this much text; more are searched in several passes of this size.
@@ -194,6 +196,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     spark = documents.sparkSession
     wanted = items.select(item_id, item_text).distinct()
     size = wanted.agg(F.sum(F.length(item_text))).first()[0] or 0
+    documents = spread(documents.select(doc_id, text), doc_id)
     passes = -(-size // ITEM_CHARS) or 1
     schema = documents.select(F.col(doc_id).alias("doc_id")).schema.add("item_id", items.schema[item_id].dataType)
     found = None

@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from claimlake.plans.spread import spread
+
 CAPACITY = 2_048
 #: Documents to a shard: enough that the containers a shard leaves open are few among those it fills.
 SHARD = 50_000
@@ -97,7 +99,7 @@ def count_tokens(documents: DataFrame, folder: str, name: str = VOCABULARY) -> D
     def tokens(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: token_count(t, folder, name)).astype("int64")
 
-    return documents.where(F.length("text") > 0).select("doc_id", tokens("text").alias("n_tokens")).where("n_tokens > 0")
+    return spread(documents.select("doc_id", "text"), "doc_id").where(F.length("text") > 0).select("doc_id", tokens("text").alias("n_tokens")).where("n_tokens > 0")
 
 
 def fill_containers(sized: DataFrame, capacity: int = CAPACITY, n_documents: int | None = None) -> DataFrame:
