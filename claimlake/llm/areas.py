@@ -30,6 +30,56 @@ PARTS = 4
 BEAM, PROPOSES = 6, 1e-4
 ROUNDS = 5
 
+# Frequent words that tell a language written in Latin letters; scripts tell the others.
+FUNCTION_WORDS = {
+    "en": "the of and by was with said had at for to from this that is are were on as",
+    "de": "im zu von bei und das der die den dem ein eine ist sich auf für mit nach",
+    "fr": "sur le les des est et du une dans pour rien sous depuis au que n'est",
+    "es": "el los del un una sin ni hay sobre por con las y su que no",
+}
+SCRIPTS = {"hi": "\u0900-\u097f", "ja": "\u3040-\u30ff", "zh": "\u3400-\u9fff", "th": "\u0e00-\u0e7f", "ar": "\u0600-\u06ff"}
+# A glossary of subject words in general use, by area and language. It seeds areas of which the labelled
+# examples have no text in that language; words stand for all that begin with them (in German, Hindi and Chinese, hold them).
+GLOSSARY = {
+    "transport": {
+        "de": "fracht liefer güter paket spedition lager hafen bahn lkw logistik verkehr", "fr": "fret colis livraison train marchandise entrepôt port camion logistique", "es": "carga camion reparto tren puerto paquete almacén logística",
+        "hi": "माल पार्सल ट्रक बंदरगाह गोदाम रेल परिवहन", "zh": "货运 包裹 配送 集装箱 物流 铁路 港口 仓库 运输",
+    },
+    "banking": {
+        "de": "kredit bank einlage hypothek darlehen zins konto filiale", "fr": "crédit banque bancaire prêt dépôt hypothécaire épargne", "es": "crédito banco bancari préstamo depósito hipotecari",
+        "hi": "बैंक ऋण जमा ब्याज", "zh": "贷款 存款 银行 信贷 利率 储蓄",
+    },
+    "economy": {
+        "de": "handel inflation haushalt steuer wirtschaft bruttoinland preisindex verbraucherpreis export import defizit", "fr": "commerce inflation budgétaire impôt intérieur prix déficit économi", "es": "comercio inflación presupuesto fiscal impuesto interno interior precios déficit economía",
+        "hi": "राजकोषीय व्यापार मूल्य सूचकांक घरेलू महँगाई अर्थव्यवस्था", "zh": "财政 贸易 物价 总产出 通胀 税收 经济 预算",
+    },
+    "energy": {
+        "de": "strom kraftwerk gas kohle wind solar turbine energie", "fr": "électri centrale gaz charbon gazoduc éolien solaire énergie", "es": "eléctric gas gasoducto carbón eólic solar energía",
+        "hi": "बिजली गैस कोयला सौर ऊर्जा पवन विद्युत", "zh": "电网 电站 发电 天然气 燃煤 太阳能 风电 能源 煤炭 电力",
+    },
+    "farming": {
+        "de": "ernte weizen vieh milch saat bewässerung dünger landwirt getreide", "fr": "récolte blé troupeau laitier semence irrigation engrais agricole", "es": "cosecha trigo ganado lechero semilla riego fertilizante agrícola",
+        "hi": "फसल गेहूँ बीज सिंचाई दुग्ध पशु कृषि उर्वरक", "zh": "奶牛 灌溉 小麦 收成 种子 农 牧场 化肥 粮食",
+    },
+    "health": {
+        "de": "krankenhaus patient impf klinik pflege arzt medikament gesundheit", "fr": "hôpital vaccin patient soins infirmi clinique médic santé", "es": "hospital vacuna paciente enfermer clínica médic salud",
+        "hi": "अस्पताल टीका रोगी मरीज नर्स दवा स्वास्थ्य", "zh": "医院 疫苗 患者 护理 病床 医疗 药",
+    },
+    "law": {
+        "de": "gericht urteil klage gesetz vertrag schied anwalt", "fr": "cour tribunal pénal arrêt appel arbitr juge contrat", "es": "tribunal penal sentencia apelación arbitra laudo juez ley contrato",
+        "hi": "न्यायालय दंड अपील मध्यस्थ कानून अनुबंध", "zh": "法院 仲裁 刑法 上诉 合同 法律 诉讼",
+    },
+    "software": {
+        "de": "software quellcode daten server netzwerk cloud programm", "fr": "logiciel code données serveur nuage informatique", "es": "software código datos servidor nube programa",
+        "hi": "सर्वर डेटा कोड सॉफ्टवेयर क्लाउड", "zh": "服务器 数据库 代码 软件 程序 网络",
+    },
+}
+#: A term in more than this share of a language's sentences belongs to no area; without evidence a sentence has none.
+COMMON, NONE_BIAS = 0.12, 0.3
+
+_TELL = {w: lang for lang, ws in FUNCTION_WORDS.items() for w in ws.split() if sum(w in x.split() for x in FUNCTION_WORDS.values()) == 1}
+_SCRIPT = [(lang, re.compile(f"[{chars}]")) for lang, chars in SCRIPTS.items()]
+_HOLDING = ("de", "hi", "zh")  # languages whose compounds hold a glossary word anywhere
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*>")
 _INLINE = frozenset("b i u em strong span a font mark small sub sup code".split())
 _MARK = re.compile(r"(?m)^\s*(?:[-*•·]|\d+[.)]|#+|>)\s+|[*_`]{1,3}(?=\S)|(?<=\S)[*_`]{1,3}")
@@ -51,8 +101,21 @@ def plain_text(text: str) -> str:
     return text
 
 
+def language(sentence: str, words: Sequence[str]) -> str:
+    """Language of a sentence by its script, else by its frequent words; English where nothing tells."""
+    if not sentence.isascii():
+        for lang, script in _SCRIPT:
+            if script.search(sentence):
+                return lang
+    told = Counter(_TELL[w] for w in words if w in _TELL)
+    return max(told, key=lambda k: (told[k], k == "en"), default="en")
+
+
 def sentence_terms(text: str | None) -> list[list[str]]:
-    """Words, pairs of words and, in scripts without spaces, pieces of two to four characters, for each sentence."""
+    """Words, pairs of words and, in scripts without spaces, pieces of two to four characters, for each sentence.
+
+    Terms of other languages than English carry its mark, so that languages do not share statistics.
+    """
     if not text:
         return []
     clean = plain_text(text)
@@ -66,7 +129,8 @@ def sentence_terms(text: str | None) -> list[list[str]]:
             for w in words:
                 if len(w) > 2 and _CJK.match(w):
                     terms += [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-        out.append(terms)
+        lang = language(clean[a:b], words)
+        out.append(terms if lang == "en" else [f"{lang}:{t}" for t in terms])
     return out
 
 
@@ -98,6 +162,7 @@ def _evidence(s: np.ndarray, t: np.ndarray, n: int, weights: np.ndarray) -> np.n
 def _posterior(evidence: np.ndarray, doc: np.ndarray, n_docs: int, rounds: int = 3) -> np.ndarray:
     """Class probabilities of sentences under a mixture of classes that each document has for itself."""
     k = evidence.shape[1]
+    evidence = evidence + np.where(np.arange(k) == k - 1, NONE_BIAS, 0.0)
     base = evidence - evidence.max(1, keepdims=True)
     share = np.full((n_docs, k), 1 / k)
     for _ in range(rounds):
@@ -108,16 +173,39 @@ def _posterior(evidence: np.ndarray, doc: np.ndarray, n_docs: int, rounds: int =
     return p if len(base) else base
 
 
-def _term_weights(counts: np.ndarray) -> np.ndarray:
-    """Log ratio of a term's rate in a class to its rate overall; terms that tell nothing get nothing."""
-    rate = (counts + 0.05) / (counts.sum(0) + 0.05 * len(counts))
-    over = rate / rate.mean(1, keepdims=True)
-    certain = counts.sum(1, keepdims=True) / (counts.sum(1, keepdims=True) + 2.0)
-    w = np.clip(np.log(over), -3, 3) * certain
+def _term_weights(counts: np.ndarray, tongue: np.ndarray) -> np.ndarray:
+    """Log ratio of a term's rate in a class to its rate overall, within its language; terms that tell nothing get nothing."""
+    w = np.zeros_like(counts)
+    for lang in np.unique(tongue):
+        own = counts[tongue == lang]
+        # classes that a language hardly shows borrow its overall rate, so its frequent words do not speak for them
+        overall = (own.sum(1, keepdims=True) + 0.05) / (own.sum() + 0.05 * len(own))
+        rate = (own + 0.05 + 20 * overall) / (own.sum(0) + 0.05 * len(own) + 20)
+        certain = own.sum(1, keepdims=True) / (own.sum(1, keepdims=True) + 2.0)
+        w[tongue == lang] = np.clip(np.log(rate / rate.mean(1, keepdims=True)), -3, 3) * certain
     return np.where(w.max(1, keepdims=True) - w.min(1, keepdims=True) < 0.5, 0, w)
 
 
-def _first_classes(s: np.ndarray, t: np.ndarray, doc: np.ndarray, n: int, n_docs: int, pure: np.ndarray) -> np.ndarray:
+def _language_of(term: str) -> str:
+    head, mark, _ = term.partition(":")
+    return head if mark else "en"
+
+
+def glossary_area(term: str, areas: Sequence[str]) -> int | None:
+    """The area whose glossary word is the longest in a single word of another language; None for none and for ties."""
+    lang, mark, word = term.partition(":")
+    if not mark or " " in word:
+        return None
+    best: dict[int, int] = {}
+    for i, area in enumerate(areas):
+        for known in GLOSSARY.get(area, {}).get(lang, "").split():
+            if known in word if lang in _HOLDING else word.startswith(known):
+                best[i] = max(best.get(i, 0), len(known))
+    top = [i for i, n in best.items() if n == max(best.values())]
+    return top[0] if len(top) == 1 else None
+
+
+def _first_classes(s: np.ndarray, t: np.ndarray, doc: np.ndarray, n: int, n_docs: int, pure: np.ndarray, common: np.ndarray) -> np.ndarray:
     """First classes of unlabelled sentences: by terms of one area alone, else by terms that stand only in documents
     of one area, else none. General remarks stand in documents of all areas, so none of their terms is telling."""
 
@@ -134,7 +222,7 @@ def _first_classes(s: np.ndarray, t: np.ndarray, doc: np.ndarray, n: int, n_docs
     beside = by_doc[doc[s]]
     company = np.stack([np.bincount(t, beside[:, j], len(pure)) for j in range(k)], 1)
     total = company.sum(1)
-    telling = (company.max(1) >= 0.85 * total) & (total >= 3)
+    telling = (company.max(1) >= 0.85 * total) & (total >= 3) & ~common
     wider = np.zeros_like(pure)
     wider[telling, company[telling].argmax(1)] = np.log1p(total[telling])
     q, hinted = classes(wider)
@@ -163,13 +251,21 @@ def fit_terms(examples: Sequence[tuple[str, str]], texts: Sequence[str]) -> Area
     # first round: terms that examples of one area alone have; a sentence without any tells of nothing
     total = gold.sum(1)
     pure = np.zeros((size, k))
-    sure = (gold.max(1) >= 0.9 * total) & (total > 1)
+    tongue = np.array([_language_of(t) for t in vocabulary])
+    spoken = Counter(_language_of(terms[0]) for terms in unlabelled)
+    seen_in = np.bincount(ut, minlength=size) if len(ut) else np.zeros(size)
+    common = seen_in > COMMON * np.array([max(spoken[t], 25) for t in tongue])
+    sure = (gold.max(1) >= 0.9 * total) & (total > 1) & ~common
     pure[sure, gold[sure].argmax(1)] = np.log1p(total[sure])
-    p = _first_classes(us, ut, doc, len(unlabelled), len(by_doc), pure)
+    for term, i in vocabulary.items():
+        if not sure[i] and not common[i] and (area := glossary_area(term, areas)) is not None:
+            pure[i, area] = 1.0
+    p = _first_classes(us, ut, doc, len(unlabelled), len(by_doc), pure, common)
     weights = pure
     for _ in range(ROUNDS):
         counts = 3 * gold + np.stack([np.bincount(ut, p[us, j], size) for j in range(k)], 1)
-        weights = _term_weights(counts)
+        weights = _term_weights(counts, tongue)
+        weights[common] = 0
         if len(unlabelled):
             p = _posterior(_evidence(us, ut, len(unlabelled), weights), doc, len(by_doc))
     return AreaModel(areas, vocabulary, weights)
