@@ -23,6 +23,8 @@ from claimlake.plans.spread import spread
 
 #: Labelled records the classifier is fitted on, of which a third calibrates it; every record is classified.
 TRAIN = 12_000
+#: With fewer labelled records nothing is predicted and every record without a unit goes to review.
+LEAST_TRAIN = 9
 TREES, DEPTH, CATEGORIES = 15, 7, 48
 #: A prediction is confident where held-out records at its probability are right at least this often.
 RIGHT = 0.98
@@ -159,7 +161,7 @@ def fit_missing_units(features: DataFrame, n_rows: int) -> tuple[RandomForestCla
     """Fit on records whose unit is known without their page: declared beside them, or a count in a sentence.
 
     At most TRAIN of them, those with the smallest hash of their id. Returns the model, the units its classes stand
-    for and the calibrated threshold; None where fewer than two units are known.
+    for and the calibrated threshold; None where fewer than two units or LEAST_TRAIN records are known.
     """
     spark = features.sparkSession
     unit = F.when(F.col("in_row"), F.split("declared", r"\|")[0]).otherwise("count")
@@ -167,9 +169,12 @@ def fit_missing_units(features: DataFrame, n_rows: int) -> tuple[RandomForestCla
     known = known.select("record_table", "record_id", unit.alias("label_unit"), *FEATURES)
     rows = smallest_hashes(known, F.concat_ws("#", "record_table", "record_id"), TRAIN, n_rows).collect()
     names = sorted({r["label_unit"] for r in rows})
-    if len(names) < 2:
+    if len(names) < 2 or len(rows) < LEAST_TRAIN:
         return None
+    names += [f"none {i}" for i in range(len(names), 3)]  # with two classes the model would hold a summary that no task can be sent
+    known_classes = {"ml_attr": {"type": "nominal", "name": "label", "vals": names}}
     data = spark.createDataFrame([(float(names.index(r["label_unit"])), i % 3 == 0, *(r[f] for f in FEATURES)) for i, r in enumerate(rows)], ["label", "held", *FEATURES]).repartition(4)
+    data = data.withColumn("label", F.col("label").alias("label", metadata=known_classes))
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(data)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=7, cacheNodeIds=False).fit(assembled.where("not held"))
     held = model.transform(assembled.where("held")).select((F.col("prediction") == F.col("label")).cast("double").alias("right"), F.array_max(vector_to_array("probability")).alias("p")).collect()

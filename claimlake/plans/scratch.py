@@ -7,6 +7,8 @@ tests) a temporary folder of this machine is used, which is safe only because su
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,12 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables of one run below the shared folder; superseded ones are removed with :meth:`drop`."""
+    """Intermediate tables of one run below the shared folder.
+
+    Superseded tables are removed with :meth:`drop`; what a result still reads stays until the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(self._clear)
+
+    def _clear(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self.drop(self.root)
 
     def write(self, df: DataFrame) -> tuple[str, DataFrame]:
         """Write ``df`` and return its path and a frame that reads it back without the old lineage."""
