@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from claimlake.functions import facts as X, metrics, periods, qualifiers, quantities, text as N
 from claimlake.plans.spread import spread
@@ -123,3 +123,17 @@ def detect_subjects(pages: DataFrame, documents: DataFrame) -> DataFrame:
     votes = texts.select("doc_id", F.explode(subject_votes("text", "page_no")).alias("name", "n")).groupBy("doc_id", "name").agg(F.sum("n").alias("n"))
     best = F.min_by(F.struct("name", "n"), F.struct(-F.col("n"), -F.size(F.split("name", " ")), F.col("name"))).alias("b")
     return votes.groupBy("doc_id").agg(best).select("doc_id", F.col("b.name").alias("subject"), F.col("b.n").alias("score"))
+
+
+def register(spark: SparkSession) -> None:
+    """Offer the kernels in SQL, and facts of a text as a table function: ``SELECT * FROM extract_facts('...')``."""
+    for f in (normalise_text, units, find_periods, earlier_periods, find_quantities, find_qualifiers, declared_unit, denominator, metric_tokens):
+        spark.udf.register(f.__name__, f)
+
+    @F.udtf(returnType="metric: string, value: double, unit: string, display: string, period_label: string, confidence: double")
+    class ExtractFacts:
+        def eval(self, text: str):
+            for f in X.facts_on_page(text, None):
+                yield f.metric, f.value, f.unit, f.display, f.period.label if f.period else None, f.confidence
+
+    spark.udtf.register("extract_facts", ExtractFacts)

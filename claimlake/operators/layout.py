@@ -49,6 +49,18 @@ def reading_order(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "page_no").applyInPandas(build, ORDER)
 
 
+def visual_rows(lines: DataFrame) -> DataFrame:
+    """``(doc_id, page_no, row_no, text, n_cells)``: pieces of one baseline joined, in reading order."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, rows = _lines(pdf)
+        order, leaf, _ = L.reading_order(rows, pdf["page_w"].iloc[0], pdf["page_h"].iloc[0])
+        found = L.visual_rows([rows[i] for i in order], [leaf[i] for i in order])
+        return pd.DataFrame([(pdf["doc_id"].iloc[0], pdf["page_no"].iloc[0], n, r.text, len(r.cells)) for n, r in enumerate(found)], columns=["doc_id", "page_no", "row_no", "text", "n_cells"])
+
+    return lines.groupBy("doc_id", "page_no").applyInPandas(build, "doc_id string, page_no int, row_no int, text string, n_cells int")
+
+
 def gutters(lines: DataFrame) -> DataFrame:
     """``(doc_id, page_no, middle, width)`` of the widest channel of each page that has one."""
 

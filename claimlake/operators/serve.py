@@ -8,8 +8,10 @@ from claimlake.functions import columns as C
 
 # Dimensions in the order in which a report looks for reconciled cases.
 CASE_ORDER = "consolidation vintage price_basis publication adjustment aggregation period".split()
-# Scale words that tell two displays apart, currencies aside.
-SCALE_WORDS = "thousand lakh lakhs lac lacs million mn mm crore crores cr billion bn trillion tn trn k".split()
+# Currency names, which are notation and not scale.
+CURRENCY_WORDS = "rs inr usd us eur gbp".split()
+# Units whose facts compare with nothing in other documents.
+INCOMPARABLE = "count unknown".split()
 
 
 def support(facts: DataFrame) -> DataFrame:
@@ -85,13 +87,13 @@ def stats(documents: DataFrame, pages: DataFrame, facts: DataFrame, concepts: Da
     return out.unionByName(documents.groupBy(F.concat(F.lit("collection "), "collection").alias("measure")).agg(F.count("*").alias("n")))
 
 
-def diagnostics(facts: DataFrame, pages: DataFrame, comparable: list[str]) -> DataFrame:
+def diagnostics(facts: DataFrame, pages: DataFrame) -> DataFrame:
     """The self-audit: facts without a period, with one-word metrics, with units that compare with nothing; reordered pages."""
     audit = facts.agg(
         F.count("*").alias("n_facts"),
         F.count_if(F.length(F.coalesce("period_label", F.lit(""))) == 0).alias("no_period"),
         F.count_if(~F.coalesce("metric_key", F.lit("")).contains(" ")).alias("one_word_metric"),
-        F.count_if(~F.coalesce("unit", F.lit("")).isin(comparable)).alias("incomparable_unit"),
+        F.count_if(F.col("unit").isin(INCOMPARABLE)).alias("incomparable_unit"),
     )
     return audit.crossJoin(F.broadcast(pages.agg(F.count_if(F.col("n_columns") > 1).alias("reordered_pages"), F.count("*").alias("n_pages"))))
 
@@ -136,8 +138,13 @@ def clarity() -> Column:
 
 
 def scale_words(display: Column) -> Column:
-    tokens = F.split(F.trim(F.regexp_replace(F.lower(display), r"[^a-z]+", " ")), " ")
-    return F.array_sort(F.array_distinct(F.filter(tokens, lambda w: w.isin(SCALE_WORDS))))
+    """Words of a display that are no currency, in order: what tells its scale and unit."""
+    words = F.transform(F.split(F.trim(display), r"[\s\u00a0\u2009\u202f]+"), F.lower)
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\p{L}+$") & ~w.isin(CURRENCY_WORDS))))
+
+
+def _by_rank() -> list[Column]:
+    return [F.desc("weight"), F.desc("confidence"), F.col("relation_id")]
 
 
 def report_corroboration(joined: DataFrame, facts: DataFrame, pool: int = 40) -> DataFrame:
@@ -146,27 +153,41 @@ def report_corroboration(joined: DataFrame, facts: DataFrame, pool: int = 40) ->
     shown = facts.select("fact_id", "display")
     with_display = best.join(shown.select(F.col("fact_id").alias("left_id"), F.col("display").alias("ld")), "left_id").join(shown.select(F.col("fact_id").alias("right_id"), F.col("display").alias("rd")), "right_id")
     differs = F.when((F.col("basis") == "value_bridge") & (scale_words(F.col("ld")) != scale_words(F.col("rd"))), 0).when(F.col("basis") == "value_bridge", 1).otherwise(2)
-    return with_display.withColumn("choice", differs).orderBy("choice", F.desc("weight"), F.desc("confidence"), "relation_id").limit(1).select("relation_id", "choice")
+    return with_display.withColumn("choice", differs).orderBy("choice", *_by_rank()).limit(1).select("relation_id", "choice")
+
+
+def _with_plausible(joined: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds ``plausible``: both values are known, not zero, and within a ratio of five."""
+    v = facts.select("fact_id", F.abs("value").alias("v"))
+    valued = joined.join(v.toDF("left_id", "lv"), "left_id", "left").join(v.toDF("right_id", "rv"), "right_id", "left")
+    near = (F.col("lv") > 0) & (F.col("rv") > 0) & (F.greatest("lv", "rv") <= F.least("lv", "rv") * 5)
+    return valued.withColumn("plausible", F.coalesce(near, F.lit(False)))
+
+
+def _clearest() -> list[Column]:
+    """In one wording first, then the clearest, then by rank."""
+    return [F.desc(F.col("l_metric_key").eqNullSafe(F.col("r_metric_key"))), clarity(), *_by_rank()]
 
 
 def report_contradiction(joined: DataFrame, facts: DataFrame, pool: int = 60) -> DataFrame:
-    """The contradiction to show: within a ratio of five, clear, in the same words; across documents where there is one."""
+    """The contradiction to show: of the best across documents, or of all where there is none, a plausible and clear one."""
     kind = filtered(joined, "contradicts").withColumn("across", (F.col("l_doc_id") != F.col("r_doc_id")).cast("int"))
-    best = kind.orderBy(F.desc("across"), F.desc("weight"), F.desc("confidence"), "relation_id").limit(pool)
-    v = facts.select("fact_id", "value")
-    valued = best.join(v.select(F.col("fact_id").alias("left_id"), F.abs("value").alias("lv")), "left_id", "left").join(v.select(F.col("fact_id").alias("right_id"), F.abs("value").alias("rv")), "right_id", "left")
-    near = F.coalesce(F.greatest("lv", "rv") <= F.least("lv", "rv") * 5, F.lit(False))
-    order = [F.desc("across"), F.desc(near), clarity(), F.desc(F.col("l_metric_key").eqNullSafe(F.col("r_metric_key"))), F.desc("weight"), F.desc("confidence"), "relation_id"]
-    return valued.orderBy(*order).limit(1).select("relation_id", "across")
+    best = kind.orderBy(F.desc("across"), *_by_rank()).limit(pool)
+    return _with_plausible(best, facts).orderBy(F.desc("across"), F.desc("plausible"), *_clearest()).limit(1).select("relation_id", "across")
 
 
-def report_reconciled(joined: DataFrame, top: int = 3) -> DataFrame:
-    """Up to three reconciled pairs, one for each of the first dimensions that have one; a pair differing on it alone is preferred."""
+def report_reconciled(joined: DataFrame, facts: DataFrame, top: int = 3, pool: int = 60) -> DataFrame:
+    """Up to three reconciled pairs, for the first dimensions that have one: plausible pairs differing on it alone go first.
+
+    A pair shown for one dimension is not shown for a later one, which then goes without.
+    """
     place = F.create_map(*(F.lit(x) for i, d in enumerate(CASE_ORDER) for x in (d, i)))
-    rows = filtered(joined, "reconciled_by_context").select("relation_id", "weight", "confidence", "dimensions", F.explode(F.array_distinct("dimensions")).alias("dimension"))
-    rows = rows.withColumns({"place": F.try_element_at(place, F.col("dimension")), "alone": (F.size("dimensions") == 1).cast("int")}).where("place is not null")
-    best = rows.groupBy("place", "dimension").agg(F.max_by("relation_id", F.struct("alone", "weight", "confidence", "relation_id")).alias("relation_id"))
-    once = best.groupBy("relation_id").agg(F.min(F.struct("place", "dimension")).alias("p")).select("relation_id", "p.*")
+    rows = filtered(joined, "reconciled_by_context").withColumn("dimension", F.explode(F.array_distinct("dimensions")))
+    rows = rows.withColumn("place", F.try_element_at(place, F.col("dimension"))).where("place is not null")
+    rows = rows.withColumn("rk", F.row_number().over(Window.partitionBy("place").orderBy(*_by_rank()))).where(F.col("rk") <= pool)
+    tier = F.when(F.col("plausible") & (F.size("dimensions") == 1), 0).when(F.col("plausible"), 1).otherwise(2)
+    chosen = _with_plausible(rows, facts).withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy(tier, *_clearest()))).where("n = 1")
+    once = chosen.groupBy("relation_id").agg(F.min(F.struct("place", "dimension")).alias("p")).select("relation_id", "p.*")
     return once.orderBy("place").limit(top).select("dimension", "relation_id")
 
 

@@ -11,7 +11,6 @@ from claimlake.operators import concepts as K, relate as R, serve as S
 from claimlake.sources import claims as T
 from claimlake.sources.tables import table
 
-COMPARABLE = "INR USD EUR GBP percent percentage_point tonne".split()
 SIZES = {"corroborates": 8, "contradicts": 8, "reconciled_by_context": 10, "part_of": 5, "consistent_across_context": 5}
 
 #: Common tables of the SQL: each key once, by the same rules as claimlake.sources.claims.
@@ -297,9 +296,9 @@ def documents_listing(spark, root):
     return S.documents_listing(T.documents(spark, root), T.facts(spark, root, "doc_id"))
 
 
-@query(BASE + "SELECT (SELECT count(*) FROM f) n_facts, (SELECT count(*) FROM f WHERE coalesce(period_label, '') = '') no_period, (SELECT count(*) FROM f WHERE NOT contains(coalesce(metric_key, ''), ' ')) one_word_metric, (SELECT count(*) FROM f WHERE coalesce(unit, '') NOT IN ('INR', 'USD', 'EUR', 'GBP', 'percent', 'percentage_point', 'tonne')) incomparable_unit, (SELECT count(*) FROM p WHERE n_columns > 1) reordered_pages, (SELECT count(*) FROM p) n_pages")
+@query(BASE + "SELECT (SELECT count(*) FROM f) n_facts, (SELECT count(*) FROM f WHERE coalesce(period_label, '') = '') no_period, (SELECT count(*) FROM f WHERE NOT contains(coalesce(metric_key, ''), ' ')) one_word_metric, (SELECT count(*) FROM f WHERE unit IN ('count', 'unknown')) incomparable_unit, (SELECT count(*) FROM p WHERE n_columns > 1) reordered_pages, (SELECT count(*) FROM p) n_pages")
 def diagnostics(spark, root):
-    return S.diagnostics(T.facts(spark, root, "period_label", "metric_key", "unit"), T.pages(spark, root), COMPARABLE)
+    return S.diagnostics(T.facts(spark, root, "period_label", "metric_key", "unit"), T.pages(spark, root))
 
 
 @query(BASE + "SELECT relation_id, metric_key, CAST(length(metric_key) AS INTEGER) n_chars, r.confidence FROM r JOIN f ON f.fact_id = left_id WHERE relation = 'contradicts' ORDER BY n_chars, r.confidence DESC, relation_id LIMIT 3")
@@ -338,7 +337,9 @@ def export_slices(spark, root):
     return S.export_slices(_star(spark, root), SIZES).select("relation", F.col("place").cast("long").alias("place"), "relation_id")
 
 
-_SCALES = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower({c}), '[^a-z]+', ' ', 'g')), ' '), lambda w: list_contains(['thousand','lakh','lakhs','lac','lacs','million','mn','mm','crore','crores','cr','billion','bn','trillion','tn','trn','k'], w))))"
+_SCALES = "list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(trim({c}), '[\\s\\x{{00a0}}\\x{{2009}}\\x{{202f}}]+'), lambda w: lower(w)), lambda w: regexp_matches(w, '^\\p{{L}}+$') AND w NOT IN ('rs', 'inr', 'usd', 'us', 'eur', 'gbp'))))"
+_PLAUSIBLE = "coalesce(abs(lv) > 0 AND abs(rv) > 0 AND greatest(abs(lv), abs(rv)) <= least(abs(lv), abs(rv)) * 5, false)"
+_CLEAR = "(l_metric_key IS NOT DISTINCT FROM r_metric_key) DESC, CASE WHEN l_doc_id <> r_doc_id THEN 1 WHEN l_page_no = r_page_no THEN 0 ELSE 2 END, weight DESC, confidence DESC, relation_id"
 
 
 @query(BASE + f", best AS (SELECT * FROM star WHERE relation = 'corroborates' AND l_doc_id <> r_doc_id ORDER BY weight DESC, confidence DESC, relation_id LIMIT 40) SELECT relation_id, CASE WHEN basis = 'value_bridge' AND {_SCALES.format(c='ld')} <> {_SCALES.format(c='rd')} THEN 0 WHEN basis = 'value_bridge' THEN 1 ELSE 2 END choice FROM best ORDER BY choice, weight DESC, confidence DESC, relation_id LIMIT 1")
@@ -346,17 +347,18 @@ def report_case1(spark, root):
     return S.report_corroboration(_star(spark, root), T.facts(spark, root, "display"))
 
 
-@query(BASE + ", best AS (SELECT *, CAST(l_doc_id <> r_doc_id AS INTEGER) across FROM star WHERE relation = 'contradicts' ORDER BY across DESC, weight DESC, confidence DESC, relation_id LIMIT 60) SELECT relation_id, across FROM best ORDER BY across DESC, coalesce(greatest(abs(lv), abs(rv)) <= CASE WHEN lv IS NULL OR rv IS NULL THEN NULL ELSE least(abs(lv), abs(rv)) END * 5, CASE WHEN lv IS NULL AND rv IS NULL THEN false ELSE true END) DESC, CASE WHEN l_doc_id <> r_doc_id THEN 1 WHEN l_page_no = r_page_no THEN 0 ELSE 2 END, (l_metric_key IS NOT DISTINCT FROM r_metric_key) DESC, weight DESC, confidence DESC, relation_id LIMIT 1")
+@query(BASE + f", best AS (SELECT *, CAST(l_doc_id <> r_doc_id AS INTEGER) across FROM star WHERE relation = 'contradicts' ORDER BY across DESC, weight DESC, confidence DESC, relation_id LIMIT 60) SELECT relation_id, across FROM best ORDER BY across DESC, {_PLAUSIBLE} DESC, {_CLEAR} LIMIT 1")
 def report_case2(spark, root):
     return S.report_contradiction(_star(spark, root), T.facts(spark, root, "value"))
 
 
-@query(BASE + """, x AS (SELECT DISTINCT relation_id, weight, confidence, len(dimensions) = 1 alone, unnest(dimensions) dimension FROM star WHERE relation = 'reconciled_by_context'),
+@query(BASE + f""", x AS (SELECT *, unnest(list_distinct(dimensions)) dimension FROM star WHERE relation = 'reconciled_by_context'),
   y AS (SELECT *, list_position(['consolidation','vintage','price_basis','publication','adjustment','aggregation','period'], dimension) place FROM x),
-  z AS (SELECT place, dimension, relation_id, row_number() OVER (PARTITION BY place ORDER BY alone DESC, weight DESC, confidence DESC, relation_id DESC) k FROM y WHERE place > 0),
+  t AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY weight DESC, confidence DESC, relation_id) rk FROM y WHERE place > 0),
+  z AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY CASE WHEN {_PLAUSIBLE} AND len(dimensions) = 1 THEN 0 WHEN {_PLAUSIBLE} THEN 1 ELSE 2 END, {_CLEAR}) k FROM t WHERE rk <= 60),
   w AS (SELECT relation_id, min(place) place, arg_min(dimension, place) dimension FROM z WHERE k = 1 GROUP BY 1) SELECT dimension, relation_id FROM w ORDER BY place LIMIT 3""")
 def report_case3(spark, root):
-    return S.report_reconciled(_star(spark, root))
+    return S.report_reconciled(_star(spark, root), T.facts(spark, root, "value"))
 
 
 @query(BASE + "SELECT fact_id, metric, CAST(value_start - char_start AS INTEGER) v_start, CAST(value_end - char_start AS INTEGER) v_end, context['vintage'] vintage FROM f")

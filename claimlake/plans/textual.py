@@ -365,6 +365,16 @@ def paragraphs(spark, root):
     return L.pages_from_lines(_lines(spark, root)).select("doc_id", "page_no", "text", "n_columns")
 
 
+@query("SELECT CAST(s_suppkey AS VARCHAR) doc_id, s_suppkey || '. ' || s_name || ' 1,234' AS text, 2 n_cells FROM supplier")
+def visual_lines(spark, root):
+    """A number, a name a little to the right and a figure far to the right make one line of two cells."""
+    s = table(spark, root, "supplier", "s_suppkey", "s_name")
+    piece = lambda i, x0, x1, text: F.struct(F.lit(i).alias("line_no"), F.lit(x0).alias("x0"), F.lit(100.0 + i / 10).alias("y0"), F.lit(x1).alias("x1"), F.lit(111.0).alias("y1"), text.alias("text"))
+    pieces = F.array(piece(0, 60.0, 80.0, F.concat(F.col("s_suppkey").cast("string"), F.lit("."))), piece(1, 83.0, 200.0, F.col("s_name")), piece(2, 300.0, 340.0, F.lit("1,234")))
+    lines = s.select(F.col("s_suppkey").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"), F.inline(pieces))
+    return L.visual_rows(lines).select("doc_id", "text", "n_cells")
+
+
 @query(f"SELECT doc_id, page_no, count(*) n_cells, 0::BIGINT n_bad FROM ({KEY}) GROUP BY 1, 2")
 def cells(spark, root):
     """Cells of each page and those that are not the page's text at their place: none."""

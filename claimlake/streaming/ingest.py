@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from claimlake.functions.udfs import extract_facts
 from claimlake.operators import concepts as K, relate as R, serve
 from claimlake.operators.store import Store
+from claimlake.plans.scratch import Scratch
 
 ARRIVING = "doc_id string, filename string, title string, sha256 string, collection string, subject string, published_on date, ingested_at timestamp_ntz, pages array<struct<page_no: int, text: string>>"
 
@@ -21,17 +22,19 @@ def ingest(store: Store, arriving: DataFrame) -> None:
     """
     spark = store.spark
     stored = store.read("documents")
+    scratch = Scratch(spark, "ingest")
     new = arriving.where("sha256 is not null").dropDuplicates(["sha256"])
-    if stored is not None:
-        new = serve.unseen(new, stored)
+    _, new, n = scratch.write_counting(new if stored is None else serve.unseen(new, stored))
+    if not n:
+        return
     pages = new.select("doc_id", F.inline("pages")).select("doc_id", "page_no", "text", F.lit(1).alias("n_columns"))
     documents = new.drop("pages")
     at = new.select("doc_id", F.col("ingested_at").alias("recorded_at"))
-    found = extract_facts(pages, documents).join(at, "doc_id")
+    _, found = scratch.write(extract_facts(pages, documents).join(at, "doc_id"))
     store.upsert("pages", pages)
     old_facts = store.read("facts")
     every = found if old_facts is None else old_facts.drop("concept_id").unionByName(found, allowMissingColumns=True)
-    assigned = K.assign_concepts(every)
+    _, assigned = scratch.write(K.assign_concepts(every))
     concepts = assigned.select("concept_id", "canonical_key", "label").dropDuplicates(["concept_id"])
     store.replace("concepts", concepts)
     known = assigned.select("metric_key", "concept_id")
@@ -42,6 +45,7 @@ def ingest(store: Store, arriving: DataFrame) -> None:
     store.upsert("relations", relations)
     store.vote(aliases)
     store.upsert("documents", documents)  # last: a batch counts as stored once all of it is
+    scratch.drop(scratch.root)
 
 
 def stream(spark: SparkSession, source: str, store: Store, checkpoint: str, files_per_trigger: int = 100) -> StreamingQuery:

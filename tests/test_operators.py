@@ -289,7 +289,7 @@ def test_store_and_stream(spark, tmp_path):
     assert kinds["contradicts"] == 1 and kinds["corroborates"] == 2
     again = store.version("facts")
     ingest.ingest(store, spark.createDataFrame(docs, ingest.ARRIVING))
-    assert store.read("facts").count() == 6 and Counter(r["relation"] for r in store.read("relations").collect()) == kinds and store.version("facts") > again
+    assert store.version("facts") == again
     assert store.relations("contradicts", cross_document=True).count() == 1 and store.facts(q="parcel").count() == 2 and store.facts(collection="x", limit=4).count() == 4
     assert store.concepts().count() > 0 and store.page("d1", 1).count() == 1 and store.stats().where("measure = 'facts'").first()["n"] == 6
     one = store.read("relations").first()["left_id"]
@@ -317,3 +317,19 @@ def test_alias_votes_and_scratch(spark):
     assert serve.promoted(once).count() == 0 and serve.promoted(serve.alias_votes(once, new)).count() == 1
     path, back, n = Scratch(spark, "t").write_counting(new, "n > 4")
     assert n == 1 and back.count() == 1 and shared_folder(spark) in path
+
+
+def test_command_line_and_sql_functions(spark, tmp_path):
+    from claimlake.__main__ import main
+    from claimlake.functions import udfs
+
+    (tmp_path / "in" / "coll").mkdir(parents=True)
+    for name, value in (("a", "100"), ("b", "180")):
+        (tmp_path / "in" / "coll" / f"{name}.pdf").write_text(f"The total revenue of Orrin for FY24 stood at Rs {value} crore.")
+    root = f"file://{tmp_path}/store"
+    assert "facts\t2" in main(["ingest", "--store", root, f"file://{tmp_path}/in"], spark) and "relation contradicts\t1" in main(["stats", "--store", root], spark)
+    said = main(["report", "--store", root, "--collection", "coll"], spark)
+    assert "A likely contradiction" in said and "`contradicts`" in said and "_None found._" in said and "| Facts | 2 | 100% |" in said
+    udfs.register(spark)
+    assert spark.sql("SELECT size(find_periods('for FY24')) n").first()["n"] == 1
+    assert spark.sql("SELECT metric, value FROM extract_facts('Revenue for FY24 stood at Rs 100 crore.')").first()["value"] == 1e9
