@@ -107,8 +107,10 @@ def language(sentence: str, words: Sequence[str]) -> str:
         for lang, script in _SCRIPT:
             if script.search(sentence):
                 return lang
-    told = Counter(_TELL[w] for w in words if w in _TELL)
-    return max(told, key=lambda k: (told[k], k == "en"), default="en")
+    told = [_TELL[w] for w in words if w in _TELL]
+    if not told or told.count("en") * 2 >= len(told):
+        return "en"
+    return max(FUNCTION_WORDS, key=lambda k: (told.count(k), k == "en"))
 
 
 def sentence_terms(text: str | None) -> list[list[str]]:
