@@ -205,10 +205,10 @@ def fact_json(facts: DataFrame) -> DataFrame:
     return facts.select("fact_id", F.to_json(body).alias("body"))
 
 
-def other_sides(fact_ids: DataFrame, relations: DataFrame, facts: DataFrame) -> DataFrame:
-    """For each wanted fact its relations with the fact on the other side: ``(fact_id, relation_id, relation, other_id, other_display)``."""
+def other_sides(fact_ids: DataFrame | None, relations: DataFrame, facts: DataFrame) -> DataFrame:
+    """For each wanted fact (every fact for None) its relations with the fact on the other side: ``(fact_id, relation_id, relation, other_id, other_display)``."""
     ends = relations.select("relation_id", "relation", F.explode(F.array(F.struct(F.col("left_id").alias("fact_id"), F.col("right_id").alias("other_id")), F.struct(F.col("right_id").alias("fact_id"), F.col("left_id").alias("other_id")))).alias("e")).select("relation_id", "relation", "e.*")
-    wanted = ends.join(fact_ids.distinct(), "fact_id", "left_semi")
+    wanted = ends if fact_ids is None else ends.join(fact_ids.distinct(), "fact_id", "left_semi")
     return wanted.join(facts.select(F.col("fact_id").alias("other_id"), F.col("display").alias("other_display")), "other_id").select("fact_id", "relation_id", "relation", "other_id", "other_display")
 
 

@@ -81,10 +81,12 @@ ROUNDED = "((q // 1152921504606846976 + CASE WHEN q % 1152921504606846976 > 5764
 QUOTIENT = "CAST(CAST({x} * 1152921504606846976.0::DOUBLE AS BIGINT) AS HUGEINT) * 1000"
 RID = "substr(sha1(concat_ws('|', least({a}, {b}), greatest({a}, {b}), {k}, {basis})), 1, 16)"
 
-REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
-def query(sql: str):
+def query(sql: str | None):
+    """Register a query with its SQL; without SQL it is tested against brute force."""
+
     def add(f):
         REGISTRY[f.__name__] = (f, sql)
         return f
@@ -370,11 +372,18 @@ def fact_json(spark, root):
 
 @query(BASE + ", hub AS (SELECT i FROM (SELECT left_id i FROM r UNION ALL SELECT right_id FROM r) GROUP BY 1 HAVING count(*) >= 10), e AS (SELECT left_id fact_id, relation_id, relation, right_id other_id FROM r UNION ALL SELECT right_id, relation_id, relation, left_id FROM r) SELECT e.fact_id, relation_id, relation, other_id, display other_display FROM e JOIN f ON f.fact_id = other_id WHERE e.fact_id IN (SELECT i FROM hub)")
 def fact_detail(spark, root):
+    """Details of hub facts (ten relation ends or more), as its SQL has it; ``fact_detail_every`` asks for all facts."""
     rel = T.relations(spark, root)
     ends = rel.select(F.explode(F.array("left_id", "right_id")).alias("fact_id")).groupBy("fact_id").count().where("count >= 10").select("fact_id")
     return S.other_sides(ends, rel, T.facts(spark, root, "display"))
 
 
+@query(None)
+def fact_detail_every(spark, root):
+    """Details of every fact that a relation names, however few relations it has."""
+    return S.other_sides(None, T.relations(spark, root), T.facts(spark, root, "display"))
+
+
 @query(BASE + ", g AS (SELECT *, CASE WHEN coalesce(metric_key, '') = '' THEN 0 ELSE len(string_split(metric_key, ' ')) END nw FROM f) SELECT fact_id, CAST(nw AS INTEGER) n_words, confidence FROM g, gen WHERE confidence < 0.85 OR nw < 2 OR coalesce(period_label, '') = '' OR len(list_filter(string_split(coalesce(metric_key, ''), ' '), lambda t: NOT list_contains(g, t))) = 0 ORDER BY nw, confidence, fact_id LIMIT 200".replace("g AS (SELECT *", "ga AS (SELECT *").replace("FROM g, gen", "FROM ga, gen"))
 def refiner_candidates(spark, root):
     return S.refiner_candidates(T.facts(spark, root, "metric_key", "confidence", "period_label"), R.GENERIC)
@@ -413,4 +422,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in REGISTRY.items()}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql is not None}
