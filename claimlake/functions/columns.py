@@ -29,6 +29,21 @@ def round3(x: Column) -> Column:
     return (below.cast("double") + up.cast("int")) / F.lit(1000.0)
 
 
+def fixed2(x: Column) -> Column:
+    """``x`` (0 to 2**40) written with two decimals, rounded on its exact binary value, halves to even.
+
+    ``format_string`` rounds the shortest decimal form half up, which differs where that form ends in a 5 at the third
+    decimal; there the sign of ``1000 x - m`` tells, whose products are exact on the halves of ``x``.
+    """
+    m = F.rint(x * 1000.0)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    rest = (high * 1000.0 - m) + (x - high) * 1000.0
+    below = (m - 5.0) / 10.0
+    up = (rest > 0) | ((rest == 0) & (below % 2 == 1))
+    tie = (m / 1000.0 == x) & (m % 10 == 5)
+    return F.format_string("%.2f", F.when(tie, (below + up.cast("int")) / 100.0).otherwise(x))
+
+
 def metric_key(phrase: Column) -> Column:
     """Words of a metric phrase in lower case, without outer punctuation, plural s and internal words."""
     words = F.split(F.trim(F.regexp_replace(F.lower(phrase), r"\s+", " ")), " ")

@@ -170,7 +170,7 @@ def explain(related: DataFrame, label: Column) -> DataFrame:
     name = F.when(F.col("l_metric_key") == F.col("r_metric_key"), F.col("l_metric")).otherwise(F.coalesce(label, F.col("l_metric")))
     clause = F.when(F.length(F.coalesce("l_period_label", f(""))) > 0, t(f(" in "), "l_period_label")).otherwise("")
     size = F.greatest(F.abs("l_value"), F.abs("r_value"), f(1e-12))
-    gap = F.when(F.col("l_unit").isin("percent", "percentage_point"), t(F.format_string("%.2f", "gap"), f(" percentage points"))).otherwise(t(F.format_string("%.2f", F.col("gap") * 100.0 / size), f("%")))
+    gap = F.when(F.col("l_unit").isin("percent", "percentage_point"), t(C.fixed2(F.col("gap")), f(" percentage points"))).otherwise(t(C.fixed2(F.lit(100.0) * F.col("gap") / size), f("%")))
     one_doc = F.col("l_doc_label") == F.col("r_doc_label")
     first, second = F.when(one_doc, f("the first statement")).otherwise(F.col("l_doc_label")), F.when(one_doc, f("the second")).otherwise(F.col("r_doc_label"))
     unstated = f("an unstated period")

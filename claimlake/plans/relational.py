@@ -107,6 +107,11 @@ def _classified(spark: SparkSession, root: str) -> DataFrame:
     return R.classify(R.with_same_metric(_pairs(spark, root), K.weighted_keys(_keys(spark, root))))
 
 
+def _explained(spark: SparkSession, root: str) -> DataFrame:
+    labels = T.concepts(spark, root).select(F.col("concept_id").alias("l_concept_id"), F.col("label").alias("concept_label")).dropDuplicates(["l_concept_id"])
+    return R.explain(_classified(spark, root).join(labels, "l_concept_id", "left"), F.col("concept_label"))
+
+
 def _keys(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "facts", "metric_key").where(F.length("metric_key") > 0).distinct()
 
@@ -190,8 +195,8 @@ _GAP = "CASE WHEN a.unit IN ('percent', 'percentage_point') THEN printf('%.2f',
   ELSE a.display || ' (' || {_CITE.format(s='a')} || ') and ' || b.display || ' (' || {_CITE.format(s='b')} || ')' END opening
   FROM weighed LEFT JOIN (SELECT concept_id, any_value(label) AS label FROM concepts GROUP BY 1) c ON c.concept_id = a.concept_id""")
 def explanations(spark, root):
-    labels = T.concepts(spark, root).select(F.col("concept_id").alias("l_concept_id"), F.col("label").alias("concept_label")).dropDuplicates(["l_concept_id"])
-    told = R.explain(_classified(spark, root).join(labels, "l_concept_id", "left"), F.col("concept_label"))
+    """The openings of explanations, which is what its SQL states; ``explanations_whole`` gives the whole texts."""
+    told = _explained(spark, root)
     cut = {"corroborates": r"(?s)^(.*They differ by ).*$", "contradicts": r"(?s)^(.*?\. No) difference in period.*$", "part_of": r"(?s)^(.*\. )The component .*$"}
     opening = F.when(F.col("relation").isin("consistent_across_context", "reconciled_by_context"), F.regexp_replace("explanation", r"(?s)^(.*?\)) (?:agree on|both report) .*$", "$1"))
     for kind, pattern in cut.items():
@@ -199,6 +204,12 @@ def explanations(spark, root):
     return told.select("left_id", "right_id", "relation", opening.alias("opening"))
 
 
+@query(None)
+def explanations_whole(spark, root):
+    """The whole explanation of every classified pair: gap, reasons and notes included."""
+    return _explained(spark, root).select("left_id", "right_id", "relation", "explanation")
+
+
 @query(BASE + f"SELECT a.fact_id left_id, b.fact_id right_id, {ROUNDED} confidence FROM (SELECT a, b, {QUOTIENT.format(x='(least(a.confidence, b.confidence) * 0.9::DOUBLE)')} q FROM bp)")
 def value_bridge(spark, root):
     return R.value_bridge(_pool(spark, root)).select("left_id", "right_id", "confidence")
