@@ -1,7 +1,7 @@
 """Subject areas of each document.
 
 Sentences get an area (or none) from term features whose weights come from the labelled examples and, by expectation
-maximisation over a bounded sample of documents, from terms that keep company with them. A chain of calibrated
+maximisation over all documents, from terms that keep company with them. A chain of calibrated
 classifiers over the sentence evidence, the source and the structure of the document then scores label combinations,
 each link seeing the labels before it; beam search decodes them. An exact count of sentences checks what it proposes.
 """
@@ -11,8 +11,9 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from claimlake.llm.sentences import sentence_spans
 from claimlake.plans.sample import smallest_hashes
+from claimlake.plans.scratch import Scratch
 from claimlake.plans.spread import spread
 
-#: Documents that the model is fitted on, with at most that many characters altogether. All documents are classified.
-SAMPLE, SAMPLE_CHARS = 4_000, 20_000_000
+#: Documents that the chain is fitted on. Terms, shares and source priors are counted over all documents.
+SAMPLE = 4_000
+#: A term counts where more sentences than that of all documents have it; documents that a kernel takes at a time.
+SELDOM, CHUNK = 3, 2_000
 #: An area's least share of a document's sentences is 1 / PARTS.
 PARTS = 4
 #: Label combinations kept at each link, and the least probability relative to the best at which one still proposes.
@@ -139,22 +143,66 @@ def sentence_terms(text: str | None) -> list[list[str]]:
 @dataclass
 class AreaModel:
     areas: list[str]
-    terms: dict[str, int]
+    terms: np.ndarray  # sorted numbers of terms
     weights: np.ndarray  # terms x (areas + none)
     chain: list[np.ndarray] = field(default_factory=list)
     calibration: list[tuple[float, float]] = field(default_factory=list)
     sources: dict[str, np.ndarray] = field(default_factory=dict)
 
 
-def _pairs(sentences: Sequence[Sequence[str]], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(sentence, term) pairs of known terms, each once a sentence."""
-    s, t = [], []
-    get = terms.get
-    for i, words in enumerate(sentences):
-        known = {k for k in map(get, words) if k is not None}
-        s += [i] * len(known)
-        t += known
-    return np.array(s, np.int64), np.array(t, np.int64)
+LANGUAGES = [*FUNCTION_WORDS, *SCRIPTS]
+_BITS = 59
+
+
+@dataclass
+class Chunk:
+    """Documents as numbers: sentences of each, terms of each sentence, and the terms, each once a sentence."""
+
+    n: np.ndarray
+    sizes: np.ndarray
+    terms: np.ndarray
+    glossary: dict[int, int] = field(default_factory=dict)
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+    def known(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, place in ``vocabulary``) of the terms that it holds."""
+        if not len(vocabulary):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(vocabulary, self.terms), len(vocabulary) - 1)
+        there = vocabulary[at] == self.terms
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)[there], at[there]
+
+
+def term_numbers(terms: Sequence[str]) -> np.ndarray:
+    """A number for each term, the same in every process: four bits of its language and 59 of a hash."""
+    if not len(terms):
+        return np.zeros(0, np.int64)
+    hashed = pd.util.hash_array(np.array(terms, dtype=object), categorize=True) & np.uint64((1 << _BITS) - 1)
+    return hashed.astype(np.int64) | (np.array([LANGUAGES.index(_language_of(t)) for t in terms], np.int64) << _BITS)
+
+
+def encode(texts: Sequence[str | None], areas: Sequence[str]) -> Chunk:
+    """Texts as numbers, with the glossary's area of every term that has one."""
+    by_doc = [[list(dict.fromkeys(x)) for x in sentence_terms(t)] for t in texts]
+    flat = [x for d in by_doc for x in d]
+    index: dict[str, int] = {}
+    places = [index.setdefault(t, len(index)) for x in flat for t in x]
+    numbers = term_numbers(list(index))
+    areas = tuple(areas)
+    glossary = {int(h): a for t, h in zip(index, numbers) if ":" in t and (a := _glossary_area(t, areas)) is not None}
+    return Chunk(np.array([len(d) for d in by_doc], np.int64), np.array([len(x) for x in flat], np.int64), numbers[places] if places else np.zeros(0, np.int64), glossary)
+
+
+def _exact(p: np.ndarray) -> np.ndarray:
+    """``p`` in steps of 2**-20, whose sums are exact, so that they do not depend on partitions."""
+    return np.rint(p * (1 << 20)) / (1 << 20)
+
+
+def _sums(t: np.ndarray, p: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([np.bincount(t, p[:, j], size) for j in range(p.shape[1])], 1)
 
 
 def _evidence(s: np.ndarray, t: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
@@ -207,78 +255,111 @@ def glossary_area(term: str, areas: Sequence[str]) -> int | None:
     return top[0] if len(top) == 1 else None
 
 
-def _first_classes(s: np.ndarray, t: np.ndarray, doc: np.ndarray, n: int, n_docs: int, pure: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """First classes of unlabelled sentences: by terms of one area alone, else by terms that stand only in documents
-    of one area, else none. General remarks stand in documents of all areas, so none of their terms is telling."""
+_glossary_area = lru_cache(100_000)(glossary_area)
 
-    def classes(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        e = _evidence(s, t, n, weights)
-        top = e.max(1, keepdims=True, initial=0)
-        p = ((e == top) & (top > 0)).astype(float)
-        return p / np.maximum(p.sum(1, keepdims=True), 1), top[:, 0] > 0
 
-    p, told = classes(pure)
-    k = pure.shape[1]
-    by_doc = np.stack([np.bincount(doc, p[:, j], n_docs) for j in range(k)], 1)
+def _classes(s: np.ndarray, t: np.ndarray, n: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    e = _evidence(s, t, n, weights)
+    top = e.max(1, keepdims=True, initial=0)
+    p = ((e == top) & (top > 0)).astype(float)
+    return p / np.maximum(p.sum(1, keepdims=True), 1), top[:, 0] > 0
+
+
+def _company(chunk: Chunk, terms: np.ndarray, pure: np.ndarray) -> np.ndarray:
+    """For each term the areas that the documents of its sentences show by terms of one area alone."""
+    s, t = chunk.known(terms)
+    doc = chunk.doc
+    p, _ = _classes(s, t, len(doc), pure)
+    by_doc = _sums(doc, p, len(chunk.n))
     by_doc /= np.maximum(by_doc.sum(1, keepdims=True), 1)
-    beside = by_doc[doc[s]]
-    company = np.stack([np.bincount(t, beside[:, j], len(pure)) for j in range(k)], 1)
-    total = company.sum(1)
-    telling = (company.max(1) >= 0.85 * total) & (total >= 3) & ~common
-    wider = np.zeros_like(pure)
-    wider[telling, company[telling].argmax(1)] = np.log1p(total[telling])
-    q, hinted = classes(wider)
+    return _sums(t, _exact(by_doc)[doc[s]], len(terms))
+
+
+def _first(chunk: Chunk, terms: np.ndarray, pure: np.ndarray, wider: np.ndarray) -> np.ndarray:
+    """Term counts under the first classes of unlabelled sentences: by terms of one area alone, else by terms that stand
+    only in documents of one area, else none. General remarks stand in documents of all areas, so none of their terms
+    is telling."""
+    s, t = chunk.known(terms)
+    p, told = _classes(s, t, len(chunk.sizes), pure)
+    q, hinted = _classes(s, t, len(chunk.sizes), wider)
     p = np.where(told[:, None], p, q)
-    p[~told & ~hinted, k - 1] = 1
-    return p
+    p[~told & ~hinted, -1] = 1
+    return _sums(t, _exact(p)[s], len(terms))
 
 
-def fit_terms(examples: Sequence[tuple[str, str]], texts: Sequence[str]) -> AreaModel:
-    """Term weights from ``(area, text)`` examples and unlabelled texts."""
-    areas = sorted({a for a, _ in examples})
+def _expected(chunk: Chunk, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Term counts under the classes that ``weights`` give sentences."""
+    s, t = chunk.known(terms)
+    p = _posterior(_evidence(s, t, len(chunk.sizes), weights), chunk.doc, len(chunk.n))
+    return _sums(t, _exact(p)[s], len(terms))
+
+
+def term_counts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences that have each term; below 0, sentences of each language at ``-1 - place``."""
+    h, n = np.unique(chunk.terms, return_counts=True)
+    first = chunk.terms[np.cumsum(chunk.sizes) - chunk.sizes] >> _BITS if len(chunk.sizes) else np.zeros(0, np.int64)
+    lang, m = np.unique(first, return_counts=True)
+    return np.concatenate([-1 - lang, h]), np.concatenate([m, n])
+
+
+Tally = Callable[[Callable[[Chunk], np.ndarray], int], np.ndarray]
+
+
+def _fit_terms(areas: list[str], labelled: Sequence[tuple[int, Chunk]], counts: tuple[np.ndarray, np.ndarray], glossary: dict[int, int], tally: Tally) -> AreaModel:
+    """Term weights. ``counts`` are :func:`term_counts` of all documents, ``tally`` sums a step over all of them."""
     k = len(areas) + 1
-    labelled = [(areas.index(a), terms) for a, text in examples for terms in sentence_terms(text)]
-    by_doc = [sentence_terms(t) for t in texts]
-    unlabelled = [terms for d in by_doc for terms in d]
-    doc = np.repeat(np.arange(len(by_doc)), [len(d) for d in by_doc])
-    seen = Counter(t for _, terms in labelled for t in set(terms))
-    wide = Counter(t for terms in unlabelled for t in set(terms))
-    vocabulary = {t: i for i, t in enumerate(sorted({t for t, n in seen.items() if n > 1} | {t for t, n in wide.items() if n > 3}))}
-    ls, lt = _pairs([x for _, x in labelled], vocabulary)
-    us, ut = _pairs(unlabelled, vocabulary)
-    label = np.array([a for a, _ in labelled], np.int64)
-    size = len(vocabulary)
+    h, n = counts
+    spoken = np.zeros(len(LANGUAGES))
+    spoken[-1 - h[h < 0]] = n[h < 0]
+    wide = dict(zip(h[h >= 0].tolist(), n[h >= 0].tolist()))
+    seen = Counter(t for _, c in labelled for t in c.terms.tolist())
+    terms = np.array(sorted({t for t, m in seen.items() if m > 1} | {t for t, m in wide.items() if m > SELDOM}), np.int64)
+    size = len(terms)
     gold = np.zeros((size, k))
-    np.add.at(gold, (lt, label[ls]), 1.0)
+    for area, chunk in labelled:
+        np.add.at(gold, (chunk.known(terms)[1], area), 1.0)
     # first round: terms that examples of one area alone have; a sentence without any tells of nothing
     total = gold.sum(1)
     pure = np.zeros((size, k))
-    tongue = np.array([_language_of(t) for t in vocabulary])
-    spoken = Counter(_language_of(terms[0]) for terms in unlabelled)
-    seen_in = np.bincount(ut, minlength=size) if len(ut) else np.zeros(size)
-    common = seen_in > COMMON * np.array([max(spoken[t], 25) for t in tongue])
+    tongue = terms >> _BITS
+    seen_in = np.array([wide.get(t, 0) for t in terms.tolist()])
+    common = seen_in > COMMON * np.maximum(spoken[tongue], 25)
     sure = (gold.max(1) >= 0.9 * total) & (total > 1) & ~common
     pure[sure, gold[sure].argmax(1)] = np.log1p(total[sure])
-    for term, i in vocabulary.items():
-        if not sure[i] and not common[i] and (area := glossary_area(term, areas)) is not None:
-            pure[i, area] = 1.0
-    p = _first_classes(us, ut, doc, len(unlabelled), len(by_doc), pure, common)
-    weights = pure
+    for i, term in enumerate(terms.tolist()):
+        if not sure[i] and not common[i] and term in glossary:
+            pure[i, glossary[term]] = 1.0
+    company = tally(partial(_company, terms=terms, pure=pure), size)
+    total = company.sum(1)
+    telling = (company.max(1) >= 0.85 * total) & (total >= 3) & ~common
+    wider = np.zeros_like(pure)
+    wider[telling, company[telling].argmax(1)] = np.log1p(total[telling])
+    step = partial(_first, terms=terms, pure=pure, wider=wider)
     for _ in range(ROUNDS):
-        counts = 3 * gold + np.stack([np.bincount(ut, p[us, j], size) for j in range(k)], 1)
-        weights = _term_weights(counts, tongue)
+        weights = _term_weights(3 * gold + tally(step, size), tongue)
         weights[common] = 0
-        if len(unlabelled):
-            p = _posterior(_evidence(us, ut, len(unlabelled), weights), doc, len(by_doc))
-    return AreaModel(areas, vocabulary, weights)
+        step = partial(_expected, terms=terms, weights=weights)
+    tells = weights.any(1)  # the others add nothing to any sentence
+    return AreaModel(areas, terms[tells], weights[tells])
+
+
+def _labelled(examples: Sequence[tuple[str, str]]) -> tuple[list[str], list[tuple[int, Chunk]], dict[int, int]]:
+    areas = sorted({a for a, _ in examples})
+    labelled = [(areas.index(a), encode([text], areas)) for a, text in examples]
+    return areas, labelled, {h: a for _, c in labelled for h, a in c.glossary.items()}
+
+
+def fit_terms(examples: Sequence[tuple[str, str]], texts: Sequence[str]) -> AreaModel:
+    """Term weights from ``(area, text)`` examples and unlabelled texts, in memory."""
+    areas, labelled, glossary = _labelled(examples)
+    chunk = encode(texts, areas)
+    return _fit_terms(areas, labelled, term_counts(chunk), glossary | chunk.glossary, lambda step, size: step(chunk))
 
 
-def read_documents(texts: Sequence[str | None], model: AreaModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: sentences, sentences of each area by their best class, and mean class probabilities."""
-    by_doc = [sentence_terms(t) for t in texts]
-    n = np.array([len(d) for d in by_doc], np.int64)
-    doc = np.repeat(np.arange(len(by_doc)), n)
-    s, t = _pairs([x for d in by_doc for x in d], model.terms)
+def read_documents(chunk: Chunk, model: AreaModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document: sentences, sentences of each area by their best class, and mean class probabilities."""
+    n, doc = chunk.n, chunk.doc
+    s, t = chunk.known(model.terms)
     k = len(model.areas) + 1
     if not len(doc):
         return n, np.zeros((len(n), k)), np.zeros((len(n), k))
@@ -309,16 +390,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12)
     return w
 
 
-def fit_chain(model: AreaModel, texts: Sequence[str | None], sources: Sequence) -> AreaModel:
-    """Fit the chain on documents labelled by their sentences; every third is held out to calibrate each link."""
-    n, votes, mean = read_documents(texts, model)
+def _source_priors(counts: dict, labels: dict) -> dict[str, np.ndarray]:
+    """How much more often than overall documents of each source have each area, as a logarithm."""
+    rate = (np.sum(list(labels.values()), 0) + 1) / (sum(counts.values()) + 2)
+    return {s: np.log((labels[s] + 20 * rate) / (counts[s] + 20) / rate) for s in counts if s is not None}
+
+
+def _fit_links(model: AreaModel, n: np.ndarray, votes: np.ndarray, mean: np.ndarray, sources: Sequence) -> AreaModel:
     y = (PARTS * votes[:, :-1] >= n[:, None]) & (n[:, None] > 0)
     held = np.arange(len(n)) % 3 == 0
-    rate = (y[~held].sum(0) + 1) / (max((~held).sum(), 1) + 2)
-    rows: dict = {}
-    for s, labels in zip([s for s, h in zip(sources, held) if not h], y[~held]):
-        rows.setdefault(s, []).append(labels)
-    model.sources = {s: np.log((np.sum(v, 0) + 20 * rate) / (len(v) + 20) / rate) for s, v in rows.items() if s is not None}
     x = _features(n, votes, mean, sources, model)
     for j in range(len(model.areas)):
         z = np.hstack([x, y[:, :j].astype(float)])
@@ -330,6 +410,18 @@ def fit_chain(model: AreaModel, texts: Sequence[str | None], sources: Sequence)
     return model
 
 
+def fit_chain(model: AreaModel, texts: Sequence[str | None], sources: Sequence) -> AreaModel:
+    """Fit the chain on documents labelled by their sentences; every third is held out to calibrate each link."""
+    n, votes, mean = read_documents(encode(texts, model.areas), model)
+    y = (PARTS * votes[:, :-1] >= n[:, None]) & (n[:, None] > 0)
+    labels: dict = {}
+    for s, row in zip(sources, y):
+        labels[s] = labels.get(s, 0) + row
+    if labels:
+        model.sources = _source_priors(Counter(sources), labels)
+    return _fit_links(model, n, votes, mean, sources)
+
+
 def decode(model: AreaModel, x: np.ndarray) -> np.ndarray:
     """Beam search over label combinations: areas of every kept combination that is likely enough, for each row of ``x``."""
     rows, k = len(x), len(model.areas)
@@ -347,28 +439,113 @@ def decode(model: AreaModel, x: np.ndarray) -> np.ndarray:
     return (labels & likely[:, :, None]).any(1)
 
 
+def _decided(n: np.ndarray, votes: np.ndarray, mean: np.ndarray, sources: Sequence, model: AreaModel) -> np.ndarray:
+    """Areas that the decoded combinations propose and an exact count of sentences confirms."""
+    proposed = decode(model, _features(n, votes, mean, sources, model))
+    return proposed & (PARTS * votes[:, :-1] >= n[:, None]) & (n[:, None] > 0)
+
+
 def classify(texts: Sequence[str | None], sources: Sequence, model: AreaModel) -> list[list[str]]:
-    """Areas of each text: those that the decoded combinations propose and an exact count of sentences confirms."""
-    n, votes, mean = read_documents(texts, model)
-    if not len(n):
+    """Areas of each text."""
+    if not len(texts):
         return []
-    proposed = decode(model, _features(n, votes, mean, sources, model))
-    counted = (PARTS * votes[:, :-1] >= n[:, None]) & (n[:, None] > 0)
-    return [[model.areas[j] for j in np.flatnonzero(row)] for row in proposed & counted]
+    n, votes, mean = read_documents(encode(texts, model.areas), model)
+    return [[model.areas[j] for j in np.flatnonzero(row)] for row in _decided(n, votes, mean, sources, model)]
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Chunk]]:
+    for batch in batches:
+        for at in range(0, len(batch), CHUNK):
+            part = batch.iloc[at : at + CHUNK]
+            whole = lambda c: np.concatenate([np.zeros(0, np.int64), *part[c]]).astype(np.int64)  # noqa: B023, E731
+            yield part, Chunk(part["n"].to_numpy(np.int64), whole("sizes"), whole("terms"), dict(zip(whole("glossary").tolist(), whole("said").tolist())))
+
+
+def _encoded(documents: DataFrame, areas: list[str]) -> DataFrame:
+    """Documents as numbers, one row each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                c = encode(part["text"].tolist(), areas)
+                ends = np.cumsum(c.n)
+                sizes = np.split(c.sizes, ends[:-1])
+                terms = np.split(c.terms, np.concatenate([[0], np.cumsum(c.sizes)])[ends[:-1]])
+                # the chunk's glossary words travel with its first document
+                out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "n": c.n, "sizes": sizes, "terms": terms})
+                out["glossary"] = [list(c.glossary), *[[]] * (len(part) - 1)]
+                out["said"] = [list(c.glossary.values()), *[[]] * (len(part) - 1)]
+                yield out
+
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, n int, sizes array<int>, terms array<bigint>, glossary array<bigint>, said array<int>"
+    return spread(documents.select("doc_id", "text", "source"), "doc_id").where(F.length("text") > 0).mapInPandas(run, schema)
+
 
+def _count_all(encoded: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], dict[int, int]]:
+    """:func:`term_counts` over all documents, seldom terms left out, and the glossary's areas."""
 
-def fit(documents: DataFrame, examples: DataFrame, sample: int = SAMPLE) -> AreaModel:
-    """Fit on the labelled examples and on at most ``sample`` documents, those with the smallest hash of their id."""
-    labelled = [(r[0], r[1]) for r in examples.select("area", "text").where("area is not null and length(text) > 0").orderBy("area", "text").collect()]
-    some = smallest_hashes(documents.select("doc_id", "text", "source").where(F.length("text") > 0), F.col("doc_id"), sample, documents.count())
-    texts, sources, room = [], [], SAMPLE_CHARS
-    for r in some.toLocalIterator():
-        room -= len(r["text"])
-        if room < 0 and texts:
-            break
-        texts.append(r["text"])
-        sources.append(r["source"])
-    return fit_chain(fit_terms(labelled, texts), texts, sources)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, chunk in _chunks(batches):
+            h, n = term_counts(chunk)
+            yield pd.DataFrame({"h": h, "n": n, "area": np.full(len(h), -1)})
+            yield pd.DataFrame({"h": list(chunk.glossary), "n": np.zeros(len(chunk.glossary), np.int64), "area": list(chunk.glossary.values())})
+
+    counted = encoded.drop("doc_id", "source").mapInPandas(run, "h bigint, n bigint, area int").groupBy("h").agg(F.sum("n").alias("n"), F.max("area").alias("area"))
+    got = counted.where((F.col("n") > SELDOM) | (F.col("h") < 0) | (F.col("area") >= 0)).toArrow()
+    h, n, area = (got[c].to_numpy() for c in ("h", "n", "area"))
+    return (h, n), {int(a): int(b) for a, b in zip(h[area >= 0], area[area >= 0])}
+
+
+def _tally(encoded: DataFrame, k: int) -> Tally:
+    """Sums of a step over all documents; what the step knows is broadcast, and tasks send sums of terms."""
+    context = encoded.sparkSession.sparkContext
+
+    def tally(step: Callable[[Chunk], np.ndarray], size: int) -> np.ndarray:
+        shared = context.broadcast(step)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = 0
+            for _, chunk in _chunks(batches):
+                sums = sums + shared.value(chunk)
+            if not np.isscalar(sums):
+                some = np.flatnonzero(sums.any(1))
+                yield pd.DataFrame({"i": some, **{f"c{j}": sums[some, j] for j in range(k)}})
+
+        schema = ", ".join(["i int", *(f"c{j} double" for j in range(k))])
+        got = encoded.drop("doc_id", "source").mapInPandas(run, schema).groupBy("i").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(k))).toArrow()
+        shared.destroy()
+        out = np.zeros((size, k))
+        out[got["i"].to_numpy()] = np.stack([got[f"c{j}"].to_numpy() for j in range(k)], 1)
+        return out
+
+    return tally
+
+
+def _read_all(encoded: DataFrame, model: AreaModel) -> DataFrame:
+    """:func:`read_documents` of all documents: ``(doc_id, source, n, votes, mean)``."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, chunk in _chunks(batches):
+            n, votes, mean = read_documents(chunk, shared.value)
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "n": n, "votes": list(votes), "mean": list(mean)})
+
+    return encoded.mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, source string, n int, votes array<double>, mean array<double>")
+
+
+def _chained(read: DataFrame, model: AreaModel, sample: int) -> AreaModel:
+    """Source priors over all documents, and the chain on at most ``sample`` of them, those with the smallest hash of their id."""
+    has = [F.count_if((F.col("n") > 0) & (PARTS * F.col("votes")[j] >= F.col("n"))).alias(f"c{j}") for j in range(len(model.areas))]
+    rows = read.groupBy("source").agg(F.count("*").alias("m"), *has).collect()
+    counts = {r["source"]: r["m"] for r in rows}
+    if counts:
+        model.sources = _source_priors(counts, {r["source"]: np.array(r[2:], float) for r in rows})
+    some = smallest_hashes(read, F.col("doc_id"), sample, sum(counts.values())).toPandas()
+    k = len(model.areas) + 1
+    n = some["n"].to_numpy(np.int64)
+    votes, mean = (np.array(some[c].tolist(), float).reshape(len(n), k) for c in ("votes", "mean"))
+    return _fit_links(model, n, votes, mean, some["source"].tolist())
 
 
 def label_documents(documents: DataFrame, examples: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -378,21 +555,32 @@ def label_documents(documents: DataFrame, examples: DataFrame, sample: int = SAM
     * A document's areas do not depend on other documents once the model is fitted; a tie at exactly a quarter counts.
     * Null sources are allowed. No examples: no rows. Other columns are ignored.
 
-    One pass over the documents without a shuffle; the model (a few MB: its terms are those of the sample) is broadcast.
+    Texts are read once and cross no shuffle; what is kept of them are numbers of terms, which every round reads. A
+    round broadcasts the weights and gathers sums of terms; both grow with the vocabulary, as does the model.
     """
     spark = documents.sparkSession
     schema = documents.select("doc_id").schema.add("area", "string")
-    if examples.where("area is not null and length(text) > 0").limit(1).count() == 0:
+    given = [(r[0], r[1]) for r in examples.select("area", "text").where("area is not null and length(text) > 0").orderBy("area", "text").collect()]
+    if not given:
         return spark.createDataFrame([], schema)
-    model = fit(documents, examples, sample)
+    areas, labelled, glossary = _labelled(given)
+    scratch = Scratch(spark, "areas")
+    path, encoded = scratch.write(_encoded(documents, areas))
+    counts, said = _count_all(encoded)
+    model = _fit_terms(areas, labelled, counts, glossary | said, _tally(encoded, len(areas) + 1))
+    _, read = scratch.write(_read_all(encoded, model))
+    scratch.drop(path)
+    model = _chained(read, model, sample)
+    model.terms, model.weights = model.terms[:0], model.weights[:0]
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                found = classify(part["text"].tolist(), part["source"].tolist(), shared.value)
-                pairs = [(d, a) for d, areas in zip(part["doc_id"], found) for a in areas]
-                yield pd.DataFrame(pairs, columns=["doc_id", "area"])
-
-    return spread(documents.select("doc_id", "text", "source"), "doc_id").where(F.length("text") > 0).mapInPandas(run, schema)
+        for part in batches:
+            if not len(part):
+                continue
+            votes, mean = np.array(part["votes"].tolist(), float), np.array(part["mean"].tolist(), float)
+            found = _decided(part["n"].to_numpy(np.int64), votes, mean, part["source"].tolist(), shared.value)
+            row, j = np.nonzero(found)
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "area": np.array(shared.value.areas, dtype=object)[j]})
+
+    return read.mapInPandas(run, schema)

@@ -225,3 +225,25 @@ def test_area_table(spark):
     assert areas.label_documents(docs, table(spark, SMALL, "area_examples").limit(0)).count() == 0
     found = areas.label_documents(docs, table(spark, SMALL, "area_examples")).toPandas()
     assert not found.duplicated().any() and found["doc_id"].nunique() > 0.8 * docs.count() and set(found["area"]) == {r[0] for r in table(spark, SMALL, "subject_areas", "area").collect()}
+
+
+def test_areas_count_terms_of_all_documents(spark):
+    """Terms outside the examples and the chain's sample are learnt; the weights are those of a fit in memory."""
+    examples = [("energy", "The turbine feeds the grid. The turbine runs."), ("health", "The nurse saw a patient. The nurse rests.")] * 3
+    rng = random.Random(4)
+    remark = lambda: " ".join(rng.choice(["brask", "dolin", "vesk", "morat", "pling", "sorev", "tamil", "ubrek", "wend", "yoral"]) + rng.choice("aeiou") for _ in range(5)).capitalize() + "."
+    sampled = [f"The turbine by shed {i} failed. A turbine came. The turbine in yard {i} ran." if i % 2 else f"A nurse met patient {i}. The nurse in ward {i} rested." for i in range(16)] + [" ".join(remark() for _ in range(5)) for _ in range(150)]
+    texts = sampled + [f"The turbine and quorvane {i} failed. The quorvane near turbine {i} was mended." for i in range(12)] + ["A quorvane. Old quorvane."] * 2
+    ids = [r[0] for r in spark.range(len(texts)).orderBy(F.xxhash64("id")).collect()]  # the sample takes the first
+    docs = spark.createDataFrame([(i, t, "s") for i, t in zip(ids, texts)], "doc_id bigint, text string, source string")
+    labelled = spark.createDataFrame(examples, "area string, text string")
+    for parts in (1, 5):
+        found = {tuple(r) for r in areas.label_documents(docs.repartition(parts), labelled, sample=len(sampled)).collect()}
+        assert {(i, "energy") for i in ids[len(sampled) :]} <= found
+    names, chunks, glossary = areas._labelled([(r[0], r[1]) for r in labelled.orderBy("area", "text").collect()])
+    encoded = areas._encoded(docs, names).cache()
+    counts, said = areas._count_all(encoded)
+    spread_out = areas._fit_terms(names, chunks, counts, glossary | said, areas._tally(encoded, len(names) + 1))
+    local = areas.fit_terms(examples, texts)
+    assert np.array_equal(spread_out.terms, local.terms) and np.array_equal(spread_out.weights, local.weights)
+    assert areas.term_numbers(["quorvane"])[0] in local.terms
