@@ -1,8 +1,9 @@
 """Quantities recorded in different units.
 
 Every value is read from its text and converted exactly. Where the text has no unit, a calibrated tree ensemble predicts
-it from magnitude, source, category and neighbouring fields; confident predictions are assigned, others are routed to
-review, and the exact declaration (of the row, its evidence or the nearest one above it) checks both.
+it from magnitude, source, category and other fields, its declaration apart; predictions are routed as assigned or to
+review, and the exact declaration (of the row, its evidence or the nearest one above it) settles the unit of both, so
+that no prediction decides a base unit or value.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ RIGHT = 0.98
 #: Values agree up to the rounding of doubles.
 SAME = 1e-9
 
-_UNITS = [f"{b}|{n}|{d}" for b, n, d in U.UNITS]
-
 RECORD = (
     "record_table string, record_id string, arrived timestamp_ntz, doc_id string, page_no int, at int, value double, unit string, category string, digits double,"
     "mantissa long, decimals int, scale long, scaled boolean, base_unit string, base_value long, in_row boolean, declared string"
@@ -122,13 +121,11 @@ def _index(values: list[str], c: Column) -> Column:
 
 
 def _features(bare: DataFrame) -> DataFrame:
-    unit_of = F.regexp_replace("declared", r"\|\d+$", "")
     log = lambda c: F.log10(F.greatest(F.abs(c), F.lit(1e-9)))
     stored = F.lower(F.split(F.trim(F.coalesce("unit", F.lit(""))), "[ _]")[0])
     common = ["", "unknown", "percent", "count", "inr", "usd", "eur", "gbp", "tonne", "ratio", "day", "percentage_point", "kg", "nos", "bps", "%", "₹", "$", "us$", "rs.", "rs", "€", "£", "mt", "units", "number", "lakh", "mn", "million"]
     return bare.select(
         "*",
-        _index(_UNITS, unit_of).alias("f_declared"),
         _index(common, stored).alias("f_stored"),
         F.pmod(F.xxhash64(F.element_at(F.split(F.coalesce("category", F.lit("")), " "), -1)), F.lit(CATEGORIES)).cast("double").alias("f_category"),
         F.when(F.col("record_table") == "facts", 1.0).otherwise(0.0).alias("f_source"),
@@ -141,7 +138,8 @@ def _features(bare: DataFrame) -> DataFrame:
     )
 
 
-FEATURES = ["f_declared", "f_stored", "f_category", "f_source", "f_row", "f_magnitude", "f_decimals", "f_negative", "f_scale", "f_digits"]
+#: What the record's own declaration says is no feature: the label of known records is taken from it.
+FEATURES = ["f_stored", "f_category", "f_source", "f_row", "f_magnitude", "f_decimals", "f_negative", "f_scale", "f_digits"]
 
 
 def _isotonic(score: np.ndarray, right: np.ndarray) -> float:

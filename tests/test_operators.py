@@ -158,6 +158,14 @@ def test_unify_with_two_known_units(spark):
     assert {r["route"] for r in got} <= {"assigned", "review"} and any(r["route"] == "assigned" for r in got)
 
 
+def test_own_declaration_is_no_feature(spark):
+    """Records that differ in their declaration alone, from which the label comes, look the same to the classifier."""
+    schema = "record_table string, record_id string, unit string, category string, digits double, mantissa long, decimals int, scale long, in_row boolean, declared string"
+    said = [U.to_code(unit, 1) for unit in U.UNITS]
+    bare = spark.createDataFrame([("facts", str(i), "unknown", "net loss", 1.0, 12, 0, 1, True, d) for i, d in enumerate(said)], schema)
+    assert len(set(said)) > 2 and unify._features(bare).select(*unify.FEATURES).distinct().count() == 1
+
+
 # --- relations, concepts, serving ------------------------------------------------------------------------------------
 
 BASE = {"fact_id": "l", "doc_id": "a", "page_no": 1, "subject": "Orrin", "subject_key": "orrin", "subject_source": "document", "metric": "revenue from operations", "metric_key": "revenue operation", "concept_id": "c1", "value": 100.0, "unit": "INR", "display": "100", "precision": 1.0, "period_label": "FY2024", "period_start": date(2023, 4, 1), "period_end": date(2024, 3, 31), "context": {}, "confidence": 0.9}
