@@ -60,9 +60,24 @@ _LETTERED, _ORDINAL, _OPENERS = (frozenset(x.split()) for x in (LETTERED, AFTER_
 
 CLOSING = ")]}\"'”’»」』）】〉》"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›"}
-FULL = "。！？｡؟۔।॥"
+# The property Sentence_Break=STerm of Unicode, without ! and ?, as hexadecimal ranges.
+_STERM = """
+589 61D-61F 6D4 700-702 7F9 837 839 83D-83E 964-965 104A-104B 1362 1367-1368 166E 1735-1736 1803 1809 1944-1945
+1AA8-1AAB 1B5A-1B5B 1B5E-1B5F 1B7D-1B7E 1C3B-1C3C 1C7E-1C7F 203C-203D 2047-2049 2E2E 2E3C 2E53-2E54 3002 A4FF
+A60E-A60F A6F3 A6F7 A876-A877 A8CE-A8CF A92F A9C8-A9C9 AA5D-AA5F AAF0-AAF1 ABEB FE56-FE57 FF01 FF1F FF61 10A56-10A57
+10F55-10F59 10F86-10F89 11047-11048 110BE-110C1 11141-11143 111C5-111C6 111CD 111DE-111DF 11238-11239 1123B-1123C
+112A9 1144B-1144C 115C2-115C3 115C9-115D7 11641-11642 1173C-1173E 11944 11946 11A42-11A43 11A9B-11A9C 11C41-11C42
+11EF7-11EF8 16A6E-16A6F 16AF5 16B37-16B38 16B44 16E98 1BC9F 1DA88
+"""
+FULL = "".join(chr(c) for r in _STERM.split() for c in range(int(r.partition("-")[0], 16), int(r.rpartition("-")[2], 16) + 1))
+# Stops of Khmer and Tibetan, which older versions of the property leave out.
+FULL += "\u17d4\u17d5\u0f0d\u0f0e"
+# Marks among them that ask or exclaim, after which a quotation's sentence may go on.
+DOUBLE = "\u203c\u203d\u2047\u2048\u2049\ufe56\ufe57"
+# Sentence_Break=ATerm: marks that may also stand inside a sentence.
+STOPS = ".\u2024\ufe52\uff0e"
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
-_MARK = re.compile(rf"([.…]+|[!?][!?.…]*|[{FULL}]+[!?{FULL}]*)([{re.escape(CLOSING)}]*)")
+_MARK = re.compile(rf"([{STOPS}…]+|[!?][!?{STOPS}…]*|[{FULL}]+[!?{FULL}]*)([{re.escape(CLOSING)}]*)")
 _QUOTE = re.compile("[\"“„«「『‹']")
 _SPACE = re.compile(r"\s*")
 _TOKEN_EDGE = re.compile(r".*[\s(\[\"“„«]", re.S)
@@ -179,11 +194,13 @@ def _cuts(text: str, start: int, end: int) -> Iterator[int]:
         closers = text[m.end(1) : after]
         if any(x in ")]）" for x in closers) and text[begun] not in "([（\"“'":
             continue
-        if mark[0] in FULL:
+        if gap and c in FULL:  # a mark set off by a blank belongs to the sentence before
+            continue
+        if mark[0] in FULL and (not gap or mark[0] not in DOUBLE):
             if closers.strip() and not gap and ("぀" <= c <= "ゟ" or _SAID.match(text, nxt, end)):
                 continue
             ok = True
-        elif mark[0] in "!?":
+        elif mark[0] in "!?" or mark[0] in DOUBLE:
             ok = _starts(text, nxt) if closers.strip() else True
             if not gap:
                 ok = c.isupper() or c in "\"“«("
@@ -191,6 +208,8 @@ def _cuts(text: str, start: int, end: int) -> Iterator[int]:
             ok = gap and _starts(text, nxt)
         elif closers.strip():
             ok = _starts(text, nxt)
+        elif mark[0] in STOPS[1:]:  # stops of other widths, which no blank need follow
+            ok = _starts(text, nxt) and (gap or not c.isnumeric())
         else:
             ok = _full_stop(text, begun, m.start(), nxt, end, gap)
         if ok:

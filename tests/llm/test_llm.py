@@ -89,6 +89,21 @@ def test_sentences_of_other_scripts(text, parts):
     assert [text[a:b] for a, b in sentences.sentence_spans(text)] == parts
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["Սա առաջինն է։", "Սա երկրորդն է։"], ["ይህ የመጀመሪያው ነው።", "ሁለተኛው ነው፧", "ሦስተኛው ነው።"], ["ဒါက ပထမ။", "ဒါက ဒုတိယ။"], ["នេះគឺមួយ។", "នេះគឺពីរ៕"],
+        ["འདི་དང་པོ་ཡིན། །", "འདི་གཉིས་པ་ཡིན།"], ["ᠨᠢᠭᠡ ᠪᠣᠯᠤᠨᠠ᠃", "ᠬᠣᠶᠠᠷ ᠪᠣᠯᠤᠨᠠ᠉"], ["ܗܢܐ ܩܕܡܝܐ܂", "ܗܢܐ ܬܪܝܢܐ܁"], ["売上は３．５億円．", "次は４億円．"], ["One came﹒", "Two left﹒"],
+        ["It grew‼", "Did it⁇", "So it did⁈", "It fell⁉", "Well."], ["“Did it⁇” he asked.", "It did."], ["ᱱᱚᱶᱟ ᱢᱤᱫ᱾", "ᱱᱚᱶᱟ ᱵᱟᱨ᱿"], ["ꯃꯁꯤ ꯑꯃꯅꯤ꯫", "ꯃꯁꯤ ꯑꯅꯤꯅꯤ꯫"],
+    ],
+)
+def test_terminators_of_all_scripts(parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences.sentence_spans(text)] == parts
+    close = "売上は３．５億円．次は４億円．"
+    assert [close[a:b] for a, b in sentences.sentence_spans(close)] == ["売上は３．５億円．", "次は４億円．"]
+
+
 def test_sentence_table(spark):
     assert sentences.sentence_spans(None) == sentences.sentence_spans("") == sentences.sentence_spans(" \n ") == []
     long = "One more sentence here. " * 30_000
