@@ -318,6 +318,19 @@ def search_facts(spark, root):
     return FT.search(FT.plain_index(T.facts(spark, root, *FT.COLUMNS)), "(haulag* OR metric:parc*) AND (growth OR stood) NOT grain")
 
 
+@query()
+def fts_index_stemmed(spark, root):
+    """As ``fts_index`` over the stemmed index, which searches are meant for."""
+    postings = FT.index(T.facts(spark, root, *FT.COLUMNS))
+    return postings.groupBy("token", "field").agg(F.count("*").alias("n"), F.count_distinct("fact_id").alias("n_facts"))
+
+
+@query()
+def search_facts_stemmed(spark, root):
+    """Words in any of their forms, on the stemmed index."""
+    return FT.search(FT.index(T.facts(spark, root, *FT.COLUMNS)), "(haulage OR metric:parcels) AND (growth OR standing OR stood) NOT grains")
+
+
 @query()
 def refiner_stats(spark, root):
     """A refinement by a stub client that quotes the evidence and proposes a period."""

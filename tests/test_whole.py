@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from claimlake.functions import columns as C
+from claimlake.functions.stem import stem
 from claimlake.operators import relate as R
 from claimlake.sources import claims as T
 
@@ -87,3 +88,16 @@ def test_two_decimals_are_exact(spark):
     values = [k / 1000 for k in range(5, 4000, 10)] + [0.125, 0.375, 2.675, 1e9 + 0.125, 1e9 + 0.375, 0.0, 200.0] + [round(rng.uniform(0, 10**e), 3) for e in range(9) for _ in range(40)] + [rng.uniform(0, 200) for _ in range(200)]
     got = spark.createDataFrame([(v,) for v in values], "x double").select(C.fixed2(F.col("x"))).collect()
     assert [r[0] for r in got] == [f"{v:.2f}" for v in values]
+
+
+def test_search_over_the_stemmed_index(spark):
+    facts = T.facts(spark, ROOT, "metric", "evidence", "subject").collect()
+    stems = {r["fact_id"]: {f: [stem(w) for w in re.findall(r"[^\W_]+", (r[f] or "").lower())] for f in ("metric", "evidence", "subject")} for r in facts}
+    every = {k: {w for ws in v.values() for w in ws} for k, v in stems.items()}
+    has = lambda k, *words: any(stem(w) in every[k] for w in words)
+    wanted = {k for k in every if (has(k, "haulage") or stem("parcels") in stems[k]["metric"]) and has(k, "growth", "standing", "stood") and not has(k, "grains")}
+    assert wanted and {r[0] for r in entry.queries()["search_facts_stemmed"](spark, ROOT).collect()} == wanted
+    n = Counter((w, f) for v in stems.values() for f, ws in v.items() for w in ws)
+    n_facts = Counter((w, f) for v in stems.values() for f, ws in v.items() for w in set(ws))
+    got = {(r["token"], r["field"]): (r["n"], r["n_facts"]) for r in entry.queries()["fts_index_stemmed"](spark, ROOT).collect()}
+    assert got == {k: (n[k], n_facts[k]) for k in n}
