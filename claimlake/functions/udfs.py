@@ -50,6 +50,24 @@ def find_quantities(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [q._asdict() for q in quantities.find_quantities(t, [(p.at, p.to) for p in periods.find_periods(t)], quantities.declared_unit(t))])
 
 
+def _on_page(page: str) -> list[dict]:
+    out = []
+    for u in N.units(page):
+        text = page[u.at : u.to]
+        declared = quantities.declared_unit(text)
+        if declared == quantities.Declared() and u.kind == "row":
+            declared = quantities.declared_unit(page[max(0, u.at - X.LOOKBACK) : u.at])
+        found = quantities.find_quantities(text, [(p.at, p.to) for p in periods.find_periods(text)], declared)
+        out += [q._replace(at=q.at + u.at, to=q.to + u.at)._asdict() for q in found]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(QUANTITY))
+def page_quantities(texts: pd.Series) -> pd.Series:
+    """Quantities of whole pages, unit by unit; rows inherit the unit declared shortly above them, as facts do."""
+    return texts.map(_on_page)
+
+
 @F.pandas_udf(T.ArrayType(QUALIFIER))
 def find_qualifiers(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [q._asdict() for q in qualifiers.find_qualifiers(t)])

@@ -96,6 +96,45 @@ def span_mask(spark, root):
     return q.select("l_orderkey", "l_linenumber", F.col("q")[0]["value"].cast("long").alias("counted"))
 
 
+# --- kernels over the pages themselves ---------------------------------------------------------------------------
+
+def _pages(spark: SparkSession, root: str) -> DataFrame:
+    return spread(T.pages(spark, root).select("doc_id", "page_no", "text")).where("text is not null")
+
+
+@query()
+def quantities_pages(spark, root):
+    """Every quantity of every page, with its place."""
+    return _pages(spark, root).select("doc_id", "page_no", F.inline(U.page_quantities("text")))
+
+
+@query()
+def periods_pages(spark, root):
+    return _pages(spark, root).select("doc_id", "page_no", F.inline(U.find_periods("text")))
+
+
+@query()
+def qualifiers_pages(spark, root):
+    return _pages(spark, root).select("doc_id", "page_no", F.inline(U.find_qualifiers("text")))
+
+
+@query()
+def units_pages(spark, root):
+    return _pages(spark, root).select("doc_id", "page_no", F.inline(U.units("text")))
+
+
+@query()
+def declared_units_pages(spark, root):
+    """What each line of every page declares, lines counted from 0."""
+    lines = _pages(spark, root).select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "page_no", "line_no", U.declared_unit("line").alias("d")).select("doc_id", "page_no", "line_no", "d.*")
+
+
+@query()
+def normalised_pages(spark, root):
+    return _pages(spark, root).select("doc_id", "page_no", U.normalise_text("text").alias("text"))
+
+
 # --- qualifiers --------------------------------------------------------------------------------------------------
 
 PHRASES = {"AUTOMOBILE": ("consolidation", "standalone", "on a standalone basis"), "BUILDING": ("vintage", "advance_estimate", "first advance estimates"), "FURNITURE": ("price_basis", "real", "at constant prices"), "MACHINERY": ("comparison", "yoy", "year-on-year"), "HOUSEHOLD": ("aggregation", "per_capita", "per capita")}

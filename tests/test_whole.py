@@ -6,10 +6,12 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from claimlake.functions import columns as C
+from claimlake.functions import columns as C, udfs as U
 from claimlake.functions.stem import stem
 from claimlake.operators import relate as R
 from claimlake.sources import claims as T
@@ -101,3 +103,33 @@ def test_search_over_the_stemmed_index(spark):
     n_facts = Counter((w, f) for v in stems.values() for f, ws in v.items() for w in set(ws))
     got = {(r["token"], r["field"]): (r["n"], r["n_facts"]) for r in entry.queries()["fts_index_stemmed"](spark, ROOT).collect()}
     assert got == {k: (n[k], n_facts[k]) for k in n}
+
+
+KERNELS = {"quantities_pages": U.page_quantities, "periods_pages": U.find_periods, "qualifiers_pages": U.find_qualifiers, "units_pages": U.units}
+
+
+@pytest.mark.parametrize("name", KERNELS)
+def test_kernels_over_pages(spark, name):
+    """Every page is read whole: what comes out is what the kernel finds page by page."""
+    pages = T.pages(spark, ROOT).where("text is not null").collect()
+    found = KERNELS[name].func(pd.Series([p["text"] for p in pages]))
+    wanted = Counter((p["doc_id"], p["page_no"]) for p, f in zip(pages, found) for _ in f)
+    got = entry.queries()[name](spark, ROOT).collect()
+    assert wanted and Counter((r["doc_id"], r["page_no"]) for r in got) == wanted
+    text = {(p["doc_id"], p["page_no"]): p["text"] for p in pages}
+    for r in got:
+        assert 0 <= r["at"] < r["to"] <= len(text[r["doc_id"], r["page_no"]])
+
+
+def test_declared_units_hold_for_rows_below_them():
+    page = "Table 3 (₹ Cr)\n\nNet loss 12 (4)\n\nSales rose to 4,500 last year."
+    (found,) = U.page_quantities.func(pd.Series([page]))
+    assert {page[q["at"] : q["to"]]: q["unit"] for q in found}["4,500"] == "count" and any(q["unit"] == "INR" and page[q["at"] : q["to"]].startswith("12") for q in found)
+
+
+def test_lines_and_texts_of_pages(spark):
+    pages = {(p["doc_id"], p["page_no"]): p["text"] for p in T.pages(spark, ROOT).where("text is not null").collect()}
+    lines = Counter((r["doc_id"], r["page_no"]) for r in entry.queries()["declared_units_pages"](spark, ROOT).collect())
+    assert lines == Counter({k: t.count("\n") + 1 for k, t in pages.items()})
+    got = {(r["doc_id"], r["page_no"]): r["text"] for r in entry.queries()["normalised_pages"](spark, ROOT).collect()}
+    assert got == dict(zip(pages, U.normalise_text.func(pd.Series(list(pages.values())))))
