@@ -1,9 +1,9 @@
 """References to records that do not exist.
 
 Parent keys are read as integers, sorted, and compressed into runs of consecutive integers that share their attributes;
-a reference is matched as-of to the run that starts at or before it and is an orphan when it lies beyond that run's end.
-Integers are cut into blocks of consecutive values: a run never crosses a block, so one hash shuffle on the block brings
-a reference and its only possible run together, and no block holds more than ``BLOCK`` parents however keys are spread.
+each key that is named is matched as-of to the run that starts at or before it and is an orphan when it lies beyond that
+run's end. Integers are cut into blocks of consecutive values: a run never crosses a block, so one hash shuffle on the
+block brings a key and its only possible run together, and no block holds more than ``BLOCK`` parents or keys.
 """
 
 from __future__ import annotations
@@ -12,14 +12,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from claimlake.operators.skew import heavy_keys
+from claimlake.operators.skew import heavy_keys, join_by_key
 from claimlake.plans.scratch import Scratch
 from claimlake.sources.tables import first_arrival
 
 #: Consecutive integers a block covers.
 BLOCK = 1 << 8
-#: Runs are broadcast up to this many (about 40 bytes each); beyond it they meet the references in a shuffle.
-BROADCAST_RUNS = 50_000
 
 
 @dataclass(frozen=True)
@@ -27,22 +25,11 @@ class Parents:
     """Keys that may be named, as runs in the shared folder and, for keys in another spelling, as they are."""
 
     runs: DataFrame  # block, n, run_end, arrived, deleted
-    n_runs: int
     odd: DataFrame  # key, arrived, deleted
     digits: int
     prefix: str
 
 
-@dataclass(frozen=True)
-class Reference:
-    """One reference field: ``rows(row_id, at, ref)``, each row once, and the rows as stored for the sketch of hot keys."""
-
-    field: str
-    rows: DataFrame
-    stored: DataFrame  # ref
-    parents: Parents
-
-
 def key_number(key: Column, prefix: str, digits: int) -> Column:
     """The integer a key of ``digits`` hexadecimal digits after ``prefix`` stands for; null for any other spelling.
 
@@ -76,34 +63,30 @@ def _verdict(found: Column, deleted: Column, arrived: Column, at: Column) -> Col
     return F.when(~found, "missing").when(deleted, "deleted").when(arrived > at, "late")
 
 
-def _asof(refs: DataFrame, runs: DataFrame) -> DataFrame:
-    """``refs(block, n, row_id, at)`` with the reason, by as-of match to ``runs`` within the block."""
-    both = runs.select("block", "n", F.lit(0).alias("side"), "run_end", "arrived", "deleted", F.lit(None).cast("string").alias("row_id"), F.lit(None).cast(refs.schema["at"].dataType).alias("at"))
-    both = both.unionByName(refs.select("block", "n", F.lit(1).alias("side"), "row_id", "at"), allowMissingColumns=True)
+def _asof(numbers: DataFrame, runs: DataFrame) -> DataFrame:
+    """``numbers(n)``, each once, with ``(found, arrived, deleted)`` of the run that starts at or before it in its block."""
+    refs = _blocked(numbers).select("block", "n", F.lit(1).alias("side"))
+    both = runs.select("block", "n", F.lit(0).alias("side"), "run_end", "arrived", "deleted").unionByName(refs, allowMissingColumns=True)
     before = Window.partitionBy("block").orderBy("n", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = both.withColumn("run", F.last(F.when(F.col("side") == 0, F.struct("run_end", "arrived", "deleted")), ignorenulls=True).over(before))
     inside = F.coalesce(F.col("n") <= F.col("run.run_end"), F.lit(False))
-    return carried.where("side = 1").select("row_id", "at", _verdict(inside, F.col("run.deleted"), F.col("run.arrived"), F.col("at")).alias("reason"))
-
-
-def _few_runs(refs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The same match against a broadcast of few runs: an equi-join on the block and the run's bounds."""
-    r = F.broadcast(runs.select("block", F.col("n").alias("run_start"), "run_end", "arrived", "deleted"))
-    hit = refs.join(r, (refs["block"] == r["block"]) & refs["n"].between(r["run_start"], r["run_end"]), "left")
-    return hit.select("row_id", "at", _verdict(F.col("run_start").isNotNull(), F.col("deleted"), F.col("arrived"), F.col("at")).alias("reason"))
+    return carried.where("side = 1").select("n", inside.alias("found"), F.col("run.arrived").alias("arrived"), F.col("run.deleted").alias("deleted"))
 
 
 def index_parents(parents: DataFrame, digits: int, prefix: str = "") -> Parents:
     """Compress ``parents(key, arrived, deleted)`` (:func:`known`) and write the runs where all references can read them."""
     numbered = parents.withColumn("n", key_number(F.col("key"), prefix, digits))
     runs = parent_runs(numbered.where("n is not null").select("n", "arrived", "deleted"))
-    _, written, n_runs = Scratch(parents.sparkSession, "runs").write_counting(runs)
-    return Parents(written, n_runs, numbered.where("n is null").drop("n"), digits, prefix)
+    _, written = Scratch(parents.sparkSession, "runs").write(runs)
+    return Parents(written, numbered.where("n is null").drop("n"), digits, prefix)
 
 
-def orphans(ref: Reference) -> DataFrame:
+def orphans(refs: DataFrame, parents: Parents) -> DataFrame:
     """``(ref_field, row_id, ref_period, reason)`` of every reference to what is missing, deleted or came later.
 
+    ``refs(ref_field, row_id, at, ref)`` may hold several fields that name the same table. It is read three times: for
+    a sketch of hot keys, for the distinct keys and for the rows.
+
     * A null or empty reference is none. Keys in another spelling than the parent's integers are matched by an exact
       join, so nothing is lost to the integer form.
     * ``missing`` goes before ``deleted``, that before ``late``; a reference at the instant of arrival is not late. A
@@ -111,27 +94,20 @@ def orphans(ref: Reference) -> DataFrame:
     * Repeated rows must have been reduced before (:func:`claimlake.sources.tables.first_arrival`); empty parents make
       every reference missing; empty references give no rows. A row_id appears once per field.
 
-    Skew: keys that many rows name are found by a sketch, and their runs (at most 400) are broadcast; the others are
-    spread by block. Parents in few runs are broadcast whole, their number being known from writing them.
+    Skew: every key is matched as-of once, however many rows name it: keys are made distinct with partial aggregation,
+    so the windows hold at most ``BLOCK`` keys and ``BLOCK`` runs. What was found goes back to the rows by key, where
+    the keys that many rows name (found by a sketch, at most 400) meet a broadcast.
     """
-    parents = ref.parents
-    number = lambda c: key_number(F.col(c), parents.prefix, parents.digits)
-    rows = ref.rows.where(F.length("ref") > 0).withColumn("n", number("ref"))
-    plain, runs = _blocked(rows.where("n is not null")), parents.runs
-    if parents.n_runs <= BROADCAST_RUNS:
-        judged = _few_runs(plain, runs)
-    elif hot := heavy_keys(_blocked(ref.stored.select(number("ref").alias("n"))), ["n"])["n"]:
-        is_hot = F.col("n").isin(hot)
-        blocks = [n >> (BLOCK.bit_length() - 1) for n in hot]
-        near = runs.where(F.col("block").isin(blocks))  # at most BLOCK runs a block
-        judged = _asof(plain.where(~is_hot), runs).unionByName(_few_runs(plain.where(is_hot), near))
-    else:
-        judged = _asof(plain, runs)
-    odd = parents.odd.withColumn("found", F.lit(True))
-    other = rows.where("n is null").join(odd, F.col("ref") == F.col("key"), "left")
-    other = other.select("row_id", "at", _verdict(F.coalesce("found", F.lit(False)), F.col("deleted"), F.col("arrived"), F.col("at")).alias("reason"))
-    every = judged.unionByName(other).where("reason is not null")
-    return every.select(F.lit(ref.field).alias("ref_field"), "row_id", F.date_format("at", "yyyy-MM").alias("ref_period"), "reason")
+    rows = refs.where(F.length("ref") > 0).withColumn("n", key_number(F.col("ref"), parents.prefix, parents.digits))
+    whole = rows.where("n is not null").select("ref_field", "row_id", "at", "n")
+    _, matched = Scratch(refs.sparkSession, "matched").write(_asof(whole.select("n").distinct(), parents.runs))
+    judged = join_by_key(whole, matched, "n", heavy_keys(whole, ["n"])["n"], "inner")
+    odd = parents.odd.withColumnRenamed("key", "ref").withColumn("found", F.lit(True))
+    other = rows.where("n is null").join(odd, "ref", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    columns = ["ref_field", "row_id", "at", "found", "arrived", "deleted"]
+    every = judged.select(*columns).unionByName(other.select(*columns))
+    every = every.withColumn("reason", _verdict(F.col("found"), F.col("deleted"), F.col("arrived"), F.col("at"))).where("reason is not null")
+    return every.select("ref_field", "row_id", F.date_format("at", "yyyy-MM").alias("ref_period"), "reason")
 
 
 def known(df: DataFrame, key: str, arrived: str, deleted: str | None = None) -> DataFrame:
@@ -146,22 +122,24 @@ def known(df: DataFrame, key: str, arrived: str, deleted: str | None = None) ->
 
 
 def claim_orphans(relations: DataFrame, facts: DataFrame, documents: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Orphan references among the four tables; see :func:`orphans`. Rows sent again count once, at their first arrival."""
+    """Orphan references among the four tables; see :func:`orphans`. Rows sent again count once, at their first arrival.
+
+    Jobs run while the plan is built: runs of parents and the rows of references are written, and hot keys sketched.
+    """
+    scratch = Scratch(relations.sparkSession, "references")
     to_facts = index_parents(known(facts, "fact_id", "recorded_at"), 16)
     to_documents = index_parents(known(documents, "doc_id", "ingested_at", "deleted_at"), 12)
     to_concepts = index_parents(known(concepts, "concept_id", "recorded_at", "deleted_at"), 10, "c")
-    links = first_arrival(relations, "relation_id", "recorded_at", "left_id", "right_id")
-    claims = first_arrival(facts, "fact_id", "recorded_at", "doc_id", "concept_id")
-
-    def of(field: str, rows: DataFrame, stored: DataFrame, row_id: str, parents: Parents) -> DataFrame:
-        ref = field.split(".")[1]
-        narrow = rows.select(F.col(row_id).alias("row_id"), F.col("recorded_at").alias("at"), F.col(ref).alias("ref"))
-        return orphans(Reference(field, narrow, stored.select(F.col(ref).alias("ref")), parents))
-
-    found = of("relations.left_id", links, relations, "relation_id", to_facts)
-    found = found.unionByName(of("relations.right_id", links, relations, "relation_id", to_facts))
-    found = found.unionByName(of("facts.doc_id", claims, facts, "fact_id", to_documents))
-    return found.unionByName(of("facts.concept_id", claims, facts, "fact_id", to_concepts))
+    _, links = scratch.write(first_arrival(relations, "relation_id", "recorded_at", "left_id", "right_id"))
+    _, claims = scratch.write(first_arrival(facts, "fact_id", "recorded_at", "doc_id", "concept_id"))
+
+    def refs(rows: DataFrame, row_id: str, of: str, *fields: str) -> DataFrame:
+        named = F.array(*(F.struct(F.lit(f"{of}.{f}").alias("ref_field"), F.col(f).alias("ref")) for f in fields))
+        return rows.select(F.col(row_id).alias("row_id"), F.col("recorded_at").alias("at"), F.inline(named))
+
+    found = orphans(refs(links, "relation_id", "relations", "left_id", "right_id"), to_facts)
+    found = found.unionByName(orphans(refs(claims, "fact_id", "facts", "doc_id"), to_documents))
+    return found.unionByName(orphans(refs(claims, "fact_id", "facts", "concept_id"), to_concepts))
 
 
 def orphan_report(found: DataFrame) -> DataFrame:
