@@ -160,12 +160,30 @@ def test_unify_with_two_known_units(spark):
 
 def test_own_declaration_is_no_feature(spark):
     """Records that differ in their declaration alone, from which the label comes, look the same to the classifier."""
-    schema = "record_table string, record_id string, unit string, category string, digits double, mantissa long, decimals int, scale long, in_row boolean, declared string"
+    schema = "record_table string, record_id string, value double, unit string, category string, digits double, mantissa long, decimals int, scale long, code string, in_row boolean, declared string"
     said = [U.to_code(unit, 1) for unit in U.UNITS]
-    bare = spark.createDataFrame([("facts", str(i), "unknown", "net loss", 1.0, 12, 0, 1, True, d) for i, d in enumerate(said)], schema)
+    bare = spark.createDataFrame([("facts", str(i), 12.0, "unknown", "net loss", 1.0, 12, 0, 1, None, True, d) for i, d in enumerate(said)], schema)
     assert len(set(said)) > 2 and unify._features(bare).select(*unify.FEATURES).distinct().count() == 1
 
 
+def test_confident_predictions_decide(spark):
+    """A row whose declaration contradicts all that resembles it takes the predicted unit; without a model it is reviewed."""
+    f = [(f"k{i}", T0, "d", 1, 18 if i % 2 else 17, f"{i}", None, "unknown", "net loss" if i % 2 else "staff", 1e7 if i % 2 else 1.0, f"Net loss (Rs. Cr) {i} 7" if i % 2 else f"We shipped about {i} last year.", 0, None) for i in range(1000, 1400)]
+    odd = ("odd", T0, "d", 1, 14, "1003", None, "unknown", "net loss", 1e7, "Net loss (kg) 1003 7", 0, None)
+    none = spark.createDataFrame([], QUANTITIES), spark.createDataFrame([], "doc_id string, page_no int, text string")
+    got = {r["record_id"]: r for r in unify.unify(spark.createDataFrame([*f, odd], FACTS), *none).collect()}
+    assert (got["odd"]["base_unit"], got["odd"]["base_value"], got["odd"]["route"]) == ("INR", 1003 * 10**7, "assigned")
+    alone = unify.unify(spark.createDataFrame([odd], FACTS), *none).first()
+    assert (alone["base_unit"], alone["base_value"], alone["route"]) == ("tonne", 1003, "review")
+
+
+def test_amounts_beyond_a_bigint_keep_their_unit(spark):
+    f = [(k, T0, "d", 1, 0, w, 1.0, "x", None, None, None, None, None) for k, w in [("a", "₹ 99999999999999 crore"), ("b", "99999999999999999999999 kg"), ("c", "99999999999999999999999"), ("d", "5 kg")]]
+    none = spark.createDataFrame([], QUANTITIES), spark.createDataFrame([], "doc_id string, page_no int, text string")
+    got = {r["record_id"]: (r["base_unit"], r["base_value"]) for r in unify.unify(spark.createDataFrame(f, FACTS), *none).collect()}
+    assert got == {"a": ("INR", None), "b": ("tonne", None), "c": ("count", None), "d": ("tonne", 5)}
+
+
 # --- relations, concepts, serving ------------------------------------------------------------------------------------
 
 BASE = {"fact_id": "l", "doc_id": "a", "page_no": 1, "subject": "Orrin", "subject_key": "orrin", "subject_source": "document", "metric": "revenue from operations", "metric_key": "revenue operation", "concept_id": "c1", "value": 100.0, "unit": "INR", "display": "100", "precision": 1.0, "period_label": "FY2024", "period_start": date(2023, 4, 1), "period_end": date(2024, 3, 31), "context": {}, "confidence": 0.9}
