@@ -1,9 +1,13 @@
 """Subject areas of each document.
 
 Sentences get an area (or none) from term features whose weights come from the labelled examples and, by expectation
-maximisation over all documents, from terms that keep company with them. A chain of calibrated
-classifiers over the sentence evidence, the source and the structure of the document then scores label combinations,
-each link seeing the labels before it; beam search decodes them. An exact count of sentences checks what it proposes.
+maximisation over all documents, from terms that keep company with them. A chain of calibrated classifiers over the
+sentence evidence, the source and the structure of the document then scores label combinations, each link seeing the
+labels before it, and beam search decodes the most probable combination, which is the answer.
+
+Nothing is known of any language but what its documents and the examples show: subject words are told from others by
+the fewer documents they keep to (their burstiness), and areas of which a language has no example by the groups that
+such words form and by how frequent these are.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -30,8 +34,11 @@ SAMPLE = 4_000
 SELDOM, CHUNK = 3, 2_000
 #: An area's least share of a document's sentences is 1 / PARTS.
 PARTS = 4
-#: Label combinations kept at each link, and the least probability relative to the best at which one still proposes.
-BEAM, PROPOSES = 6, 1e-4
+#: Label combinations kept at each link.
+BEAM = 6
+#: Of examples whose area and language have EXAMPLES or more, every HELD-th is kept from the terms and the chain's links
+#: and only calibrates them.
+EXAMPLES, HELD = 8, 4
 ROUNDS = 5
 
 # Frequent words that tell a language written in Latin letters; scripts tell the others.
@@ -42,48 +49,22 @@ FUNCTION_WORDS = {
     "es": "el los del un una sin ni hay sobre por con las y su que no",
 }
 SCRIPTS = {"hi": "\u0900-\u097f", "ja": "\u3040-\u30ff", "zh": "\u3400-\u9fff", "th": "\u0e00-\u0e7f", "ar": "\u0600-\u06ff"}
-# A glossary of subject words in general use, by area and language. It seeds areas of which the labelled
-# examples have no text in that language; words stand for all that begin with them (in German, Hindi and Chinese, hold them).
-GLOSSARY = {
-    "transport": {
-        "de": "fracht liefer güter paket spedition lager hafen bahn lkw logistik verkehr", "fr": "fret colis livraison train marchandise entrepôt port camion logistique", "es": "carga camion reparto tren puerto paquete almacén logística",
-        "hi": "माल पार्सल ट्रक बंदरगाह गोदाम रेल परिवहन", "zh": "货运 包裹 配送 集装箱 物流 铁路 港口 仓库 运输",
-    },
-    "banking": {
-        "de": "kredit bank einlage hypothek darlehen zins konto filiale", "fr": "crédit banque bancaire prêt dépôt hypothécaire épargne", "es": "crédito banco bancari préstamo depósito hipotecari",
-        "hi": "बैंक ऋण जमा ब्याज", "zh": "贷款 存款 银行 信贷 利率 储蓄",
-    },
-    "economy": {
-        "de": "handel inflation haushalt steuer wirtschaft bruttoinland preisindex verbraucherpreis export import defizit", "fr": "commerce inflation budgétaire impôt intérieur prix déficit économi", "es": "comercio inflación presupuesto fiscal impuesto interno interior precios déficit economía",
-        "hi": "राजकोषीय व्यापार मूल्य सूचकांक घरेलू महँगाई अर्थव्यवस्था", "zh": "财政 贸易 物价 总产出 通胀 税收 经济 预算",
-    },
-    "energy": {
-        "de": "strom kraftwerk gas kohle wind solar turbine energie", "fr": "électri centrale gaz charbon gazoduc éolien solaire énergie", "es": "eléctric gas gasoducto carbón eólic solar energía",
-        "hi": "बिजली गैस कोयला सौर ऊर्जा पवन विद्युत", "zh": "电网 电站 发电 天然气 燃煤 太阳能 风电 能源 煤炭 电力",
-    },
-    "farming": {
-        "de": "ernte weizen vieh milch saat bewässerung dünger landwirt getreide", "fr": "récolte blé troupeau laitier semence irrigation engrais agricole", "es": "cosecha trigo ganado lechero semilla riego fertilizante agrícola",
-        "hi": "फसल गेहूँ बीज सिंचाई दुग्ध पशु कृषि उर्वरक", "zh": "奶牛 灌溉 小麦 收成 种子 农 牧场 化肥 粮食",
-    },
-    "health": {
-        "de": "krankenhaus patient impf klinik pflege arzt medikament gesundheit", "fr": "hôpital vaccin patient soins infirmi clinique médic santé", "es": "hospital vacuna paciente enfermer clínica médic salud",
-        "hi": "अस्पताल टीका रोगी मरीज नर्स दवा स्वास्थ्य", "zh": "医院 疫苗 患者 护理 病床 医疗 药",
-    },
-    "law": {
-        "de": "gericht urteil klage gesetz vertrag schied anwalt", "fr": "cour tribunal pénal arrêt appel arbitr juge contrat", "es": "tribunal penal sentencia apelación arbitra laudo juez ley contrato",
-        "hi": "न्यायालय दंड अपील मध्यस्थ कानून अनुबंध", "zh": "法院 仲裁 刑法 上诉 合同 法律 诉讼",
-    },
-    "software": {
-        "de": "software quellcode daten server netzwerk cloud programm", "fr": "logiciel code données serveur nuage informatique", "es": "software código datos servidor nube programa",
-        "hi": "सर्वर डेटा कोड सॉफ्टवेयर क्लाउड", "zh": "服务器 数据库 代码 软件 程序 网络",
-    },
-}
 #: A term in more than this share of a language's sentences belongs to no area; without evidence a sentence has none.
 COMMON, NONE_BIAS = 0.12, 0.3
+#: A term may tell of a subject where it stands in at most this share of the documents that chance would give it, and by
+#: so many standard deviations of the sentences that chance lets fall into one document.
+KEEPS, SURELY = 0.85, 3.0
+#: A term that examples of one area alone have tells of it where this share of its sentences stands in documents that show
+#: the area without it too; shorter documents are no evidence.
+SUPPORTED, LEAST_SENTENCES = 0.8, 4
+#: A term is of no known area where this share of its sentences stands in documents without terms of known areas, and
+#: belongs to a group where this share of these stands in documents that hold the group's first term.
+LONE, BESIDE = 0.8, 0.6
+#: Ridge of the chain's links.
+RIDGE = 0.1
 
 _TELL = {w: lang for lang, ws in FUNCTION_WORDS.items() for w in ws.split() if sum(w in x.split() for x in FUNCTION_WORDS.values()) == 1}
 _SCRIPT = [(lang, re.compile(f"[{chars}]")) for lang, chars in SCRIPTS.items()]
-_HOLDING = ("de", "hi", "zh")  # languages whose compounds hold a glossary word anywhere
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*>")
 _INLINE = frozenset("b i u em strong span a font mark small sub sup code".split())
 _MARK = re.compile(r"(?m)^\s*(?:[-*•·]|\d+[.)]|#+|>)\s+|[*_`]{1,3}(?=\S)|(?<=\S)[*_`]{1,3}")
@@ -161,7 +142,6 @@ class Chunk:
     n: np.ndarray
     sizes: np.ndarray
     terms: np.ndarray
-    glossary: dict[int, int] = field(default_factory=dict)
 
     @property
     def doc(self) -> np.ndarray:
@@ -184,16 +164,14 @@ def term_numbers(terms: Sequence[str]) -> np.ndarray:
     return hashed.astype(np.int64) | (np.array([LANGUAGES.index(_language_of(t)) for t in terms], np.int64) << _BITS)
 
 
-def encode(texts: Sequence[str | None], areas: Sequence[str]) -> Chunk:
-    """Texts as numbers, with the glossary's area of every term that has one."""
+def encode(texts: Sequence[str | None]) -> Chunk:
+    """Texts as numbers."""
     by_doc = [[list(dict.fromkeys(x)) for x in sentence_terms(t)] for t in texts]
     flat = [x for d in by_doc for x in d]
     index: dict[str, int] = {}
     places = [index.setdefault(t, len(index)) for x in flat for t in x]
     numbers = term_numbers(list(index))
-    areas = tuple(areas)
-    glossary = {int(h): a for t, h in zip(index, numbers) if ":" in t and (a := _glossary_area(t, areas)) is not None}
-    return Chunk(np.array([len(d) for d in by_doc], np.int64), np.array([len(x) for x in flat], np.int64), numbers[places] if places else np.zeros(0, np.int64), glossary)
+    return Chunk(np.array([len(d) for d in by_doc], np.int64), np.array([len(x) for x in flat], np.int64), numbers[places] if places else np.zeros(0, np.int64))
 
 
 def _exact(p: np.ndarray) -> np.ndarray:
@@ -241,23 +219,6 @@ def _language_of(term: str) -> str:
     return head if mark else "en"
 
 
-def glossary_area(term: str, areas: Sequence[str]) -> int | None:
-    """The area whose glossary word is the longest in a single word of another language; None for none and for ties."""
-    lang, mark, word = term.partition(":")
-    if not mark or " " in word:
-        return None
-    best: dict[int, int] = {}
-    for i, area in enumerate(areas):
-        for known in GLOSSARY.get(area, {}).get(lang, "").split():
-            if known in word if lang in _HOLDING else word.startswith(known):
-                best[i] = max(best.get(i, 0), len(known))
-    top = [i for i, n in best.items() if n == max(best.values())]
-    return top[0] if len(top) == 1 else None
-
-
-_glossary_area = lru_cache(100_000)(glossary_area)
-
-
 def _classes(s: np.ndarray, t: np.ndarray, n: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     e = _evidence(s, t, n, weights)
     top = e.max(1, keepdims=True, initial=0)
@@ -275,6 +236,108 @@ def _company(chunk: Chunk, terms: np.ndarray, pure: np.ndarray) -> np.ndarray:
     return _sums(t, _exact(by_doc)[doc[s]], len(terms))
 
 
+def _support(chunk: Chunk, terms: np.ndarray, pure: np.ndarray) -> np.ndarray:
+    """For each term of one area alone its sentences in documents of LEAST_SENTENCES or more: those in documents that
+    show the area in a sentence without the term, and all."""
+    s, t = chunk.known(terms)
+    doc = chunk.doc
+    long = chunk.n[doc[s]] >= LEAST_SENTENCES
+    p, _ = _classes(s, t, len(doc), pure)
+    shows = _sums(doc, (p > 0).astype(float), len(chunk.n))
+    keep = long & pure[t].any(1)
+    d, t, area = doc[s[keep]], t[keep], pure[t[keep]].argmax(1)
+    pair, at, own = np.unique(d * len(terms) + t, return_inverse=True, return_counts=True)
+    told = (p[s[keep], area] > 0).astype(float)
+    own = np.bincount(at, told, len(pair))
+    return _sums(t, np.stack([shows[d, area] > own[at], np.ones(len(t))], 1).astype(float), len(terms))
+
+
+def _unexplained(chunk: Chunk, terms: np.ndarray, pure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, place in ``terms``) in documents few of whose sentences have a term of a known area, and those documents."""
+    s, t = chunk.known(terms)
+    doc = chunk.doc
+    _, told = _classes(s, t, len(doc), pure)
+    free = PARTS * np.bincount(doc[told], minlength=len(chunk.n)) < chunk.n
+    return s[free[doc[s]]], t[free[doc[s]]], free
+
+
+def _outside(chunk: Chunk, terms: np.ndarray, pure: np.ndarray) -> np.ndarray:
+    """For each term its sentences in unexplained documents, and in all."""
+    _, inside, _ = _unexplained(chunk, terms, pure)
+    return np.stack([np.bincount(inside, minlength=len(terms)), np.bincount(chunk.known(terms)[1], minlength=len(terms))], 1)
+
+
+def _beside(chunk: Chunk, terms: np.ndarray, pure: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """For each term its sentences in unexplained documents that hold one of ``seeds``."""
+    s, t, _ = _unexplained(chunk, terms, pure)
+    doc = chunk.doc[s]
+    holds = np.bincount(doc[np.isin(t, seeds)], minlength=len(chunk.n)) > 0
+    return np.bincount(t[holds[doc]], minlength=len(terms))[:, None]
+
+
+def _spread_of(chunk: Chunk, terms: np.ndarray, pure: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Documents of each language and area, and below them unexplained ones of each language and group of terms."""
+    s, t = chunk.known(terms)
+    doc, k = chunk.doc, pure.shape[1]
+    p, _ = _classes(s, t, len(doc), pure)
+    by_doc = _sums(doc, p, len(chunk.n))
+    by_doc /= np.maximum(by_doc.sum(1, keepdims=True), 1)
+    tongue = np.zeros(len(chunk.n), np.int64)
+    tongue[doc[s]] = terms[t] >> _BITS
+    out = np.zeros((2 * len(LANGUAGES), k))
+    np.add.at(out, tongue, _exact(by_doc))
+    _, t, free = _unexplained(chunk, terms, pure)
+    s, every = chunk.known(terms)
+    member = groups[every]
+    held = (member >= 0) & free[doc[s]]
+    pairs = np.unique(np.stack([doc[s[held]], member[held]], 1), axis=0)
+    np.add.at(out, (len(LANGUAGES) + tongue[pairs[:, 0]], pairs[:, 1]), 1)
+    return out
+
+
+def _name_groups(terms: np.ndarray, pure: np.ndarray, topical: np.ndarray, tally: Tally) -> np.ndarray:
+    """``pure`` with terms for areas of which a language has no example.
+
+    Documents without a term of any known area are told apart by the company of terms: in each language the most
+    frequent term of such documents and the terms that stand beside it make a group, then the most frequent of the
+    rest, as many as areas are missing. Groups are named by frequency: the more documents a group has, the more
+    frequent the area that it stands for is in languages with examples of all areas.
+    """
+    tongue, k = terms >> _BITS, pure.shape[1]
+    missing = {}
+    for lang in np.unique(tongue).tolist():
+        has = (pure[tongue == lang, :-1] > 0).any(0)
+        if not has.all():
+            missing[lang] = np.flatnonzero(~has)
+    covered = [i for i in range(len(LANGUAGES)) if i in tongue and i not in missing]
+    if not missing or not covered:
+        return pure
+    outside = tally(partial(_outside, terms=terms, pure=pure), len(terms))
+    free = outside[:, 0]
+    open_ = topical & (free >= LONE * outside[:, 1]) & (free > SELDOM)
+    groups = np.full(len(terms), -1)
+    for g in range(max(map(len, missing.values()))):
+        seeds = []
+        for lang, areas in missing.items():
+            left = np.where(open_ & (groups < 0) & (tongue == lang), free, 0)
+            if g < len(areas) and left.any():
+                seeds.append(int(left.argmax()))
+        if not seeds:
+            break
+        beside = tally(partial(_beside, terms=terms, pure=pure, seeds=np.array(seeds)), len(terms))[:, 0]
+        groups[open_ & (groups < 0) & np.isin(tongue, tongue[seeds]) & (beside >= BESIDE * free)] = g
+    docs = tally(partial(_spread_of, terms=terms, pure=pure, groups=groups), 2 * len(LANGUAGES))
+    usual = docs[covered].sum(0)
+    named = pure.copy()
+    for lang, areas in missing.items():
+        size = docs[len(LANGUAGES) + lang]
+        # ties go to the earlier group and the earlier area
+        for g, area in zip(np.argsort(-size[: len(areas)], kind="stable"), areas[np.argsort(-usual[areas], kind="stable")]):
+            of = (groups == g) & (tongue == lang)
+            named[of, area] = 1.0
+    return named
+
+
 def _first(chunk: Chunk, terms: np.ndarray, pure: np.ndarray, wider: np.ndarray) -> np.ndarray:
     """Term counts under the first classes of unlabelled sentences: by terms of one area alone, else by terms that stand
     only in documents of one area, else none. General remarks stand in documents of all areas, so none of their terms
@@ -294,26 +357,61 @@ def _expected(chunk: Chunk, terms: np.ndarray, weights: np.ndarray) -> np.ndarra
     return _sums(t, _exact(p)[s], len(terms))
 
 
-def term_counts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Sentences that have each term; below 0, sentences of each language at ``-1 - place``."""
+#: Below it stand sizes of documents, as ``LENGTHS - (sentences * 16 + language)``.
+LENGTHS = -100
+
+
+def term_counts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each term its sentences and its documents; below 0, sentences of each language at ``-1 - place`` and, below
+    LENGTHS, documents with so many sentences of a language."""
     h, n = np.unique(chunk.terms, return_counts=True)
+    doc = chunk.doc
+    _, place = np.unique(chunk.terms, return_inverse=True)
+    pairs = np.unique(place * max(len(chunk.n), 1) + np.repeat(doc, chunk.sizes))
+    docs = np.bincount(pairs // max(len(chunk.n), 1), minlength=len(h))
     first = chunk.terms[np.cumsum(chunk.sizes) - chunk.sizes] >> _BITS if len(chunk.sizes) else np.zeros(0, np.int64)
     lang, m = np.unique(first, return_counts=True)
-    return np.concatenate([-1 - lang, h]), np.concatenate([m, n])
+    of, size = np.unique(doc * 16 + first, return_counts=True)
+    length, many = np.unique(size * 16 + of % 16, return_counts=True)
+    return np.concatenate([-1 - lang, LENGTHS - length, h]), np.concatenate([m, many, n]), np.concatenate([m, many, docs])
+
+
+def _topical(tongue: np.ndarray, n: np.ndarray, docs: np.ndarray, length: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a term keeps to fewer documents than words do that stand in sentences by chance, and whether it does not;
+    of seldom terms neither is certain.
+
+    A term in ``n`` sentences of its language would by chance stand in the sum over documents of one less the chance
+    that none of their sentences has it; subject words come again in the documents they stand in.
+    """
+    out, by_chance = np.zeros(len(n), bool), np.zeros(len(n), bool)
+    for lang in np.unique(tongue):
+        size, times = length[length % 16 == lang] // 16, many[length % 16 == lang]
+        own = tongue == lang
+        total = float(size @ times)
+        if not total:
+            continue
+        grid = np.logspace(np.log10(0.5 / total), 0, 200)
+        chance = np.array([times @ -np.expm1(size * np.log1p(-min(r, 1 - 1e-12))) for r in grid])
+        usual = np.interp(n[own] / total, grid, chance)
+        few = docs[own] <= KEEPS * usual
+        out[own] = few & (usual - docs[own] >= SURELY * np.sqrt(np.maximum(n[own] - usual, 0) + 1))
+        by_chance[own] = ~few & (n[own] - usual >= 1)
+    return out, by_chance
 
 
 Tally = Callable[[Callable[[Chunk], np.ndarray], int], np.ndarray]
 
 
-def _fit_terms(areas: list[str], labelled: Sequence[tuple[int, Chunk]], counts: tuple[np.ndarray, np.ndarray], glossary: dict[int, int], tally: Tally) -> AreaModel:
+def _fit_terms(areas: list[str], labelled: Sequence[tuple[int, Chunk]], counts: tuple[np.ndarray, np.ndarray, np.ndarray], tally: Tally) -> AreaModel:
     """Term weights. ``counts`` are :func:`term_counts` of all documents, ``tally`` sums a step over all of them."""
     k = len(areas) + 1
-    h, n = counts
+    h, n, docs = counts
     spoken = np.zeros(len(LANGUAGES))
-    spoken[-1 - h[h < 0]] = n[h < 0]
-    wide = dict(zip(h[h >= 0].tolist(), n[h >= 0].tolist()))
+    of = (h < 0) & (h > LENGTHS)
+    spoken[-1 - h[of]] = n[of]
+    wide = dict(zip(h[h >= 0].tolist(), zip(n[h >= 0].tolist(), docs[h >= 0].tolist())))
     seen = Counter(t for _, c in labelled for t in c.terms.tolist())
-    terms = np.array(sorted({t for t, m in seen.items() if m > 1} | {t for t, m in wide.items() if m > SELDOM}), np.int64)
+    terms = np.array(sorted({t for t, m in seen.items() if m > 1} | {t for t, m in wide.items() if m[0] > SELDOM}), np.int64)
     size = len(terms)
     gold = np.zeros((size, k))
     for area, chunk in labelled:
@@ -322,13 +420,15 @@ def _fit_terms(areas: list[str], labelled: Sequence[tuple[int, Chunk]], counts:
     total = gold.sum(1)
     pure = np.zeros((size, k))
     tongue = terms >> _BITS
-    seen_in = np.array([wide.get(t, 0) for t in terms.tolist()])
-    common = seen_in > COMMON * np.maximum(spoken[tongue], 25)
-    sure = (gold.max(1) >= 0.9 * total) & (total > 1) & ~common
+    seen_in = np.array([wide.get(t, (0, 0)) for t in terms.tolist()]).reshape(size, 2)
+    common = seen_in[:, 0] > COMMON * np.maximum(spoken[tongue], 25)
+    topical, by_chance = _topical(tongue, *seen_in.T, LENGTHS - h[h < LENGTHS], n[h < LENGTHS])
+    topical &= ~common
+    sure = (gold.max(1) >= 0.9 * total) & (topical & (total > 0) | ~common & ~by_chance & (total > 1))
     pure[sure, gold[sure].argmax(1)] = np.log1p(total[sure])
-    for i, term in enumerate(terms.tolist()):
-        if not sure[i] and not common[i] and term in glossary:
-            pure[i, glossary[term]] = 1.0
+    support = tally(partial(_support, terms=terms, pure=pure), size)
+    pure[support[:, 0] < SUPPORTED * support[:, 1]] = 0
+    pure = _name_groups(terms, pure, topical, tally)
     company = tally(partial(_company, terms=terms, pure=pure), size)
     total = company.sum(1)
     telling = (company.max(1) >= 0.85 * total) & (total >= 3) & ~common
@@ -343,41 +443,64 @@ def _fit_terms(areas: list[str], labelled: Sequence[tuple[int, Chunk]], counts:
     return AreaModel(areas, terms[tells], weights[tells])
 
 
-def _labelled(examples: Sequence[tuple[str, str]]) -> tuple[list[str], list[tuple[int, Chunk]], dict[int, int]]:
+def _labelled(examples: Sequence[tuple[str, str]]) -> tuple[list[str], list[tuple[int, Chunk]], list[tuple[int, Chunk]]]:
+    """Areas, and the examples as numbers: those to fit on and those held out."""
     areas = sorted({a for a, _ in examples})
-    labelled = [(areas.index(a), encode([text], areas)) for a, text in examples]
-    return areas, labelled, {h: a for _, c in labelled for h, a in c.glossary.items()}
+    every = [(areas.index(a), encode([text])) for a, text in examples]
+    cell = lambda x: (x[0], int(x[1].terms[0]) >> _BITS if len(x[1].terms) else -1)
+    size, seen = Counter(map(cell, every)), Counter()
+    fit, held = [], []
+    for x in every:
+        seen[cell(x)] += 1
+        (held if size[cell(x)] >= EXAMPLES and seen[cell(x)] % HELD == 0 else fit).append(x)
+    return areas, fit, held
 
 
 def fit_terms(examples: Sequence[tuple[str, str]], texts: Sequence[str]) -> AreaModel:
     """Term weights from ``(area, text)`` examples and unlabelled texts, in memory."""
-    areas, labelled, glossary = _labelled(examples)
-    chunk = encode(texts, areas)
-    return _fit_terms(areas, labelled, term_counts(chunk), glossary | chunk.glossary, lambda step, size: step(chunk))
+    areas, labelled, _ = _labelled(examples)
+    chunk = encode(texts)
+    return _fit_terms(areas, labelled, term_counts(chunk), lambda step, size: step(chunk))
+
+
+@dataclass
+class Reading:
+    """What the sentences of documents tell: their number, how many have each area as their best class, and the sums of
+    class probabilities and of their variances."""
+
+    n: np.ndarray
+    votes: np.ndarray
+    total: np.ndarray
+    variance: np.ndarray
 
+    def __add__(self, other: Reading) -> Reading:
+        return Reading(*(np.concatenate([a, b]) for a, b in zip(vars(self).values(), vars(other).values())))
 
-def read_documents(chunk: Chunk, model: AreaModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each document: sentences, sentences of each area by their best class, and mean class probabilities."""
+
+def read_documents(chunk: Chunk, model: AreaModel) -> Reading:
     n, doc = chunk.n, chunk.doc
     s, t = chunk.known(model.terms)
     k = len(model.areas) + 1
     if not len(doc):
-        return n, np.zeros((len(n), k)), np.zeros((len(n), k))
+        return Reading(n, *(np.zeros((len(n), k)) for _ in range(3)))
     p = _posterior(_evidence(s, t, len(doc), model.weights), doc, len(n))
-    best = p.argmax(1)
     votes = np.zeros((len(n), k))
-    np.add.at(votes, (doc, best), 1)
-    mean = np.stack([np.bincount(doc, p[:, j], len(n)) for j in range(k)], 1) / np.maximum(n, 1)[:, None]
-    return n, votes, mean
+    np.add.at(votes, (doc, p.argmax(1)), 1)
+    return Reading(n, votes, _sums(doc, p, len(n)), _sums(doc, p * (1 - p), len(n)))
 
 
-def _features(n: np.ndarray, votes: np.ndarray, mean: np.ndarray, sources: Sequence, model: AreaModel) -> np.ndarray:
-    share = votes / np.maximum(n, 1)[:, None]
+def _features(read: Reading, sources: Sequence, model: AreaModel) -> np.ndarray:
+    """Sentence evidence of each area, the source's prior, and the structure of the document."""
+    n = np.maximum(read.n, 1)[:, None]
+    share, mean = read.votes / n, read.total / n
     none = np.zeros(len(model.areas))
     prior = np.array([model.sources.get(x, none) for x in sources]).reshape(len(n), len(model.areas))
-    structure = np.stack([np.log1p(n), share[:, -1], (share[:, :-1] > 0).sum(1), share[:, :-1].max(1, initial=0)], 1)
+    structure = np.stack([np.log1p(read.n), share[:, -1], (share[:, :-1] > 0).sum(1), share[:, :-1].max(1, initial=0)], 1)
     near = 1 / (1 + np.exp(-24 * (share[:, :-1] - 1 / PARTS)))
-    return np.hstack([np.ones((len(n), 1)), share[:, :-1], near, mean[:, :-1], prior, structure])
+    beyond = np.tanh(PARTS * read.votes - n + 0.5)[:, :-1]
+    # by how many standard deviations the expected number of sentences passes the least one
+    certain = np.tanh((read.total - n / PARTS) / np.sqrt(read.variance + 0.05))[:, :-1]
+    return np.hstack([np.ones((len(n), 1)), share[:, :-1], near, beyond, mean[:, :-1], certain, prior, structure])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
@@ -396,34 +519,43 @@ def _source_priors(counts: dict, labels: dict) -> dict[str, np.ndarray]:
     return {s: np.log((labels[s] + 20 * rate) / (counts[s] + 20) / rate) for s in counts if s is not None}
 
 
-def _fit_links(model: AreaModel, n: np.ndarray, votes: np.ndarray, mean: np.ndarray, sources: Sequence) -> AreaModel:
-    y = (PARTS * votes[:, :-1] >= n[:, None]) & (n[:, None] > 0)
-    held = np.arange(len(n)) % 3 == 0
-    x = _features(n, votes, mean, sources, model)
+def _told(read: Reading) -> np.ndarray:
+    """Areas that a quarter of the sentences have as their best class: labels of the documents that links are fitted on."""
+    return (PARTS * read.votes[:, :-1] >= read.n[:, None]) & (read.n[:, None] > 0)
+
+
+def _fit_links(model: AreaModel, read: Reading, sources: Sequence, fit: Sequence[tuple[int, Chunk]], held: Sequence[tuple[int, Chunk]]) -> AreaModel:
+    """Fit the chain on documents and on labelled examples; every third document and the held-out examples calibrate it."""
+    x, y = _features(read, sources, model), _told(read)
+    apart = np.arange(len(x)) % 3 == 0
+    for examples, calibrates in ((fit, False), (held, True)):
+        for area, chunk in examples:
+            x = np.vstack([x, _features(read_documents(chunk, model), [None], model)])
+            y = np.vstack([y, np.arange(len(model.areas)) == area])
+            apart = np.append(apart, calibrates)
     for j in range(len(model.areas)):
         z = np.hstack([x, y[:, :j].astype(float)])
-        w = _logistic(z[~held], y[~held, j].astype(float))
-        score = z[held] @ w
-        a = _logistic(np.stack([np.ones(len(score)), score], 1), y[held, j].astype(float))
+        w = _logistic(z[~apart], y[~apart, j].astype(float), RIDGE)
+        score = z[apart] @ w
+        a = _logistic(np.stack([np.ones(len(score)), score], 1), y[apart, j].astype(float), RIDGE)
         model.chain.append(w)
         model.calibration.append((float(a[0]), float(a[1])))
     return model
 
 
-def fit_chain(model: AreaModel, texts: Sequence[str | None], sources: Sequence) -> AreaModel:
-    """Fit the chain on documents labelled by their sentences; every third is held out to calibrate each link."""
-    n, votes, mean = read_documents(encode(texts, model.areas), model)
-    y = (PARTS * votes[:, :-1] >= n[:, None]) & (n[:, None] > 0)
+def fit_chain(model: AreaModel, examples: Sequence[tuple[str, str]], texts: Sequence[str | None], sources: Sequence) -> AreaModel:
+    """Source priors and the chain from texts in memory."""
+    read = read_documents(encode(texts), model)
     labels: dict = {}
-    for s, row in zip(sources, y):
+    for s, row in zip(sources, _told(read)):
         labels[s] = labels.get(s, 0) + row
     if labels:
         model.sources = _source_priors(Counter(sources), labels)
-    return _fit_links(model, n, votes, mean, sources)
+    return _fit_links(model, read, sources, *_labelled(examples)[1:])
 
 
 def decode(model: AreaModel, x: np.ndarray) -> np.ndarray:
-    """Beam search over label combinations: areas of every kept combination that is likely enough, for each row of ``x``."""
+    """Beam search over label combinations: the most probable one for each row of ``x``."""
     rows, k = len(x), len(model.areas)
     labels, logp = np.zeros((rows, 1, k), bool), np.zeros((rows, 1))
     for j in range(k):
@@ -435,22 +567,19 @@ def decode(model: AreaModel, x: np.ndarray) -> np.ndarray:
         both[:, labels.shape[1] :, j] = True
         keep = np.argsort(-on, 1, kind="stable")[:, :BEAM]
         labels, logp = np.take_along_axis(both, keep[:, :, None], 1), np.take_along_axis(on, keep, 1)
-    likely = logp >= logp.max(1, keepdims=True) + np.log(PROPOSES)
-    return (labels & likely[:, :, None]).any(1)
+    return labels[:, 0]
 
 
-def _decided(n: np.ndarray, votes: np.ndarray, mean: np.ndarray, sources: Sequence, model: AreaModel) -> np.ndarray:
-    """Areas that the decoded combinations propose and an exact count of sentences confirms."""
-    proposed = decode(model, _features(n, votes, mean, sources, model))
-    return proposed & (PARTS * votes[:, :-1] >= n[:, None]) & (n[:, None] > 0)
+def _decided(read: Reading, sources: Sequence, model: AreaModel) -> np.ndarray:
+    """The decoded combination of each document; one without sentences has no area."""
+    return decode(model, _features(read, sources, model)) & (read.n[:, None] > 0)
 
 
 def classify(texts: Sequence[str | None], sources: Sequence, model: AreaModel) -> list[list[str]]:
     """Areas of each text."""
     if not len(texts):
         return []
-    n, votes, mean = read_documents(encode(texts, model.areas), model)
-    return [[model.areas[j] for j in np.flatnonzero(row)] for row in _decided(n, votes, mean, sources, model)]
+    return [[model.areas[j] for j in np.flatnonzero(row)] for row in _decided(read_documents(encode(texts), model), sources, model)]
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Chunk]]:
@@ -458,43 +587,36 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Chu
         for at in range(0, len(batch), CHUNK):
             part = batch.iloc[at : at + CHUNK]
             whole = lambda c: np.concatenate([np.zeros(0, np.int64), *part[c]]).astype(np.int64)  # noqa: B023, E731
-            yield part, Chunk(part["n"].to_numpy(np.int64), whole("sizes"), whole("terms"), dict(zip(whole("glossary").tolist(), whole("said").tolist())))
+            yield part, Chunk(part["n"].to_numpy(np.int64), whole("sizes"), whole("terms"))
 
 
-def _encoded(documents: DataFrame, areas: list[str]) -> DataFrame:
+def _encoded(documents: DataFrame) -> DataFrame:
     """Documents as numbers, one row each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                c = encode(part["text"].tolist(), areas)
+                c = encode(part["text"].tolist())
                 ends = np.cumsum(c.n)
                 sizes = np.split(c.sizes, ends[:-1])
                 terms = np.split(c.terms, np.concatenate([[0], np.cumsum(c.sizes)])[ends[:-1]])
-                # the chunk's glossary words travel with its first document
-                out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "n": c.n, "sizes": sizes, "terms": terms})
-                out["glossary"] = [list(c.glossary), *[[]] * (len(part) - 1)]
-                out["said"] = [list(c.glossary.values()), *[[]] * (len(part) - 1)]
-                yield out
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "n": c.n, "sizes": sizes, "terms": terms})
 
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, n int, sizes array<int>, terms array<bigint>, glossary array<bigint>, said array<int>"
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, n int, sizes array<int>, terms array<bigint>"
     return spread(documents.select("doc_id", "text", "source"), "doc_id").where(F.length("text") > 0).mapInPandas(run, schema)
 
 
-def _count_all(encoded: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], dict[int, int]]:
-    """:func:`term_counts` over all documents, seldom terms left out, and the glossary's areas."""
+def _count_all(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`term_counts` over all documents, seldom terms left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, chunk in _chunks(batches):
-            h, n = term_counts(chunk)
-            yield pd.DataFrame({"h": h, "n": n, "area": np.full(len(h), -1)})
-            yield pd.DataFrame({"h": list(chunk.glossary), "n": np.zeros(len(chunk.glossary), np.int64), "area": list(chunk.glossary.values())})
+            yield pd.DataFrame(dict(zip(("h", "n", "docs"), term_counts(chunk))))
 
-    counted = encoded.drop("doc_id", "source").mapInPandas(run, "h bigint, n bigint, area int").groupBy("h").agg(F.sum("n").alias("n"), F.max("area").alias("area"))
-    got = counted.where((F.col("n") > SELDOM) | (F.col("h") < 0) | (F.col("area") >= 0)).toArrow()
-    h, n, area = (got[c].to_numpy() for c in ("h", "n", "area"))
-    return (h, n), {int(a): int(b) for a, b in zip(h[area >= 0], area[area >= 0])}
+    counted = encoded.drop("doc_id", "source").mapInPandas(run, "h bigint, n bigint, docs bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    got = counted.where((F.col("n") > SELDOM) | (F.col("h") < 0)).toArrow()
+    return tuple(got[c].to_numpy() for c in ("h", "n", "docs"))
 
 
 def _tally(encoded: DataFrame, k: int) -> Tally:
@@ -510,7 +632,7 @@ def _tally(encoded: DataFrame, k: int) -> Tally:
                 sums = sums + shared.value(chunk)
             if not np.isscalar(sums):
                 some = np.flatnonzero(sums.any(1))
-                yield pd.DataFrame({"i": some, **{f"c{j}": sums[some, j] for j in range(k)}})
+                yield pd.DataFrame({"i": some, **{f"c{j}": sums[some, j] if j < sums.shape[1] else 0.0 for j in range(k)}})
 
         schema = ", ".join(["i int", *(f"c{j} double" for j in range(k))])
         got = encoded.drop("doc_id", "source").mapInPandas(run, schema).groupBy("i").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(k))).toArrow()
@@ -523,18 +645,22 @@ def _tally(encoded: DataFrame, k: int) -> Tally:
 
 
 def _read_all(encoded: DataFrame, model: AreaModel) -> DataFrame:
-    """:func:`read_documents` of all documents: ``(doc_id, source, n, votes, mean)``."""
+    """:func:`read_documents` of all documents: ``(doc_id, source, n, votes, total, variance)``."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, chunk in _chunks(batches):
-            n, votes, mean = read_documents(chunk, shared.value)
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "n": n, "votes": list(votes), "mean": list(mean)})
+            r = read_documents(chunk, shared.value)
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "n": r.n, "votes": list(r.votes), "total": list(r.total), "variance": list(r.variance)})
 
-    return encoded.mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, source string, n int, votes array<double>, mean array<double>")
+    return encoded.mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, source string, n int, votes array<double>, total array<double>, variance array<double>")
 
 
-def _chained(read: DataFrame, model: AreaModel, sample: int) -> AreaModel:
+def _as_reading(part: pd.DataFrame, k: int) -> Reading:
+    return Reading(part["n"].to_numpy(np.int64), *(np.array(part[c].tolist(), float).reshape(len(part), k) for c in ("votes", "total", "variance")))
+
+
+def _chained(read: DataFrame, model: AreaModel, sample: int, fit: Sequence[tuple[int, Chunk]], held: Sequence[tuple[int, Chunk]]) -> AreaModel:
     """Source priors over all documents, and the chain on at most ``sample`` of them, those with the smallest hash of their id."""
     has = [F.count_if((F.col("n") > 0) & (PARTS * F.col("votes")[j] >= F.col("n"))).alias(f"c{j}") for j in range(len(model.areas))]
     rows = read.groupBy("source").agg(F.count("*").alias("m"), *has).collect()
@@ -542,10 +668,7 @@ def _chained(read: DataFrame, model: AreaModel, sample: int) -> AreaModel:
     if counts:
         model.sources = _source_priors(counts, {r["source"]: np.array(r[2:], float) for r in rows})
     some = smallest_hashes(read, F.col("doc_id"), sample, sum(counts.values())).toPandas()
-    k = len(model.areas) + 1
-    n = some["n"].to_numpy(np.int64)
-    votes, mean = (np.array(some[c].tolist(), float).reshape(len(n), k) for c in ("votes", "mean"))
-    return _fit_links(model, n, votes, mean, some["source"].tolist())
+    return _fit_links(model, _as_reading(some, len(model.areas) + 1), some["source"].tolist(), fit, held)
 
 
 def label_documents(documents: DataFrame, examples: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -563,14 +686,13 @@ def label_documents(documents: DataFrame, examples: DataFrame, sample: int = SAM
     given = [(r[0], r[1]) for r in examples.select("area", "text").where("area is not null and length(text) > 0").orderBy("area", "text").collect()]
     if not given:
         return spark.createDataFrame([], schema)
-    areas, labelled, glossary = _labelled(given)
+    areas, labelled, held = _labelled(given)
     scratch = Scratch(spark, "areas")
-    path, encoded = scratch.write(_encoded(documents, areas))
-    counts, said = _count_all(encoded)
-    model = _fit_terms(areas, labelled, counts, glossary | said, _tally(encoded, len(areas) + 1))
+    path, encoded = scratch.write(_encoded(documents))
+    model = _fit_terms(areas, labelled, _count_all(encoded), _tally(encoded, len(areas) + 1))
     _, read = scratch.write(_read_all(encoded, model))
     scratch.drop(path)
-    model = _chained(read, model, sample)
+    model = _chained(read, model, sample, labelled, held)
     model.terms, model.weights = model.terms[:0], model.weights[:0]
     shared = spark.sparkContext.broadcast(model)
 
@@ -578,8 +700,7 @@ def label_documents(documents: DataFrame, examples: DataFrame, sample: int = SAM
         for part in batches:
             if not len(part):
                 continue
-            votes, mean = np.array(part["votes"].tolist(), float), np.array(part["mean"].tolist(), float)
-            found = _decided(part["n"].to_numpy(np.int64), votes, mean, part["source"].tolist(), shared.value)
+            found = _decided(_as_reading(part, len(shared.value.areas) + 1), part["source"].tolist(), shared.value)
             row, j = np.nonzero(found)
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "area": np.array(shared.value.areas, dtype=object)[j]})
 
