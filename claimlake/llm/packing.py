@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +24,14 @@ CAPACITY = 2_048
 #: Documents to a shard: enough that the containers a shard leaves open are few among those it fills.
 SHARD = 50_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Characters given to the tokenizer at once; longer texts are counted in parts cut at white space.
+#: Characters given to the tokenizer at once, more where no cut is possible.
 PART = 100_000
+# The property White_Space, which the tokenizer's pattern means by white space.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Before white space that follows anything else the pattern always splits, so counts of parts add up. A run of white
+#: space is one piece but for its last character where text follows; very long ones would exhaust the pattern's stack.
+_CUT = re.compile(f"(?<=[^{_BLANK}])(?=[{_BLANK}])")
+_RUN = re.compile(f"[{_BLANK}]{{{PART // 2},}}")
 
 
 @lru_cache(maxsize=2)
@@ -41,19 +48,25 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 def token_count(text: str | None, folder: str, name: str = VOCABULARY) -> int:
-    """Tokens of ``text``, read whole; null and empty texts have none. Special tokens are ordinary text."""
+    """Tokens of ``text``, the same whether counted whole or in parts; null and empty texts have none. Special tokens are
+    ordinary text."""
     if not text:
         return 0
-    encode = _encoding(folder, name).encode_ordinary
+    encoding = _encoding(folder, name)
     if len(text) <= PART:
-        return len(encode(text))
+        return len(encoding.encode_ordinary(text))
     n, at = 0, 0
     while at < len(text):
-        end = min(len(text), at + PART)
-        if end < len(text) and (cut := max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))) > at:
-            end = cut
-        n += len(encode(text[at:end]))
-        at = end
+        run = _RUN.search(text, at)
+        stop = run.start() if run else len(text)
+        while at < stop:
+            cut = _CUT.search(text, at + PART, stop)
+            end = cut.start() if cut else stop
+            n += len(encoding.encode_ordinary(text[at:end]))
+            at = end
+        if run:
+            at = run.end() - (run.end() < len(text))
+            n += len(encoding._encode_single_piece(text[stop:at]))
     return n
 
 

@@ -1,16 +1,21 @@
 """Sentence boundaries across languages and scripts.
 
-The rules are those of the standard character-property sentence break (terminators of all scripts, closing marks that
-belong to the sentence before, no break between a full stop and a digit or a lower-case letter), with suppression of
-abbreviations by language, quotations kept whole, and, for languages without end marks, breaks at blanks.
+Marks are told by the character property Sentence_Break, whose classes are read from the property itself: a sentence ends
+after a terminator of any script (STerm) with the closing marks behind it (Close), rules SB9 to SB11; a full stop (ATerm)
+ends none before a digit (SB6), between letters (SB7) or before a lower-case word (SB8); none ends before a mark that goes
+on (SContinue, SB8a). On top come abbreviations by language, quotations kept whole, and, for languages without end marks,
+breaks at blanks. A number does not hide the lower-case word behind it, unlike in SB8, for sentences open with numbers,
+and a dash may open one.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from claimlake.plans.spread import spread
@@ -32,6 +37,8 @@ BEFORE_NUMBER = {
     "fr": "art l'art n chap al",
     "es": "art pág págs núm cap",
 }
+# Of these some are units as well, and end a sentence when a number goes before.
+ALSO_UNITS = "pp p s h v tel"
 # They may also end a sentence: what follows decides.
 EITHER = {
     "en": "inc ltd corp co llc plc bros p.a a.m p.m cr etc u.s u.k u.n e.u d.c",
@@ -56,26 +63,27 @@ SAYING = "说 表示 称 道 指出 问 写道"
 
 _set = lambda d: frozenset(w for ws in d.values() for w in ws.split())
 _INSIDE, _NUMBER, _EITHER, _MONTHS = map(_set, (INSIDE, BEFORE_NUMBER, EITHER, MONTHS))
-_LETTERED, _ORDINAL, _OPENERS = (frozenset(x.split()) for x in (LETTERED, AFTER_ORDINAL, OPENERS))
+_LETTERED, _ORDINAL, _OPENERS, _UNITS = (frozenset(x.split()) for x in (LETTERED, AFTER_ORDINAL, OPENERS, ALSO_UNITS))
 
-CLOSING = ")]}\"'”’»」』）】〉》"
+#: All characters of the planes that hold marks.
+_EVERY = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))
+
+
+def property_class(name: str) -> str:
+    """The characters whose Sentence_Break property is ``name``."""
+    return "".join(regex.findall(rf"\p{{Sentence_Break={name}}}", _EVERY))
+
+
+# The class Close holds opening marks as well; straight quotation marks do both.
+CLOSING = "".join(c for c in property_class("Close") if unicodedata.category(c) in ("Pe", "Pf") or c in "\"'")
+GOES_ON = "".join(c for c in property_class("SContinue") if unicodedata.category(c) != "Pd") + ";；"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›"}
-# The property Sentence_Break=STerm of Unicode, without ! and ?, as hexadecimal ranges.
-_STERM = """
-589 61D-61F 6D4 700-702 7F9 837 839 83D-83E 964-965 104A-104B 1362 1367-1368 166E 1735-1736 1803 1809 1944-1945
-1AA8-1AAB 1B5A-1B5B 1B5E-1B5F 1B7D-1B7E 1C3B-1C3C 1C7E-1C7F 203C-203D 2047-2049 2E2E 2E3C 2E53-2E54 3002 A4FF
-A60E-A60F A6F3 A6F7 A876-A877 A8CE-A8CF A92F A9C8-A9C9 AA5D-AA5F AAF0-AAF1 ABEB FE56-FE57 FF01 FF1F FF61 10A56-10A57
-10F55-10F59 10F86-10F89 11047-11048 110BE-110C1 11141-11143 111C5-111C6 111CD 111DE-111DF 11238-11239 1123B-1123C
-112A9 1144B-1144C 115C2-115C3 115C9-115D7 11641-11642 1173C-1173E 11944 11946 11A42-11A43 11A9B-11A9C 11C41-11C42
-11EF7-11EF8 16A6E-16A6F 16AF5 16B37-16B38 16B44 16E98 1BC9F 1DA88
-"""
-FULL = "".join(chr(c) for r in _STERM.split() for c in range(int(r.partition("-")[0], 16), int(r.rpartition("-")[2], 16) + 1))
-# Stops of Khmer and Tibetan, which older versions of the property leave out.
-FULL += "\u17d4\u17d5\u0f0d\u0f0e"
+# Stops of Tibetan, which the property leaves out.
+FULL = property_class("STerm").replace("!", "").replace("?", "") + "\u0f0d\u0f0e"
 # Marks among them that ask or exclaim, after which a quotation's sentence may go on.
 DOUBLE = "\u203c\u203d\u2047\u2048\u2049\ufe56\ufe57"
-# Sentence_Break=ATerm: marks that may also stand inside a sentence.
-STOPS = ".\u2024\ufe52\uff0e"
+#: The full stop comes first; the others are of other widths.
+STOPS = "".join(sorted(property_class("ATerm")))
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
 _MARK = re.compile(rf"([{STOPS}…]+|[!?][!?{STOPS}…]*|[{FULL}]+[!?{FULL}]*)([{re.escape(CLOSING)}]*)")
 _QUOTE = re.compile("[\"“„«「『‹']")
@@ -154,7 +162,7 @@ def _full_stop(text: str, start: int, dot: int, nxt: int, end: int, gap: bool) -
         return False
     if low in _NUMBER and (c.isdigit() or _ROMAN.match(text, nxt, end)):
         head = text[max(start, dot - 20) : dot - len(token)].split()
-        return bool(head) and head[-1][-1:].isdigit()  # after a number the word is a unit
+        return low in _UNITS and bool(head) and head[-1][-1:].isdigit()
     if low in _MONTHS and c.isdigit():
         head = text[max(start, dot - 20) : dot - len(token)].split()
         year = re.match(r"(?:19|20)\d\d\b", text[nxt : nxt + 5])
@@ -189,7 +197,7 @@ def _cuts(text: str, start: int, end: int) -> Iterator[int]:
         if nxt >= end:
             return
         c, gap = text[nxt], nxt > after
-        if c in ",;:、，；：" or c in CLOSING and not gap:
+        if c in GOES_ON or c in CLOSING and not gap:
             continue
         closers = text[m.end(1) : after]
         if any(x in ")]）" for x in closers) and text[begun] not in "([（\"“'":

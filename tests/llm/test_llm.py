@@ -64,6 +64,7 @@ def test_groups_of_the_table(spark):
         ["Is that all?", "Really?!", "(It is not.)", "'Not yet.'", "Output was 5 Mn Tons ... and stayed; (a) late, (b) early."],
         ["The board met on 14 Mar. 2024 and rose at 6.30 p.m.", "Filing closed in Dec.", "Ms. Lin et al. dissented."],
         ["Der Ausschuss tagte am 3. Mai 2022.", "Die Marge stieg, u. a. wegen der Maut, auf 9,9 Mio. EUR.", "„Wir sind da. Das reicht nicht“, sagte Dr. Wick.", "Fiel er im 2. Quartal 2019?"],
+        ["Laut Abs. 3 Nr. 3 sind es bis zu 4 %.", "Siehe Art. 5 Nr. 12.", "The spread rose by 6.4 pp.", "12 banks agreed."],
         ["El Sr. Dor dijo: «Cerramos. No es poco».", "¿Y después?", "Según el art. 13, es de aprox. 4 % (véase pág. 3).", "El acta es la núm. 4."],
         ["Le conseil s'est réuni à 18 h.", "« Ce n'est pas assez », dit M. Quil.", "Quelle hausse !", "Au 1er avr. 2020, rien."],
         ["धारा 8.2 के अनुसार 3.1 करोड़ है।", 'डॉ. Dor ने कहा, "यह है। यह नहीं।"', "क्या 2021 में?"],
@@ -105,6 +106,13 @@ def test_terminators_of_all_scripts(parts):
     assert [close[a:b] for a, b in sentences.sentence_spans(close)] == ["売上は３．５億円．", "次は４億円．"]
 
 
+def test_classes_are_those_of_the_property():
+    assert {"։", "።", "။", "។", "།", "。", "؟", "।"} <= set(sentences.FULL) and set(".․﹒．") == set(sentences.STOPS) and sentences.STOPS[0] == "."
+    assert {")", "]", "”", "»", "」", '"', "'"} <= set(sentences.CLOSING) and not {"(", "“", "「"} & set(sentences.CLOSING)
+    assert {",", ";", ":", "、", "，", "；", "：", "،"} <= set(sentences.GOES_ON) and "-" not in sentences.GOES_ON
+    assert len(sentences.sentence_spans("He came.﹚ He went! ، and so on.")) == 2
+
+
 def test_sentence_table(spark):
     assert sentences.sentence_spans(None) == sentences.sentence_spans("") == sentences.sentence_spans(" \n ") == []
     long = "One more sentence here. " * 30_000
@@ -160,6 +168,16 @@ def test_token_counts():
     assert abs(count(long) - 20_000 * count(" some words and more,")) <= 20_010
 
 
+@pytest.mark.parametrize("text", ["a" * 250_000, "word " * 60_000, " " * 150_000 + "x" + "\n" * 150_000, "x \n\ty" * 60_000, "12.5%," * 50_000, "ab1?" * 60_000 + " end", "!\x1c" * 90_000, " " * 60_000 + "\n" + " " * 60_000])
+def test_long_texts_are_counted_as_a_whole(text):
+    whole = packing._encoding("/opt/tokenizers", packing.VOCABULARY).encode_ordinary(text)
+    assert packing.token_count(text, "/opt/tokenizers") == len(whole)
+
+
+def test_very_long_runs_of_blanks_are_counted():
+    assert packing.token_count(" " * 2_000_000 + "x", "/opt/tokenizers") > 1 and packing.token_count("\n" * 2_000_000, "/opt/tokenizers") > 0
+
+
 def test_container_report(spark):
     r = entry.queries()["p6_report"](spark, SMALL).first()
     assert r["utilisation"] > 0.97 and r["tokens"] + r["room"] == r["containers"] * 2048
