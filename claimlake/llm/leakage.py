@@ -13,19 +13,25 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
+from types import MappingProxyType
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from claimlake.plans.scratch import Scratch
 from claimlake.plans.spread import spread
 
 #: Words in a row that make a leak, words of which one may be replaced, and the n-gram whose size follows from both.
 RUN, PER_REPLACED, GRAM = 20, 10, 6
-#: Items are sent to every worker only up to this much text; more are searched in several passes of this size.
+#: Items are sent to every worker only up to this much text; more are searched in several passes of this size, one at a
+#: time. What items share (stock lines, hyphened words) is taken from all items whatever the passes.
 ITEM_CHARS = 20_000_000
+#: A first line that so many items share is stock.
+STOCK = 10
 
 _JOIN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370)])
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|font|mark|small|sub|sup|code)(?:\s[^<>]*)?>")
@@ -38,11 +44,11 @@ _QUESTION = re.compile(r"\n\s*question\s*:\s*", re.I)
 _ANSWER = re.compile(r"\n\s*answer\s*:.*", re.I | re.S)
 
 
-def normal_words(text: str, known: dict | None = None, compounds: dict | None = None) -> list[str]:
+def normal_words(text: str, compounds: Mapping[str, tuple[str, ...]] = MappingProxyType({})) -> list[str]:
     """Words of ``text`` without case, punctuation, mark-up, invisible characters and character forms.
 
-    ``known`` holds the words of the items: a word broken at a line end is joined unless only its halves are known.
-    ``compounds`` maps items' hyphened words written in one to their parts.
+    A word broken at a line end is joined. ``compounds`` maps words that items write with hyphens, written in one, to
+    their parts, into which they fall wherever they stand, so that all spellings of them agree.
     """
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_JOIN)
@@ -52,12 +58,7 @@ def normal_words(text: str, known: dict | None = None, compounds: dict | None =
     if "&" in text:
         text = html.unescape(text).replace("\xad", "").replace("\u200b", "")
     if "-" in text or "‐" in text:
-
-        def mend(m: re.Match) -> str:
-            a, b = m.groups()
-            return f"{a} {b}" if known is not None and a + b not in known and a in known and b in known else a + b
-
-        text = _BROKEN.sub(mend, text)
+        text = _BROKEN.sub(r"\1\2", text)
     words = _WORD.findall(_GROUPED.sub("", text))
     if compounds and not compounds.keys().isdisjoint(words):
         words = [w for x in words for w in compounds.get(x, (x,))]
@@ -69,7 +70,7 @@ class ItemIndex:
     """What a worker needs to find items: word numbers, n-gram hashes with their places, and the items' words."""
 
     words: dict[str, int]
-    compounds: dict[str, tuple[str, ...]]
+    compounds: Mapping[str, tuple[str, ...]]
     hashes: np.ndarray  # sorted
     places: np.ndarray  # item row, word place for each hash
     items: list[np.ndarray]
@@ -102,33 +103,55 @@ def item_body(text: str, stock: frozenset[str]) -> str:
     return _QUESTION.sub("\n", "\n" + "\n".join(lines))
 
 
-def index_items(rows: Sequence[tuple]) -> ItemIndex:
-    """Index ``(item_id, text)`` rows; null and empty texts are left out. A first line that ten items share is stock."""
+def first_line(text: str) -> str:
+    return text.strip().split("\n")[0].strip()
+
+
+def hyphened(text: str) -> dict[str, str]:
+    """Words of ``text`` with hyphens: written in one, and their parts with blanks between."""
+    return {m.replace("-", ""): m.replace("-", " ") for m in _HYPHENED.findall(text.lower())}
+
+
+@dataclass(frozen=True)
+class Shared:
+    """What the items have in common."""
+
+    stock: frozenset[str] = frozenset()
+    compounds: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+
+
+def shared_by(items: DataFrame) -> Shared:
+    """Stock lines and hyphened words of all ``items(id, text)``, counted where they lie.
+
+    What comes back are lines that STOCK items share and distinct hyphened words, a small part of the items' words.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [("line", first_line(t), "") for t in batch["text"]] + [("word", *kv) for t in batch["text"] for kv in hyphened(t).items()]
+            yield pd.DataFrame(rows, columns=["kind", "key", "parts"])
+
+    told = items.where(F.length("text") > 0).select("text").mapInPandas(read, "kind string, key string, parts string")
+    told = told.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("parts").alias("parts")).where((F.col("kind") == "word") | (F.col("n") >= STOCK)).collect()
+    return Shared(frozenset(r["key"] for r in told if r["kind"] == "line"), {r["key"]: tuple(r["parts"].split()) for r in told if r["kind"] == "word"})
+
+
+def index_items(rows: Sequence[tuple], shared: Shared) -> ItemIndex:
+    """Index ``(item_id, text)`` rows; null ids and null and empty texts are left out."""
     rows = [(i, t) for i, t in rows if i is not None and t]
-    first: dict[str, int] = {}
-    for _, t in rows:
-        line = t.strip().split("\n")[0].strip()
-        first[line] = first.get(line, 0) + 1
-    stock = frozenset(line for line, n in first.items() if n >= 10)
     numbers: dict[str, int] = {}
-    compounds: dict[str, tuple[str, ...]] = {}
     items, hashes, places = [], [], []
     for row, (_, text) in enumerate(rows):
-        body = item_body(text, stock)
-        for m in _HYPHENED.findall(body.lower()):
-            compounds[m.replace("-", "")] = tuple(m.split("-"))
-        words = normal_words(body)
-        item = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int64)
+        item = np.array([numbers.setdefault(w, len(numbers) + 1) for w in normal_words(item_body(text, shared.stock), shared.compounds)], np.int64)
         h = _hashes(item)
         items.append(item)
         hashes.append(h)
         places.append(np.stack([np.full(len(h), row), np.arange(len(h))], 1))
     if not items:
-        return ItemIndex(numbers, compounds, np.empty(0, np.uint64), np.empty((0, 2), np.int64), [], [])
+        return ItemIndex(numbers, shared.compounds, np.empty(0, np.uint64), np.empty((0, 2), np.int64), [], [])
     h = np.concatenate(hashes)
     order = np.argsort(h, kind="stable")
-    compounds = {k: v for k, v in compounds.items() if k not in numbers}
-    return ItemIndex(numbers, compounds, h[order], np.concatenate(places)[order], items, [i for i, _ in rows])
+    return ItemIndex(numbers, shared.compounds, h[order], np.concatenate(places)[order], items, [i for i, _ in rows])
 
 
 def longest_run(agree: np.ndarray) -> int:
@@ -160,7 +183,7 @@ def leaked_items(text: str | None, index: ItemIndex) -> dict[int, int]:
     if not text or not len(index.hashes):
         return {}
     get = index.words.get
-    words = normal_words(text, index.words, index.compounds)
+    words = normal_words(text, index.compounds)
     doc = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
     h = _hashes(doc)
     left = np.searchsorted(index.hashes, h)
@@ -190,26 +213,32 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     ten may be replaced. Null and empty texts and items hold nothing; every copy of a document is reported; repeated
     items give one row per item id. Other columns are ignored. No items: no rows.
 
-    The items' size is checked before they are sent: beyond ``ITEM_CHARS`` they go in several passes, none is dropped.
-    Documents are never shuffled; a document of any length is read whole.
+    The items' size is checked before they are sent: beyond ``ITEM_CHARS`` they go in several passes whose rows are
+    written, one index alive at a time; none is dropped and the result is the same. Documents are never shuffled; a
+    document of any length is read whole. Jobs that read the items run while the plan is built, with several passes
+    those that read the documents too.
     """
     spark = documents.sparkSession
-    wanted = items.select(item_id, item_text).distinct()
-    size = wanted.agg(F.sum(F.length(item_text))).first()[0] or 0
-    documents = spread(documents.select(doc_id, text), doc_id)
+    wanted = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).distinct()
+    size = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
+    shared = shared_by(wanted)
+    documents = spread(documents.select(doc_id, text), doc_id).where(F.length(text) > 0)
     passes = -(-size // ITEM_CHARS) or 1
     schema = documents.select(F.col(doc_id).alias("doc_id")).schema.add("item_id", items.schema[item_id].dataType)
-    found = None
+    scratch, found = Scratch(spark, "leaks") if passes > 1 else None, []
     for part in range(passes):
-        rows = wanted.where(F.pmod(F.xxhash64(item_id), F.lit(passes)) == part).orderBy(item_id).collect()
-        shared = spark.sparkContext.broadcast(index_items([tuple(r) for r in rows]))
+        rows = wanted.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == part).orderBy("id", "text").collect()
+        sent = spark.sparkContext.broadcast(index_items([tuple(r) for r in rows], shared))
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
+        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            index = sent.value
             for batch in batches:
                 pairs = [(d, index.ids[r]) for d, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]) for r, n in leaked_items(t, index).items() if n >= run]
                 yield pd.DataFrame(sorted(set(pairs), key=repr), columns=["doc_id", "item_id"])
 
-        out = documents.select(doc_id, text).where(F.length(text) > 0).mapInPandas(scan, schema)
-        found = out if found is None else found.unionByName(out)
-    return found
+        out = documents.mapInPandas(scan, schema)
+        if scratch:
+            out = scratch.write(out)[1]
+            sent.destroy()
+        found.append(out)
+    return reduce(DataFrame.unionByName, found)

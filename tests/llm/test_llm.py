@@ -189,7 +189,8 @@ ITEM = "Read this.\nIn 1904 the brittle parcel hub passed from Zinmereby to Ostf
 
 
 def leaks(text, run=20):
-    index = leakage.index_items([(1, ITEM), (2, None), (3, "")] + [(10 + i, f"Read this.\nAnother item number {i} altogether.") for i in range(9)])
+    shared = leakage.Shared(frozenset(["Read this."]), {k: tuple(v.split()) for k, v in leakage.hyphened(ITEM).items()})
+    index = leakage.index_items([(1, ITEM), (2, None), (3, "")] + [(10 + i, f"Read this.\nAnother item number {i} altogether.") for i in range(9)], shared)
     return {index.ids[r] for r, n in leakage.leaked_items(text, index).items() if n >= run}
 
 
@@ -232,6 +233,21 @@ def test_leaks_of_a_table(spark, monkeypatch):
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0 and leakage.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_passes_do_not_change_leaks(spark, monkeypatch):
+    """Stock lines and hyphened words are those of all items, however the items are split."""
+    stock = "Read each of the following passages with care and answer what is asked about it in as few words as you possibly can please."
+    body = lambda i: " ".join(f"w{(i * 31 + j * (i + 7)) % 997}" for j in range(30)) + f" over-land{i} tail"
+    items = spark.createDataFrame([(i, f"{stock}\n{body(i)}\nQuestion: what is {i} {i + 1}\nAnswer: x") for i in range(24)] + [(30, "a plain overland5 word with nothing more")], "item_id long, text string")
+    docs = [(i, f"Before. {body(i)} after.") for i in range(24)] + [(100, stock + " " + stock), (101, body(5).replace("-", "")), (102, body(6).replace("over-", "over-\n")), (103, body(7).replace("over-land", "over land"))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = sorted([(i, i) for i in range(24)] + [(101, 5), (102, 6), (103, 7)])
+    shared = leakage.shared_by(items)
+    assert shared.stock == {stock} and shared.compounds["overland5"] == ("over", "land5")
+    for bound in (20_000_000, 2_000, 200):
+        monkeypatch.setattr(leakage, "ITEM_CHARS", bound)
+        assert sorted(map(tuple, leakage.find_leaks(docs, items).collect())) == expected
+
+
 # --- subject areas -----------------------------------------------------------------------------------------------------
 
 
