@@ -22,14 +22,21 @@ SALTS = 64
 def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE) -> dict[str, list]:
     """Keys that hold at least about ``share`` of the rows, for each column, from one scan of those columns.
 
-    Null and empty keys are left out. The estimate of a key's count is never below the truth, so no key at or above
+    Null and empty keys are left out; keys are of one type. The estimate of a key's count is never below the truth, so no key at or above
     ``share`` is missed; at most ``1 / share`` plus the sketch's error come back, so the lists are bounded.
     """
-    found = int(2 / share)
-    text = {k: F.when(F.length(F.col(k).cast("string")) > 0, F.col(k)) for k in keys}
-    sketches = [F.expr(f"approx_top_k(k{i}, {found}, {TRACKED})").alias(f"s{i}") for i in range(len(keys))]
-    row = df.select(*(c.alias(f"k{i}") for i, c in enumerate(text.values()))).agg(F.count("*").alias("n"), *sketches).first()
-    return {k: [x["item"] for x in row[f"s{i}"] or [] if x["item"] is not None and x["count"] >= share * row["n"]] for i, k in enumerate(keys)}
+    row = df.agg(F.count("*").alias("n"), *(sketch(F.col(k), share).alias(f"s{i}") for i, k in enumerate(keys))).first()
+    return {k: heavy_of(row[f"s{i}"], row["n"], share) for i, k in enumerate(keys)}
+
+
+def sketch(key: Column, share: float = HEAVY_SHARE) -> Column:
+    """The aggregate behind :func:`heavy_keys`, for those who can take it while they write the rows anyway."""
+    return F.call_function("approx_top_k", F.when(F.length(key.cast("string")) > 0, key), F.lit(int(2 / share)), F.lit(TRACKED))
+
+
+def heavy_of(seen: list | None, n: int, share: float = HEAVY_SHARE) -> list:
+    """Keys of a :func:`sketch` over ``n`` rows that hold at least about ``share`` of them."""
+    return [x["item"] for x in seen or [] if x["item"] is not None and x["count"] >= share * n]
 
 
 def keyed(df: DataFrame, keys: Sequence[str], *carried: str) -> DataFrame:
@@ -62,7 +69,9 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, heavy: list, how: s
     ``right`` must hold each key once, so the broadcast has at most ``len(heavy)`` rows. The other rows take the ordinary
     shuffle. ``how`` is ``left`` or ``inner``. Null keys of ``left`` match nothing and are kept by ``left``.
     """
-    hot_key = F.coalesce(F.col(key).isin(heavy), F.lit(False)) if heavy else F.lit(False)
+    if not heavy:
+        return left.join(right, key, how)
+    hot_key = F.coalesce(F.col(key).isin(heavy), F.lit(False))
     hot = left.where(hot_key).join(F.broadcast(right.where(hot_key)), key, how)
     cold = left.where(~hot_key).join(right.where(~hot_key), key, how)
     return hot.unionByName(cold)

@@ -12,7 +12,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,11 +50,16 @@ class Scratch:
         df.write.parquet(path)
         return path, self.spark.read.schema(df.schema).parquet(path)
 
+    def write_observing(self, df: DataFrame, **wanted: Column) -> tuple[str, DataFrame, dict]:
+        """As :meth:`write`, and aggregates of the rows, taken while writing."""
+        seen = Observation()
+        path, back = self.write(df.observe(seen, *(c.alias(k) for k, c in wanted.items())))
+        return path, back, seen.get
+
     def write_counting(self, df: DataFrame, condition: str = "true") -> tuple[str, DataFrame, int]:
         """As :meth:`write`, and the number of rows that meet ``condition``, taken while writing."""
-        seen = Observation()
-        path, back = self.write(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
-        return path, back, seen.get["n"]
+        path, back, seen = self.write_observing(df, n=F.count_if(F.expr(condition)))
+        return path, back, seen["n"]
 
     def drop(self, *paths: str) -> None:
         jvm = self.spark.sparkContext._jvm
