@@ -3,15 +3,22 @@
 Minimum labels travel along edges, pointer jumping flattens the resulting trees, and the graph is then contracted to
 its roots: every round writes its tables to the shared folder, and rounds end when no edge joins two roots, which is
 when no label would change. Later rounds see only the roots that still have edges, so a long chain costs a few rounds
-on shrinking tables, not one round per link.
+on shrinking tables, not one round per link; ids that point at a root take no part in further jumps.
+
+Hot keys: an id that most edges or labels name is found by a sketch, taken while its table is written, and its rows meet
+a broadcast of the few hot ids' labels (:func:`claimlake.operators.skew.join_by_key`); the others take the shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from claimlake.operators.skew import heavy_of, join_by_key, sketch
 from claimlake.plans.scratch import Scratch
 
+#: An id is hot where at least so many rows name it; fewer do not hold up a task. Only the plan depends on it.
+HOT_ROWS = 100_000
+
 
 def match_edges(relations: DataFrame, kind: str) -> DataFrame:
     """Distinct undirected edges ``(a, b)``, ``a <= b``, of relations of one kind.
@@ -25,16 +32,32 @@ def match_edges(relations: DataFrame, kind: str) -> DataFrame:
     return wanted.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).distinct()
 
 
-def _flatten(scratch: Scratch, parents: DataFrame, path: str) -> tuple[str, DataFrame]:
-    """Pointer jumping: replace each parent by its parent until all point at roots. ``parents(id, parent)``."""
-    moved = 1
-    while moved:
-        up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
-        jumped = parents.join(up, "parent").select("id", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved"))
-        new_path, new, moved = scratch.write_counting(jumped, "moved")
-        scratch.drop(path)
-        path, parents = new_path, new.select("id", "parent")
-    return path, parents
+def _hot(seen: list | None, n: int) -> list:
+    return heavy_of([x for x in seen or [] if x["count"] >= HOT_ROWS], n)
+
+
+def _live(scratch: Scratch, rows: DataFrame) -> tuple[str, DataFrame, int, int, list]:
+    """Write ``rows(id, parent, rooted)``: path, frame, rows, those that are not rooted, and the hot parents of these."""
+    waiting = F.when(~F.col("rooted"), F.col("parent"))
+    path, rows, seen = scratch.write_observing(rows, n=F.count("*"), left=F.count_if(~F.col("rooted")), hot=sketch(waiting))
+    return path, rows, seen["n"], seen["left"], _hot(seen["hot"], seen["left"])
+
+
+def _flatten(scratch: Scratch, parents: DataFrame) -> tuple[list[str], DataFrame, int]:
+    """Pointer jumping: replace each parent by its parent until all point at roots. ``parents(id, parent)``.
+
+    Returns the paths written, the flat rows and their number.
+    An id whose parent is known to point at a root, or to be one, is rooted by the jump and rests from then on.
+    """
+    path, rows, n, left, hot = _live(scratch, parents.withColumn("rooted", F.col("id") == F.col("parent")))
+    paths = [path]
+    while left:
+        up = rows.select(F.col("id").alias("parent"), F.col("parent").alias("grand"), F.col("rooted").alias("known"))
+        jumped = join_by_key(rows.where(~F.col("rooted")).select("id", "parent"), up, "parent", hot, "inner")
+        path, jumped, _, left, hot = _live(scratch, jumped.select("id", F.col("grand").alias("parent"), F.col("known").alias("rooted")))
+        paths.append(path)
+        rows = rows.where("rooted").unionByName(jumped)
+    return paths, rows.select("id", "parent"), n
 
 
 def connected_groups(edges: DataFrame) -> DataFrame:
@@ -44,37 +67,40 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     * Ids of any orderable type; null ids must not occur (:func:`match_edges` drops them). Other columns are ignored.
     * No edges: an empty result.
 
-    Skew: a hub's edges are first reduced by ``min`` with partial aggregation; labels are unique per id, so only the
-    edge side of a join can be hot, which adaptive execution splits. No neighbour list is ever gathered.
+    Skew: a hub's edges are first reduced by ``min`` with partial aggregation; joins to labels, which are unique per id,
+    split off hot ids. No neighbour list is ever gathered. All rounds run while the plan is built.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
-    first_path, graph = scratch.write(edges.select("a", "b"))
-    graph_path, finished = first_path, []
+    ends_of = {"n": F.count("*"), "a": sketch(F.col("a")), "b": sketch(F.col("b"))}
+    graph_path, graph, seen = scratch.write_observing(edges.select("a", "b"), **ends_of)
     # layers: (id, parent) maps of the rounds; each maps the roots of the round before
+    layers = []
     while True:
         ends = graph.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("near")), F.struct(F.col("b").alias("id"), F.col("a").alias("near")))).alias("e")).select("e.*")
         smallest = ends.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("parent"))
-        path, parents = scratch.write(smallest)
-        path, parents = _flatten(scratch, parents, path)
-        finished.append((path, parents))
+        paths, parents, n = _flatten(scratch, smallest)
+        layers.append((paths, parents, n))
         left = parents.select(F.col("id").alias("a"), F.col("parent").alias("ra"))
         right = parents.select(F.col("id").alias("b"), F.col("parent").alias("rb"))
-        contracted = graph.where("a != b").join(left, "a").select("b", "ra").distinct().join(right, "b").where("ra != rb")
+        hot_a, hot_b = (_hot(seen[k], seen["n"]) for k in ("a", "b"))
+        halved = join_by_key(graph.where("a != b"), left, "a", hot_a, "inner").select("b", "ra").distinct()
+        contracted = join_by_key(halved, right, "b", hot_b, "inner").where("ra != rb")
         contracted = contracted.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        new_path, new, left_over = scratch.write_counting(contracted)
+        new_path, graph, seen = scratch.write_observing(contracted, **ends_of)
         scratch.drop(graph_path)
-        graph_path, graph = new_path, new
-        if not left_over:
+        graph_path = new_path
+        if not seen["n"]:
             break
     scratch.drop(graph_path)
     # from the last round back: the roots of round k get their final root from round k + 1, where they had edges
-    groups = finished[-1][1]
-    for _, parents in reversed(finished[:-1]):
+    groups = layers[-1][1]
+    for _, parents, n in reversed(layers[:-1]):
         final = groups.select(F.col("id").alias("parent"), F.col("parent").alias("root"))
-        groups = parents.join(final, "parent", "left").select("id", F.coalesce("root", "parent").alias("parent"))
-    path, groups = scratch.write(groups.withColumnRenamed("parent", "group_id"))
-    scratch.drop(*(p for p, _ in finished))
+        told = parents.agg(sketch(F.col("parent")).alias("hot")).first()["hot"] if n >= HOT_ROWS else []
+        groups = join_by_key(parents, final, "parent", _hot(told, n)).select("id", F.coalesce("root", "parent").alias("parent"))
+    _, groups = scratch.write(groups.withColumnRenamed("parent", "group_id"))
+    scratch.drop(*(p for paths, *_ in layers for p in paths))
     return groups
 
 

@@ -33,7 +33,9 @@ def brute_groups(edges):
     return {x: find(x) for x in parent}
 
 
-def test_groups_against_union_find(spark):
+@pytest.mark.parametrize("hot_rows", [100_000, 5])
+def test_groups_against_union_find(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(components, "HOT_ROWS", hot_rows)
     rng = random.Random(5)
     edges = [(f"{rng.randrange(300):03}", f"{rng.randrange(300):03}") for _ in range(150)]
     edges += [(f"p{i:02}", f"p{i + 1:02}") for i in range(30)] + [("zz", f"h{i:03}") for i in range(80)] + [("self", "self")]
