@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-#: The sketch tracks this many counters: a key above 3.5/TRACKED (0.035 %) of the rows is always seen.
-TRACKED = 10_000
+#: The sketch tracks this many counters: a key above 3.5/TRACKED (0.34 %) of the rows is always seen. Every task sends one.
+TRACKED = 1_024
 #: A key with at least this share of the rows is processed as heavy, so there are at most 200 heavy keys a column.
 HEAVY_SHARE = 0.005
 #: Parts into which the rows of one heavy key are spread.
