@@ -37,13 +37,33 @@ def pool(facts: DataFrame, documents: DataFrame) -> DataFrame:
     return kept.join(docs, "doc_id").select("collection", *SIDE)
 
 
-def top_of_blocks(facts: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
+def top_of_blocks(facts: DataFrame, cap: int | None = BLOCK_CAP) -> DataFrame:
     """The ``cap`` most confident facts of each (collection, concept, unit), ranked by ``rk``; ties by id.
 
-    Spark pushes the rank limit below the shuffle, so a hot block sends at most ``cap`` rows from each task.
+    Spark pushes the rank limit below the shuffle, so a hot block sends at most ``cap`` rows from each task. With
+    ``None`` no fact is left out: the exact way, whose pairs grow with the square of a block (:func:`beyond_cap` tells
+    what the default leaves out).
     """
     w = Window.partitionBy("collection", "concept_id", "unit").orderBy(F.desc("confidence"), "fact_id")
-    return facts.where(F.length("concept_id") > 0).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= cap)
+    ranked = facts.where(F.length("concept_id") > 0).withColumn("rk", F.row_number().over(w))
+    return ranked if cap is None else ranked.where(F.col("rk") <= cap)
+
+
+def beyond_cap(facts: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
+    """``(collection, concept_id, unit, n_facts, n_left_out, n_pairs_left_out)`` of the blocks that ``cap`` cuts.
+
+    Pairs are counted before subjects are compared. Counts alone cross the shuffle.
+    """
+    n, pairs = F.col("n_facts"), lambda c: c * (c - 1) / 2
+    blocks = facts.where(F.length("concept_id") > 0).groupBy("collection", "concept_id", "unit").agg(F.count("*").alias("n_facts")).where(n > cap)
+    return blocks.withColumns({"n_left_out": n - cap, "n_pairs_left_out": (pairs(n) - pairs(F.lit(cap))).cast("long")})
+
+
+def key_pairs(blocked: DataFrame) -> DataFrame:
+    """``(l_metric_key, r_metric_key)`` of different keys that share a block, each once, from the blocks' distinct keys."""
+    keys = blocked.select("collection", "concept_id", "unit", "metric_key").distinct()
+    left, right = keys.withColumnRenamed("metric_key", "l_metric_key"), keys.withColumnRenamed("metric_key", "r_metric_key")
+    return left.join(right, ["collection", "concept_id", "unit"]).where("l_metric_key <> r_metric_key").select("l_metric_key", "r_metric_key").distinct()
 
 
 def _sides(facts: DataFrame, keys: list[str], extra: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -106,13 +126,12 @@ def similarity(left: Column, right: Column) -> Column:
     return F.when(F.size(shared) == 0, 0.0).otherwise(F.least(score, F.lit(1.0)))
 
 
-def with_same_metric(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+def with_same_metric(pairs: DataFrame, vectors: DataFrame, keys: DataFrame) -> DataFrame:
     """Adds ``same_metric``: both phrases have two words or more and are equal or alike.
 
-    Likeness is computed once for each distinct pair of different keys, not for each pair of facts.
+    Likeness is computed once for each of ``keys`` (:func:`key_pairs`), not for each pair of facts.
     """
     n_words = lambda k: F.size(F.split(k, " "))
-    keys = pairs.select("l_metric_key", "r_metric_key").where("l_metric_key <> r_metric_key").distinct()
     v = vectors.select(F.struct("key", "weights", "norm").alias("v"))
     scored = keys.join(v.withColumnRenamed("v", "lv"), F.col("l_metric_key") == F.col("lv.key")).join(v.withColumnRenamed("v", "rv"), F.col("r_metric_key") == F.col("rv.key"))
     scored = scored.select("l_metric_key", "r_metric_key", similarity(F.col("lv"), F.col("rv")).alias("alike"))
@@ -216,16 +235,20 @@ def bridgeable(left: Column, right: Column) -> Column:
 def value_bridge(facts: DataFrame) -> DataFrame:
     """Corroborations across concepts and documents: differently worded facts that state one value.
 
-    Candidates share collection, sentence subject, unit, period and the value at three significant figures.
+    Candidates share collection, sentence subject, unit, period, the value at three significant figures and a word that
+    is specific, so that round values of common periods do not bring all their facts together.
     """
     subject = F.when(F.col("subject_source") == "sentence", F.coalesce("subject_key", F.lit(""))).otherwise("")
     usable = ~F.col("unit").isin("count", "unknown") & (F.length("period_label") > 0) & (F.col("value") != 0) & (F.size(F.split("metric_key", " ")) <= BRIDGE_WORDS) & (F.length("metric_key") > 0)
     keyed = facts.where(usable).withColumns({"k_subject": subject, "k_unit": F.col("unit"), "k_period": F.col("period_label"), "k_value": C.bridge_bucket(F.col("value")), "order": F.struct(-F.col("confidence"), F.col("fact_id"))})
-    keys = ["collection", "k_subject", "k_unit", "k_period", "k_value"]
-    left, right = _sides(keyed, keys, ["order"])
-    fits = ~F.col("l_concept_id").eqNullSafe(F.col("r_concept_id")) & (F.col("l_doc_id") != F.col("r_doc_id")) & (F.col("l_order") < F.col("r_order")) & bridgeable(F.col("l_metric_key"), F.col("r_metric_key"))
+    specific = F.array_distinct(F.array_except(F.split("metric_key", " "), F.array(*map(F.lit, GENERIC))))
+    keyed = keyed.withColumn("words", specific).withColumn("k_word", F.explode("words"))
+    keys = ["collection", "k_subject", "k_unit", "k_period", "k_value", "k_word"]
+    left, right = _sides(keyed, keys, ["order", "words"])
+    # pairs with several such words meet at each and count at the first
+    fits = (F.col("k_word") == F.array_min(F.array_intersect("l_words", "r_words"))) & ~F.col("l_concept_id").eqNullSafe(F.col("r_concept_id")) & (F.col("l_doc_id") != F.col("r_doc_id")) & (F.col("l_order") < F.col("r_order")) & bridgeable(F.col("l_metric_key"), F.col("r_metric_key"))
     agree = C.values_agree(F.col("l_value"), F.col("l_precision"), F.col("r_value"), F.col("r_precision"))
-    pairs = left.join(right, keys).where(fits & agree).drop(*keys, "l_order", "r_order")
+    pairs = left.join(right, keys).where(fits & agree).drop(*keys, "l_order", "r_order", "l_words", "r_words")
     basis = F.lit("value_bridge")
     found = pairs.withColumns({"relation": F.lit("corroborates"), "basis": basis, "dimensions": F.array(F.lit("metric wording")), "confidence": C.round3(F.least("l_confidence", "r_confidence") * 0.9), "left_id": F.col("l_fact_id"), "right_id": F.col("r_fact_id")})
     said = F.concat("l_doc_label", F.lit(" p."), F.col("l_page_no").cast("string"), F.lit(' reports "'), "l_metric", F.lit('" as '), "l_display", F.lit(" and "), "r_doc_label", F.lit(" p."), F.col("r_page_no").cast("string"), F.lit(' reports "'), "r_metric", F.lit('" as '), "r_display", F.lit(". The wording differs, but both are stated for "), "l_subject", F.lit(" in "), "l_period_label", F.lit(" in the same unit and agree to within the precision each states, so they are the same measure reported two ways."))
@@ -241,8 +264,8 @@ def alias_candidates(bridges: DataFrame, votes: int = ALIAS_VOTES) -> DataFrame:
 RELATION = ["relation_id", "left_id", "right_id", "relation", "confidence", "explanation", "dimensions", "basis"]
 
 
-def link(facts: DataFrame, documents: DataFrame, concepts: DataFrame, new: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Relations of all facts and the alias votes of this run.
+def link(facts: DataFrame, documents: DataFrame, concepts: DataFrame, new: DataFrame | None = None, cap: int | None = BLOCK_CAP) -> tuple[DataFrame, DataFrame]:
+    """Relations of all facts and the alias votes of this run; see :func:`top_of_blocks` for ``cap``.
 
     With ``new`` (``fact_id``) only relations that touch one of these facts come out, which is what an incremental
     ingest adds; an empty ``new`` adds nothing. Alias votes count over the whole pool either way.
@@ -250,7 +273,9 @@ def link(facts: DataFrame, documents: DataFrame, concepts: DataFrame, new: DataF
     from claimlake.operators import concepts as K
 
     p = pool(facts, documents)
-    pairs = with_same_metric(with_differences(concept_pairs(top_of_blocks(p))), K.weighted_keys(p.select("metric_key").where(F.length("metric_key") > 0).distinct()))
+    blocked = top_of_blocks(p, cap)
+    vectors = K.weighted_keys(p.select("metric_key").where(F.length("metric_key") > 0).distinct())
+    pairs = with_same_metric(with_differences(concept_pairs(blocked)), vectors, key_pairs(blocked))
     labels = concepts.select(F.col("concept_id").alias("l_concept_id"), F.col("label").alias("concept_label")).dropDuplicates(["l_concept_id"])
     judged = explain(classify(pairs).join(labels, "l_concept_id", "left"), F.col("concept_label"))
     bridges = value_bridge(p)

@@ -103,8 +103,13 @@ def _pairs(spark: SparkSession, root: str) -> DataFrame:
     return R.with_differences(R.concept_pairs(R.top_of_blocks(p)))
 
 
+def _judged(spark: SparkSession, root: str) -> DataFrame:
+    blocked = R.top_of_blocks(_pool(spark, root))
+    return R.with_same_metric(R.with_differences(R.concept_pairs(blocked)), K.weighted_keys(_keys(spark, root)), R.key_pairs(blocked))
+
+
 def _classified(spark: SparkSession, root: str) -> DataFrame:
-    return R.classify(R.with_same_metric(_pairs(spark, root), K.weighted_keys(_keys(spark, root))))
+    return R.classify(_judged(spark, root))
 
 
 def _explained(spark: SparkSession, root: str) -> DataFrame:
@@ -142,6 +147,13 @@ def block_topk(spark, root):
     return R.top_of_blocks(_pool(spark, root)).select("fact_id", "collection", "concept_id", "unit", F.col("rk").cast("long").alias("rk"))
 
 
+@query(BASE + """SELECT collection, concept_id, unit, count(*) n_facts, count(*) - 20 n_left_out, CAST((count(*) * (count(*) - 1) - 20 * 19) // 2 AS BIGINT) n_pairs_left_out
+  FROM po WHERE concept_id <> '' GROUP BY 1, 2, 3 HAVING count(*) > 20""")
+def block_losses(spark, root):
+    """What a cap of 20 facts a block would leave out."""
+    return R.beyond_cap(_pool(spark, root), 20)
+
+
 @query(BASE + "SELECT period_rel, a.period_kind left_kind, b.period_kind right_kind, count(*) n FROM rel GROUP BY ALL")
 def period_relation(spark, root):
     kinds = T.facts(spark, root, "period_kind").select("fact_id", "period_kind")
@@ -170,7 +182,7 @@ def context_differences(spark, root):
 
 @query(BASE + "SELECT a.fact_id left_id, b.fact_id right_id, same_metric FROM same")
 def same_metric(spark, root):
-    pairs = R.with_same_metric(_pairs(spark, root), K.weighted_keys(_keys(spark, root)))
+    pairs = _judged(spark, root)
     return pairs.select(F.col("l_fact_id").alias("left_id"), F.col("r_fact_id").alias("right_id"), "same_metric")
 
 
@@ -242,6 +254,42 @@ def alias_promotion(spark, root):
     return S.promoted(alias_votes(spark, root))
 
 
+# Few facts of different wordings agree on period and three figures; by the digits of their values alone, many do.
+COARSE = BASE.replace("blocked AS (", """po AS (SELECT * REPLACE (CASE WHEN "value" = 0 THEN 0.0::DOUBLE ELSE (100 * length(CAST(CAST(floor(abs("value")) AS HUGEINT) AS VARCHAR)))::DOUBLE END AS "value", CASE WHEN period_label <> '' THEN 'any' END AS period_label) FROM fine),
+blocked AS (""", 1).replace("po AS (SELECT f.*", "fine AS (SELECT f.*", 1)
+
+
+def _coarse(spark: SparkSession, root: str) -> DataFrame:
+    digits = F.length(F.floor(F.abs("value")).cast("decimal(38,0)").cast("string"))
+    period = F.when(F.length("period_label") > 0, "any")
+    return R.value_bridge(_pool(spark, root).withColumns({"value": F.when(F.col("value") == 0, 0.0).otherwise(100.0 * digits), "period_label": period}))
+
+
+_COARSE_VOTES = ", c AS (SELECT least(a.metric_key, b.metric_key) left_key, greatest(a.metric_key, b.metric_key) right_key, count(*) n FROM bp GROUP BY 1, 2 HAVING count(*) >= 2) "
+
+
+@query(COARSE + f"SELECT a.fact_id left_id, b.fact_id right_id, {ROUNDED} confidence FROM (SELECT a, b, {QUOTIENT.format(x='(least(a.confidence, b.confidence) * 0.9::DOUBLE)')} q FROM bp)")
+def value_bridge_coarse(spark, root):
+    return _coarse(spark, root).select("left_id", "right_id", "confidence")
+
+
+@query(COARSE + _COARSE_VOTES + "SELECT left_key, right_key, n FROM c")
+def alias_candidates_coarse(spark, root):
+    return R.alias_candidates(_coarse(spark, root))
+
+
+@query(COARSE + _COARSE_VOTES + "SELECT left_key, right_key, CAST(1 + n % 2 AS BIGINT) votes FROM c")
+def alias_votes_coarse(spark, root):
+    new = R.alias_candidates(_coarse(spark, root))
+    stored = new.where(F.col("n") % 2 == 1).select("left_key", "right_key", F.lit(1).alias("votes"))
+    return S.alias_votes(stored, new)
+
+
+@query(COARSE + _COARSE_VOTES + "SELECT left_key, right_key FROM c WHERE n % 2 = 1")
+def alias_promotion_coarse(spark, root):
+    return S.promoted(alias_votes_coarse(spark, root))
+
+
 @query(BASE + "SELECT token, df FROM df")
 def token_frequency(spark, root):
     return K.token_frequency(_keys(spark, root))

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from claimlake.sources.tables import table
 
 
-def _pick(df: DataFrame, key: str, order: str, latest: bool) -> DataFrame:
-    """One row per key: the copy with the smallest or largest ``order``; maps cannot be compared and travel beside it.
+def _pick(df: DataFrame, key: str, order: str, latest: bool = False) -> DataFrame:
+    """One row per key: the copy with the smallest or largest ``order``.
 
-    Copies are compared on their scalar columns only, so the pick is the same in every run.
+    Copies of one instant that differ are merged column by column, the smallest value (the largest for ``latest``) of
+    each, so every run agrees. Every column is an aggregate of its own, of which Catalyst drops those nobody reads,
+    down to the scan; the order travels with each.
     """
-    plain = [c for c, t in df.dtypes if not t.startswith(("map", "array")) and c not in (key, order)]
-    ranked = F.struct(order, *plain)
-    whole = F.struct(*[c for c in df.columns if c != key])
-    chosen = (F.max_by if latest else F.min_by)(whole, ranked).alias("_r")
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(chosen).select(key, "_r.*")
+    kinds = dict(df.dtypes)
+    best = F.max if latest else F.min
+    by = F.max_by if latest else F.min_by
+
+    def of(c: str) -> Column:
+        if kinds[c].startswith("map"):  # maps have no order, their sorted entries have
+            return by(c, F.struct(order, F.array_sort(F.map_entries(c)).alias("_e"))).alias(c)
+        return best(F.struct(order, F.col(c).alias("_c")))["_c"].alias(c)
+
+    rest = [of(c) for c in df.columns if c not in (key, order)]
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best(order).alias(order), *rest).select(*df.columns)
 
 
 def facts(spark: SparkSession, root: str, *columns: str) -> DataFrame:
@@ -39,8 +47,10 @@ def documents(spark: SparkSession, root: str, *columns: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, root: str) -> DataFrame:
-    """Pages by document and number; repeated rows count once."""
-    return table(spark, root, "pages").dropDuplicates(["doc_id", "page_no"])
+    """Pages by document and number; repeated rows count once, of those that differ the smallest values."""
+    df = table(spark, root, "pages")
+    smallest = [F.min(c).alias(c) for c in df.columns if c not in ("doc_id", "page_no")]
+    return df.groupBy("doc_id", "page_no").agg(*smallest).select(*df.columns)
 
 
 def concepts(spark: SparkSession, root: str) -> DataFrame:
