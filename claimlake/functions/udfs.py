@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from claimlake.functions import facts as X, metrics, periods, qualifiers, quantities, text as N
+from claimlake.functions import facts as X, layout, metrics, periods, qualifiers, quantities, text as N
 from claimlake.plans.spread import spread
 
 S, I, D = T.StringType(), T.IntegerType(), T.DoubleType()  # noqa: E741
@@ -73,6 +73,36 @@ def find_qualifiers(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [q._asdict() for q in qualifiers.find_qualifiers(t)])
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def context_said(texts: pd.Series) -> pd.Series:
+    """:func:`claimlake.functions.qualifiers.as_context` of the qualifiers of a column."""
+    return texts.map(lambda t: qualifiers.as_context(qualifiers.find_qualifiers(t)))
+
+
+@F.pandas_udf(T.DoubleType())
+def span_distance(texts: pd.Series, at: pd.Series, to: pd.Series, value_at: pd.Series, value_to: pd.Series) -> pd.Series:
+    """How far a mention stands from a value of its text, brackets counted."""
+    value = lambda a, b: quantities.Quantity("", a, b, 0.0, "", 0.0, "", None, 0.0, 0.0)
+    return pd.Series([X.Brackets(t).distance(int(a), int(b), value(int(c), int(d))) for t, a, b, c, d in zip(texts, at, to, value_at, value_to)], dtype="float64")
+
+
+@F.pandas_udf(T.BooleanType())
+def is_tabular(texts: pd.Series) -> pd.Series:
+    return texts.map(layout.is_tabular)
+
+
+@F.pandas_udf(T.DoubleType())
+def right_edge(ends: pd.Series) -> pd.Series:
+    """Right margin of a column whose rows end at ``ends``."""
+    return ends.map(lambda xs: layout.right_edges([layout.Row(0.0, 0.0, float(x), 1.0, 0, ()) for x in xs])[0])
+
+
+@F.pandas_udf(T.BooleanType())
+def is_prose(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Whether lines from ``starts`` to ``ends`` read like running text."""
+    return pd.Series([layout.is_prose([layout.Line(float(a), 0.0, float(b), 1.0, "") for a, b in zip(xs, ys)]) for xs, ys in zip(starts, ends)], dtype="bool")
+
+
 @F.pandas_udf(DECLARED)
 def declared_unit(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([quantities.declared_unit(t) for t in texts], columns=["currency", "scale", "word", "percent"])

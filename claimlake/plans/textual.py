@@ -161,9 +161,8 @@ def as_context(spark, root):
     """One value for each dimension: the first mention wins."""
     c = table(spark, root, "customer", "c_custkey", "c_mktsegment")
     said = F.concat(F.lit("Stated "), _phrase(F.col("c_mktsegment")), F.lit(" and restated, consolidated, revised, nominal, qoq, median."))
-    rows = c.select("c_custkey", F.inline(U.find_qualifiers(said)))
-    first = rows.groupBy("c_custkey", "dimension").agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at"))
-    return first.groupBy("c_custkey").agg(F.min_by("value", "at").alias("first_value"))
+    own = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for s, (d, _, _) in PHRASES.items() for x in (s, d))), F.upper("c_mktsegment")), F.lit("adjustment"))
+    return c.select("c_custkey", U.context_said(said).alias("context"), own.alias("own")).select("c_custkey", F.col("context")[F.col("own")].alias("first_value"))
 
 
 # --- facts -------------------------------------------------------------------------------------------------------
@@ -208,12 +207,15 @@ def qualifier_attribution(spark, root):
     return _facts(c, said, "c_custkey").select("c_custkey", "ord", F.element_at("context", F.lit("consolidation")).alias("consolidation"))
 
 
-@query("SELECT DISTINCT fact_id, CASE WHEN label_end <= value_start - char_start THEN CAST(value_start - char_start - label_end AS DOUBLE) WHEN label_start >= value_end - char_start THEN (label_start - value_end + char_start) * 1.1 ELSE 0.0 END::DOUBLE distance FROM facts WHERE label_start IS NOT NULL AND fact_id IS NOT NULL")
+@query("""WITH f AS (SELECT DISTINCT fact_id, evidence e, label_start ls, label_end le, value_start - char_start vs, value_end - char_start ve FROM facts WHERE label_start IS NOT NULL AND label_end IS NOT NULL AND evidence IS NOT NULL AND fact_id IS NOT NULL),
+  g AS (SELECT fact_id, CASE WHEN le <= vs THEN CAST(vs - le AS DOUBLE) WHEN ls >= ve THEN CAST(ls - ve AS DOUBLE) * 1.1::DOUBLE ELSE 0.0::DOUBLE END gap,
+    length(replace(substr(e, 1, ls), ')', '')) - length(replace(substr(e, 1, ls), '(', '')) = length(replace(substr(e, 1, vs), ')', '')) - length(replace(substr(e, 1, vs), '(', '')) level FROM f)
+  SELECT fact_id, CASE WHEN level THEN gap ELSE gap * 4.0::DOUBLE END distance FROM g""")
 def span_distance(spark, root):
-    f = table(spark, root, "facts", "fact_id", "label_start", "label_end", "value_start", "value_end", "char_start").where("label_start is not null and fact_id is not null").distinct()
-    a, b = F.col("value_start") - F.col("char_start"), F.col("value_end") - F.col("char_start")
-    gap = F.when(F.col("label_end") <= a, (a - F.col("label_end")).cast("double")).when(F.col("label_start") >= b, (F.col("label_start") - b) * 1.1).otherwise(0.0)
-    return f.select("fact_id", gap.alias("distance"))
+    """How far a fact's label stands from its value, asides farther."""
+    f = table(spark, root, "facts", "fact_id", "evidence", "label_start", "label_end", "value_start", "value_end", "char_start")
+    f = f.dropna(subset=["label_start", "label_end", "evidence", "fact_id"]).distinct()
+    return f.select("fact_id", U.span_distance("evidence", "label_start", "label_end", F.col("value_start") - F.col("char_start"), F.col("value_end") - F.col("char_start")).alias("distance"))
 
 
 BASES = ["GDP", "gross output", "total income", "net sales"]
@@ -481,66 +483,66 @@ def printed_label(spark, root):
     return L.pages_from_lines(lines.unionByName(foot)).select("doc_id", "page_no", "printed_label")
 
 
-@query("SELECT DISTINCT fact_id, len(list_filter(string_split(trim(regexp_replace(evidence, '\\s+', ' ', 'g')), ' '), lambda w: regexp_matches(w, '^[(\\[]?[₹$€£]?-?[\\d,]+(\\.\\d+)?\\)?%?$'))) >= 2 tabular FROM facts WHERE evidence IS NOT NULL AND fact_id IS NOT NULL")
+@query("SELECT DISTINCT fact_id, len(list_filter(string_split(trim(regexp_replace(evidence, '[\\s\\p{Z}]+', ' ', 'g')), ' '), lambda w: regexp_matches(w, '^[(\\[]?[₹$€£]?-?[\\p{Nd},]+(\\.\\p{Nd}+)?\\)?%?$'))) >= 2 tabular FROM facts WHERE evidence IS NOT NULL AND fact_id IS NOT NULL")
 def is_tabular(spark, root):
-    words = F.split(F.trim(F.regexp_replace("evidence", r"\s+", " ")), " ")
-    bare = F.filter(words, lambda w: w.rlike(r"^[(\[]?[₹$€£]?-?[\d,]+(?:\.\d+)?\)?%?$"))
-    return table(spark, root, "facts", "fact_id", "evidence").where("evidence is not null and fact_id is not null").select("fact_id", (F.size(bare) >= 2).alias("tabular")).distinct()
+    f = table(spark, root, "facts", "fact_id", "evidence").where("evidence is not null and fact_id is not null").distinct()
+    return f.select("fact_id", U.is_tabular("evidence").alias("tabular")).distinct()
 
 
 @query(f"SELECT doc_id, page_no, line_no % 2 side, CASE WHEN line_no % 2 = 0 THEN 280.0 ELSE 540.0 END::DOUBLE edge FROM ({KEY}) GROUP BY ALL")
 def right_edges(spark, root):
     """Right margin of each side: the nearest-rank 90th percentile of where lines end."""
     x = _lines(spark, root).groupBy("doc_id", "page_no", (F.col("line_no") % 2).alias("side")).agg(F.array_sort(F.collect_list("x1")).alias("xs"))
-    at = F.when(F.size("xs") > 4, F.floor(F.size("xs") * 0.9)).otherwise(F.size("xs") - 1)
-    return x.select("doc_id", "page_no", "side", F.col("xs")[at.cast("int")].alias("edge"))
+    return x.select("doc_id", "page_no", "side", U.right_edge("xs").alias("edge"))
 
 
 @query(f"SELECT doc_id, page_no, line_no % 2 side, count(*) >= 4 prose FROM ({KEY}) GROUP BY ALL")
 def text_column(spark, root):
     """Whether each side reads like prose: four lines or more, a quarter of them wide."""
     x = _lines(spark, root).groupBy("doc_id", "page_no", (F.col("line_no") % 2).alias("side"))
-    x = x.agg(F.count("*").alias("n"), F.max("x1").alias("r"), F.min("x0").alias("l"), F.collect_list(F.col("x1") - F.col("x0")).alias("w"))
-    wide = F.size(F.filter("w", lambda w: w >= (F.col("r") - F.col("l")) * 0.6))
-    return x.select("doc_id", "page_no", "side", ((F.col("n") >= 4) & (wide >= F.col("n") * 0.25)).alias("prose"))
+    x = x.agg(F.collect_list(F.struct("x0", "x1")).alias("xs"))
+    return x.select("doc_id", "page_no", "side", U.is_prose("xs.x0", "xs.x1").alias("prose"))
 
 
-@query("SELECT c_custkey, 'FY' || (2016 + c_custkey % 9) period_label, 'consolidated' consolidation, 'parcel shipments' metric FROM customer")
+@query("SELECT c_custkey, n ord, 'FY' || (2016 + c_custkey % 9 - n) period_label, CASE n WHEN 0 THEN 'consolidated' ELSE 'standalone' END consolidation, 'parcel shipments' metric FROM customer, (VALUES (0), (1)) t(n)")
 def header_context(spark, root):
-    """A bare number of a table takes period and basis from the header above its column, and its metric from the row."""
-    c = table(spark, root, "customer", "c_custkey")
-    return _table_fact(c, F.concat(F.lit("FY"), _fy(F.col("c_custkey")).cast("string"), F.lit(" consolidated")), F.lit("Parcel shipments")).select("c_custkey", "period_label", F.element_at("context", F.lit("consolidation")).alias("consolidation"), F.lower("metric").alias("metric"))
+    """Bare numbers of a table take period and basis from the headers above their columns, and their metric from the row."""
+    c, year = table(spark, root, "customer", "c_custkey"), _fy(F.col("c_custkey"))
+    heads = [F.concat(F.lit("FY"), (year - n).cast("string"), F.lit(f" {basis}")) for n, basis in enumerate(("consolidated", "standalone"))]
+    return _table_facts(c, heads, F.lit("Parcel shipments")).select("c_custkey", "ord", "period_label", F.element_at("context", F.lit("consolidation")).alias("consolidation"), F.lower("metric").alias("metric"))
 
 
-@query("SELECT c_custkey, 'express parcels of ' || lower(c_mktsegment) metric, 'Express parcels of ' || lower(c_mktsegment) label_text FROM customer")
+@query("""SELECT c_custkey, n ord, m || lower(c_mktsegment) metric, upper(m[1]) || m[2:] || lower(c_mktsegment) label_text
+  FROM customer, (VALUES (0, 'express parcels of '), (1, 'shared trucks of ')) t(n, m)""")
 def caption_recovery(spark, root):
-    """A number whose row names nothing takes the caption in the line beside it."""
+    """Numbers whose row names nothing take the captions in the line beside them."""
     c = table(spark, root, "customer", "c_custkey", "c_mktsegment")
-    caption = F.concat(F.lit("Express parcels of "), F.lower("c_mktsegment"))
-    return _table_fact(c, F.lit("FY24"), F.lit("+ +"), caption).select("c_custkey", F.lower("metric").alias("metric"), "label_text")
+    captions = [F.concat(F.lit(f"{what} of "), F.lower("c_mktsegment")) for what in ("Express parcels", "Shared trucks")]
+    return _table_facts(c, [F.lit("FY24"), F.lit("FY23")], F.lit("+ +"), captions).select("c_custkey", "ord", F.lower("metric").alias("metric"), "label_text")
 
 
-def _table_fact(rows: DataFrame, header: Column, stub: Column, caption: Column | None = None) -> DataFrame:
-    """First fact of a one-row table per customer, laid out and extracted with its cells."""
+def _table_facts(rows: DataFrame, heads: list[Column], stub: Column, captions: list[Column] | None = None) -> DataFrame:
+    """Facts of a table per customer, one row and two columns of numbers, laid out and extracted with its cells."""
     import pandas as pd
     from pyspark.sql import types as S
 
     from claimlake.functions import facts as X, layout as G
 
-    schema = S.StructType([S.StructField("c_custkey", S.LongType()), *U.FACT.fields])
+    schema = S.StructType([S.StructField("c_custkey", S.LongType()), S.StructField("ord", S.IntegerType()), *U.FACT.fields])
 
     def run(batches):
         for b in batches:
             out = []
-            for key, head, name, cap in zip(b["c_custkey"], b["head"], b["stub"], b["cap"]):
-                lines = [G.Line(300, 100, 420, 110, head), G.Line(60, 140, 180, 150, name), G.Line(330, 140, 380, 150, "12,345"), G.Line(430, 140, 470, 150, "67,890")]
-                lines += [G.Line(325, 152, 400, 162, cap)] if cap else []
+            for key, tops, name, below in zip(b["c_custkey"], b["heads"], b["stub"], b["captions"]):
+                lines = [G.Line(290, 100, 380, 110, tops[0]), G.Line(410, 100, 500, 110, tops[1]), G.Line(60, 140, 180, 150, name), G.Line(310, 140, 360, 150, "12,345"), G.Line(430, 140, 480, 150, "67,890")]
+                if below is not None:
+                    lines += [G.Line(290, 152, 380, 162, below[0]), G.Line(410, 152, 500, 162, below[1])]
                 page, _, cells = G.page_from_lines(lines, 600, 800)
-                found = [U._flat(f) for f in X.facts_on_page(page, "Orrin", cells)]
-                out += [{"c_custkey": key} | f for f in found[:1]]
+                out += [{"c_custkey": key, "ord": n} | U._flat(f) for n, f in enumerate(X.facts_on_page(page, "Orrin", cells))]
             yield pd.DataFrame(out, columns=schema.names)
 
-    return rows.select("c_custkey", header.alias("head"), stub.alias("stub"), (caption if caption is not None else F.lit(None).cast("string")).alias("cap")).mapInPandas(run, schema)
+    below = F.array(*captions) if captions else F.lit(None).cast("array<string>")
+    return rows.select("c_custkey", F.array(*heads).alias("heads"), stub.alias("stub"), below.alias("captions")).mapInPandas(run, schema)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
