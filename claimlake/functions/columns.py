@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Words that may stand inside a metric phrase but carry no meaning of their own.
-INTERNAL = "of from in on for to and & per by the a".split()
-# Legal suffixes of company names.
-LEGAL = "limited ltd pvt private inc incorporated corp corporation plc llp llc company co".split()
 _TWO60 = 1 << 60
 
 
@@ -44,20 +40,6 @@ def fixed2(x: Column) -> Column:
     return F.format_string("%.2f", F.when(tie, (below + up.cast("int")) / 100.0).otherwise(x))
 
 
-def metric_key(phrase: Column) -> Column:
-    """Words of a metric phrase in lower case, without outer punctuation, plural s and internal words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(phrase), r"\s+", " ")), " ")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"""^[.,;:()\[\]'"]+|[.,;:()\[\]'"]+$""", ""))
-    single = F.transform(bare, lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, 1, F.length(w) - 1)).otherwise(w))
-    return F.array_join(F.filter(single, lambda w: (F.length(w) > 0) & ~w.isin(INTERNAL)), " ")
-
-
-def subject_key(name: Column) -> Column:
-    """A subject in lower case without legal suffixes and punctuation."""
-    words = r"(?U)\b(?:" + "|".join(LEGAL) + r")\b\.?"
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), words, ""), r"(?U)[^\w\s]+", " "), r"(?U)\s+", " "))
-
-
 def short_label(title: Column, filename: Column, width: int = 52) -> Column:
     """A title fit for citing: the file name where empty, cut at a word beyond ``width`` characters."""
     name = F.when(F.length(F.trim(F.coalesce(title, F.lit("")))) > 0, collapse_ws(title)).otherwise(filename)
@@ -126,21 +108,9 @@ def bridge_bucket(value: Column) -> Column:
     return F.when(digits >= 3, F.rint(value / unit) * unit).otherwise(F.rint(value * F.pow(F.lit(10.0), (F.lit(3) - digits).cast("double"))) / F.pow(F.lit(10.0), (F.lit(3) - digits).cast("double")))
 
 
-def is_table_row(text: Column) -> Column:
-    """Whether a unit of text is a table row: two tokens or more, two bare numbers or more, no sentence end inside."""
-    tokens = F.filter(F.split(F.trim(text), r"\s+"), lambda w: F.length(w) > 0)
-    bare = F.filter(tokens, lambda w: w.rlike(r"^[(+\-]?[₹$€£]?\d[\d,]*\.?\d*\)?%?$"))
-    return (F.size(tokens) >= 2) & (F.size(bare) >= 2) & ~text.rlike(r"[.!?]\s")
-
-
-def is_caption(text: Column) -> Column:
-    """Whether text can caption a number: few words, mostly letters, one word of three letters or more."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: F.length(w) > 0)
-    solid = F.regexp_replace(text, r"\s", "")
+def is_caption(text: Column, numeric: Column) -> Column:
+    """Whether text can caption a number: few words, mostly letters, one of three letters or more, not ``numeric`` itself."""
+    words = F.filter(F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), lambda w: F.length(w) > 0)
+    solid = F.regexp_replace(text, r"(?U)\s", "")
     letters = F.length(F.regexp_replace(solid, r"[^\p{L}]", ""))
-    numeric = F.trim(text).rlike(r"^[(+\-]?[₹$€£]?\s?\d[\d,]*\.?\d*\)?\s?%?$")
-    return ~numeric & F.size(words).between(1, 12) & (letters / F.greatest(F.length(solid), F.lit(1)) >= 0.6) & F.exists(words, lambda w: w.rlike(r"^\p{L}{3,}"))
-
-
-def content_words(phrase: Column) -> Column:
-    return F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w.rlike(r"^\p{L}{3,}$"))
+    return ~numeric & F.size(words).between(1, 12) & (letters / F.greatest(F.length(solid), F.lit(1)) >= 0.6) & F.exists(words, lambda w: w.rlike(r"^\p{L}{3,}$"))

@@ -238,7 +238,13 @@ def printed_label(lines: Sequence[Line], height: float) -> str | None:
     return next((m.group(1) for x in lines if x.y0 >= height * FOOT and (m := _PAGE_LABEL.match(x.text.strip()))), None)
 
 
+def text_cell(text: str) -> Cell:
+    """A cell of nothing but text, at no place."""
+    return Cell(text, 0, len(text), 0.0, 0.0, 0.0, 0.0, 0, _CELL_NUMBER.match(text) is not None)
+
+
 def is_caption(cell: Cell) -> bool:
+    """Whether a cell can caption a number; :func:`claimlake.functions.columns.is_caption` is the same for joins."""
     words, solid = cell.text.split(), "".join(cell.text.split())
     wordy = not cell.numeric and 0 < len(words) <= CAPTION_WORDS and sum(map(str.isalpha, solid)) >= LETTERS * len(solid)
     return wordy and any(len(w) >= 3 and w.isalpha() for w in words)

@@ -86,6 +86,37 @@ def span_distance(texts: pd.Series, at: pd.Series, to: pd.Series, value_at: pd.S
     return pd.Series([X.Brackets(t).distance(int(a), int(b), value(int(c), int(d))) for t, a, b, c, d in zip(texts, at, to, value_at, value_to)], dtype="float64")
 
 
+@F.pandas_udf(T.StringType())
+def metric_key(phrases: pd.Series) -> pd.Series:
+    return phrases.map(metrics.metric_key)
+
+
+@F.pandas_udf(T.StringType())
+def subject_key(names: pd.Series) -> pd.Series:
+    return names.map(N.subject_key)
+
+
+@F.pandas_udf(T.BooleanType())
+def is_row(texts: pd.Series) -> pd.Series:
+    return texts.map(N.is_row)
+
+
+@F.pandas_udf(T.IntegerType())
+def content_words(phrases: pd.Series) -> pd.Series:
+    return phrases.map(X.content_words).astype("int32")
+
+
+@F.pandas_udf(T.BooleanType())
+def is_caption(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: layout.is_caption(layout.text_cell(t)))
+
+
+@F.pandas_udf(T.BooleanType())
+def is_numeric(texts: pd.Series) -> pd.Series:
+    """Whether a cell of nothing but these texts is a number."""
+    return texts.map(lambda t: layout.text_cell(t).numeric)
+
+
 @F.pandas_udf(T.BooleanType())
 def is_tabular(texts: pd.Series) -> pd.Series:
     return texts.map(layout.is_tabular)

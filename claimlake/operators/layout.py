@@ -92,7 +92,7 @@ def captions(cells: DataFrame) -> DataFrame:
     inner = F.least("x1", "v_x1") - F.greatest("x0", "v_x0")
     cover = F.when(inner > 0, inner / (F.greatest("x1", "v_x1") - F.least("x0", "v_x0"))).otherwise(0.0)
     near = _neighbours(cells)[1].withColumns({"far": F.abs((F.col("y0") + F.col("y1")) - (F.col("v_y0") + F.col("v_y1"))) / 2, "reach": reach, "cover": cover})
-    near = near.where((F.col("far") <= F.col("reach")) & (F.col("cover") >= L.CAPTION_OVERLAP) & is_caption(F.col("text")) & ~F.col("numeric"))
+    near = near.where((F.col("far") <= F.col("reach")) & (F.col("cover") >= L.CAPTION_OVERLAP) & is_caption(F.col("text"), F.col("numeric")))
     score = F.col("cover") - F.col("far") / F.col("reach") * 0.15
     best = F.max_by(F.struct("cell_no", "text"), F.struct(score, -F.col("cell_no"))).alias("b")
     return near.groupBy("doc_id", "page_no", "v_cell_no").agg(best).select("doc_id", "page_no", "v_cell_no", F.col("b.cell_no").alias("caption_no"), F.col("b.text").alias("caption"))

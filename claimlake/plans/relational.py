@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimlake.functions import columns as C
+from claimlake.functions import columns as C, udfs as U
 from claimlake.operators import concepts as K, relate as R, serve as S
 from claimlake.sources import claims as T
 from claimlake.sources.tables import table
@@ -456,14 +456,14 @@ def fiscal_year(spark, root):
 
 @query("SELECT DISTINCT subject, trim(regexp_replace(regexp_replace(regexp_replace(lower(subject), '\\b(limited|ltd|pvt|private|inc|incorporated|corp|corporation|plc|llp|llc|company|co)\\b\\.?', '', 'g'), '[^\\w\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) subject_key FROM source_documents WHERE subject IS NOT NULL")
 def subject_key(spark, root):
-    return table(spark, root, "source_documents", "subject").where("subject is not null").distinct().select("subject", C.subject_key(F.col("subject")).alias("subject_key"))
+    return table(spark, root, "source_documents", "subject").where("subject is not null").distinct().select("subject", U.subject_key("subject").alias("subject_key"))
 
 
 @query("""WITH w AS (SELECT DISTINCT metric, list_transform(string_split(trim(regexp_replace(lower(metric), '\\s+', ' ', 'g')), ' '), lambda x: regexp_replace(x, '^[.,;:()\\[\\]''"]+|[.,;:()\\[\\]''"]+$', '', 'g')) ws FROM facts WHERE metric IS NOT NULL),
   s AS (SELECT metric, list_transform(ws, lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' AND x NOT LIKE '%ss' THEN x[:-2] ELSE x END) ws FROM w)
   SELECT metric, array_to_string(list_filter(ws, lambda x: x <> '' AND x NOT IN ('of','from','in','on','for','to','and','&','per','by','the','a')), ' ') metric_key FROM s""")
 def metric_key(spark, root):
-    return table(spark, root, "facts", "metric").where("metric is not null").distinct().select("metric", C.metric_key(F.col("metric")).alias("metric_key"))
+    return table(spark, root, "facts", "metric").where("metric is not null").distinct().select("metric", U.metric_key("metric").alias("metric_key"))
 
 
 @query("SELECT DISTINCT title, filename, CASE WHEN length(nm) <= 24 THEN nm ELSE regexp_replace(regexp_replace(substr(nm, 1, 24), '\\s\\S*$', ''), '[,;:\\s]+$', '') || '…' END short_label FROM (SELECT title, filename, CASE WHEN length(trim(coalesce(title, ''))) > 0 THEN trim(regexp_replace(title, '\\s+', ' ', 'g')) ELSE filename END nm FROM source_documents)")

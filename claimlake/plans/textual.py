@@ -281,24 +281,25 @@ def verify_units(spark, root):
     return p.agg(F.count("*").alias("n_pages"), F.count_if(bad | order).alias("n_bad"))
 
 
-_ROW = "len(list_filter(string_split(trim(regexp_replace(evidence, '\\s+', ' ', 'g')), ' '), lambda w: regexp_matches(w, '^[(+\\-]?[₹$€£]?\\d[\\d,]*\\.?\\d*\\)?%?$'))) >= 2 AND len(string_split(trim(regexp_replace(evidence, '\\s+', ' ', 'g')), ' ')) >= 2 AND NOT regexp_matches(evidence, '[.!?]\\s')"
+_BLANKS = "string_split(trim(regexp_replace(evidence, '[\\s\\p{Z}]+', ' ', 'g')), ' ')"
+_ROW = f"len(list_filter({_BLANKS}, lambda w: regexp_matches(w, '^[(\\[]?[₹$€£]?-?[\\p{{Nd}},]+(\\.\\p{{Nd}}+)?\\)?%?$'))) >= 2 AND len({_BLANKS}) >= 2 AND NOT regexp_matches(evidence, '[.!?][\\s\\p{{Z}}]')"
 
 
 @query(f"SELECT fact_id, bool_or({_ROW}) is_row FROM facts WHERE evidence IS NOT NULL AND fact_id IS NOT NULL GROUP BY 1")
 def unit_kind(spark, root):
-    f = table(spark, root, "facts", "fact_id", "evidence").where("evidence is not null and fact_id is not null")
-    return f.groupBy("fact_id").agg(F.bool_or(C.is_table_row(F.col("evidence"))).alias("is_row"))
+    f = table(spark, root, "facts", "fact_id", "evidence").where("evidence is not null and fact_id is not null").distinct().select("fact_id", U.is_row("evidence").alias("row"))
+    return f.groupBy("fact_id").agg(F.bool_or("row").alias("is_row"))
 
 
 @query("""SELECT DISTINCT metric, NOT regexp_matches(trim(metric), '^[(+\\-]?[₹$€£]?\\s?\\d[\\d,]*\\.?\\d*\\)?\\s?%?$') AND len(w) BETWEEN 1 AND 12 AND length(regexp_replace(regexp_replace(metric, '\\s', '', 'g'), '[^\\p{L}]', '', 'g')) / greatest(length(regexp_replace(metric, '\\s', '', 'g')), 1) >= 0.6 AND len(list_filter(w, lambda x: regexp_matches(x, '^\\p{L}{3,}'))) > 0 caption
   FROM (SELECT metric, list_filter(string_split(trim(regexp_replace(metric, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') w FROM facts WHERE metric IS NOT NULL)""")
 def is_label(spark, root):
-    return table(spark, root, "facts", "metric").where("metric is not null").distinct().select("metric", C.is_caption(F.col("metric")).alias("caption"))
+    return table(spark, root, "facts", "metric").where("metric is not null").distinct().select("metric", U.is_caption("metric").alias("caption"))
 
 
 @query("SELECT DISTINCT metric, CAST(len(list_filter(string_split(trim(regexp_replace(metric, '\\s+', ' ', 'g')), ' '), lambda x: regexp_matches(x, '^\\p{L}{3,}$'))) AS INTEGER) content_words FROM facts WHERE metric IS NOT NULL")
 def phrase_quality(spark, root):
-    return table(spark, root, "facts", "metric").where("metric is not null").distinct().select("metric", F.size(C.content_words(F.col("metric"))).alias("content_words"))
+    return table(spark, root, "facts", "metric").where("metric is not null").distinct().select("metric", U.content_words("metric").alias("content_words"))
 
 
 @query("SELECT metric, CAST(len(regexp_extract_all(metric, '[A-Za-z][A-Za-z.''’&-]*|[^\\sA-Za-z]')) AS INTEGER) n_tokens FROM (SELECT DISTINCT metric FROM facts WHERE metric IS NOT NULL)")

@@ -9,7 +9,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from claimlake.functions import columns as C, units as U
+from claimlake.functions import columns as C, udfs, units as U
 from claimlake.operators import concepts as K, references as P, refine, relate as R, search, serve, skew, unify
 from claimlake.operators.store import Store
 from claimlake.plans.scratch import Scratch, shared_folder
@@ -359,3 +359,12 @@ def test_command_line_and_sql_functions(spark, tmp_path):
     udfs.register(spark)
     assert spark.sql("SELECT size(find_periods('for FY24')) n").first()["n"] == 1
     assert spark.sql("SELECT metric, value FROM extract_facts('Revenue for FY24 stood at Rs 100 crore.')").first()["value"] == 1e9
+
+
+def test_captions_are_told_alike_in_joins_and_kernels(spark):
+    """Both forms of the caption rule agree on every wording, label and title of the tables, and on awkward ones."""
+    root = "/root/testdata/sf0.01"
+    said = [spark.read.parquet(f"{root}/{t}.parquet").select(F.col(c).alias("t")) for t, c in (("facts", "metric"), ("facts", "label_text"), ("facts", "display"), ("source_documents", "title"))]
+    odd = spark.createDataFrame([("",), ("12",), ("ab",), ("(1.5%)",), ("Gross  12 ₹ margin",), ("a " * 13,), ("Übung 7",)], "t string")
+    both = said[0].union(said[1]).union(said[2]).union(said[3]).union(odd).where("t is not null").distinct().select("t", udfs.is_caption("t").alias("kernel"), C.is_caption(F.col("t"), udfs.is_numeric("t")).alias("join"))
+    assert both.where("kernel <> join").collect() == [] and both.where("kernel").count() > 100
