@@ -169,28 +169,47 @@ FACT = T.StructType(
 )
 
 
+CELLS = "array<struct<text: string, at: int, to: int, x0: double, x1: double, y0: double, y1: double, line: int, numeric: boolean>>"
+
+
 def _flat(f: X.Fact) -> dict:
     p, caption = f.period, f.label or (None, None, None)
     out = {k: getattr(f, k) for k in ("char_start", "char_end", "value_start", "value_end", "evidence", "unit_kind", "subject", "subject_key", "subject_source", "metric", "metric_key", "value", "unit", "display", "precision", "context", "confidence")}
     return out | {"period_label": p and p.label, "period_kind": p and p.kind, "period_start": p and p.start, "period_end": p and p.end, "label_text": caption[0], "label_start": caption[1], "label_end": caption[2]}
 
 
+def facts_kernel(lexicon: dict | None = None):
+    """:func:`claimlake.functions.facts.facts_on_page` of ``(text, subject, cells)`` columns, with a lexicon of one's own."""
+
+    @F.pandas_udf(T.ArrayType(FACT))
+    def facts_with_cells(texts: pd.Series, subjects: pd.Series, cells: pd.Series) -> pd.Series:
+        rows = zip(texts, subjects, cells)
+        return pd.Series([[_flat(f) for f in X.facts_on_page(t, s, [layout.Cell(**c) for c in cs] if cs is not None else None, lexicon)] for t, s, cs in rows], dtype=object)
+
+    return facts_with_cells
+
+
 @F.pandas_udf(T.ArrayType(FACT))
 def facts_on_page(texts: pd.Series, subjects: pd.Series) -> pd.Series:
     """One fused kernel for a page: units, spans, attribution and facts in a single trip through Arrow."""
     return pd.Series([[_flat(f) for f in X.facts_on_page(t, s)] for t, s in zip(texts, subjects)], dtype=object)
 
 
-def extract_facts(pages: DataFrame, documents: DataFrame) -> DataFrame:
+def extract_facts(pages: DataFrame, documents: DataFrame, lexicon: dict | None = None) -> DataFrame:
     """Facts of ``pages(doc_id, page_no, text)`` with the subject of their document, keyed by place and metric.
 
+    Where pages have ``cells``, numbers in tables take what headers and captions say. ``lexicon`` replaces that of
+    qualifiers.
+
     Every fact is grounded: its evidence and display are substrings of the page at its offsets. Pages of documents that
     are not listed get facts without a subject. Null texts give none.
     """
     from claimlake.functions import columns as C
 
     subjects = documents.select("doc_id", F.coalesce("subject", "title").alias("doc_subject"))
-    found = spread(pages.select("doc_id", "page_no", "text"), "doc_id", "page_no").join(subjects, "doc_id", "left").select("doc_id", "page_no", F.inline(facts_on_page("text", "doc_subject")))
+    cells = F.col("cells") if "cells" in pages.columns else F.lit(None).cast(CELLS)
+    scanned = spread(pages.select("doc_id", "page_no", "text", cells.alias("cells")), "doc_id", "page_no")
+    found = scanned.join(subjects, "doc_id", "left").select("doc_id", "page_no", F.inline(facts_kernel(lexicon)("text", "doc_subject", "cells")))
     keyed = found.withColumns({"fact_id": C.fact_id(*(F.col(c) for c in ("doc_id", "page_no", "value_start", "value_end", "metric"))), "kind": F.lit("quantity"), "extractor": F.lit("rules")})
     return keyed.dropDuplicates(["fact_id"])
 

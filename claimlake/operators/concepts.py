@@ -104,20 +104,39 @@ class Clusters:
         return found
 
 
+def wordings(facts: DataFrame) -> DataFrame:
+    """``(metric_key, metric, uses, at, id)``: every distinct wording and surface, its uses and first appearance."""
+    rows = facts.where(F.length("metric_key") > 0).groupBy("metric_key", "metric").agg(F.count("*").alias("uses"), F.min(F.struct("recorded_at", "fact_id")).alias("first"))
+    return rows.select("metric_key", "metric", "uses", F.col("first.recorded_at").alias("at"), F.col("first.fact_id").alias("id"))
+
+
+def add_wordings(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored wordings, whose ``concept_id`` stays, with those of new facts added."""
+    both = stored.unionByName(new.withColumn("concept_id", F.lit(None).cast("string")))
+    rows = both.groupBy("metric_key", "metric").agg(F.sum("uses").alias("uses"), F.min(F.struct("at", "id")).alias("first"), F.max("concept_id").alias("concept_id"))
+    return rows.select("metric_key", "metric", "uses", F.col("first.at").alias("at"), F.col("first.id").alias("id"), "concept_id")
+
+
 def assign_concepts(facts: DataFrame) -> DataFrame:
-    """``(metric_key, concept_id, canonical_key, label)`` of every distinct wording.
+    """``(metric_key, concept_id, canonical_key, label)`` of every distinct wording of ``facts``; see :func:`fold_concepts`."""
+    return fold_concepts(wordings(facts).withColumn("concept_id", F.lit(None).cast("string")))
+
 
-    Wordings are assigned in the order of their first appearance (arrival, then id). The fold runs in one task over the
-    distinct wordings and their surfaces, never over facts; wordings without words are left out.
+def fold_concepts(rows: DataFrame) -> DataFrame:
+    """Concepts of ``rows(metric_key, metric, uses, at, id, concept_id)``: ``(metric_key, concept_id, canonical_key, label)``.
+
+    Wordings are assigned in the order of their first appearance (arrival, then id); those that have a concept keep it.
+    The fold runs in one task over the distinct wordings and their surfaces, never over facts; wordings without words
+    are left out.
     """
-    rows = facts.where(F.length("metric_key") > 0).groupBy("metric_key", "metric").agg(F.count("*").alias("uses"), F.min(F.struct("recorded_at", "fact_id")).alias("first"))
-    folded = rows.select("metric_key", "metric", "uses", F.col("first.recorded_at").alias("at"), F.col("first.fact_id").alias("id"), F.lit(0).alias("one"))
+    folded = rows.withColumn("one", F.lit(0))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "id", "metric"], kind="stable")
         keys = list(dict.fromkeys(pdf["metric_key"]))
         frequency = Counter(t for k in keys for t in set(k.split()))
         clusters = Clusters(frequency, len(keys))
+        clusters.of_key |= {k: c for k, c in zip(pdf["metric_key"], pdf["concept_id"]) if isinstance(c, str)}
         for key, surface, uses in zip(pdf["metric_key"], pdf["metric"], pdf["uses"]):
             clusters.assign(key, surface or key, int(uses))
         label = {k: max(c, key=c.__getitem__) for k, c in clusters.surfaces.items()}

@@ -12,7 +12,7 @@ from claimlake.operators import serve
 from claimlake.operators.search import index, search
 
 #: Tables and their keys; a row with a key that is stored replaces the stored one.
-KEYS = {"documents": ["doc_id"], "pages": ["doc_id", "page_no"], "facts": ["fact_id"], "relations": ["relation_id"], "concepts": ["concept_id"], "aliases": ["left_key", "right_key"]}
+KEYS = {"documents": ["doc_id"], "pages": ["doc_id", "page_no"], "facts": ["fact_id"], "relations": ["relation_id"], "concepts": ["concept_id"], "wordings": ["metric_key", "metric", "batch"], "aliases": ["left_key", "right_key", "batch"]}
 
 
 class Store:
@@ -50,11 +50,13 @@ class Store:
         rows, stored = rows.dropDuplicates(keys), self.read(name)
         self.replace(name, rows if stored is None else stored.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True))
 
-    def vote(self, pairs: DataFrame) -> None:
-        """Add a vote to each pair of metric keys."""
-        stored = self.read("aliases")
-        none = self.spark.createDataFrame([], "left_key string, right_key string, votes long")
-        self.replace("aliases", serve.alias_votes(none if stored is None else stored, pairs))
+    def vote(self, pairs: DataFrame, batch: str) -> None:
+        """A vote of ``batch`` for each pair of metric keys; the same batch votes once, however often it is repeated."""
+        self.upsert("aliases", pairs.select("left_key", "right_key").withColumn("batch", F.lit(batch)))
+
+    def votes(self) -> DataFrame:
+        """``(left_key, right_key, votes)`` of all batches."""
+        return self.read("aliases").groupBy("left_key", "right_key").agg(F.count("*").alias("votes"))
 
     def delete_documents(self, gone: DataFrame) -> None:
         """Delete documents with their pages, facts and the relations of these facts; concepts and aliases stay."""
@@ -91,7 +93,7 @@ class Store:
         return serve.top_concepts(self.read("concepts"), self.read("facts"), limit)
 
     def aliases(self) -> DataFrame:
-        return self.read("aliases").orderBy(F.desc("votes"), "left_key", "right_key")
+        return self.votes().orderBy(F.desc("votes"), "left_key", "right_key")
 
     def page(self, doc_id: str, page_no: int) -> DataFrame:
         return self.read("pages").where((F.col("doc_id") == doc_id) & (F.col("page_no") == page_no))

@@ -12,6 +12,9 @@ from claimlake.operators.layout import LINES
 #: A decoder turns the bytes of a file into (page_no, page_w, page_h, line_no, x0, y0, x1, y1, text) rows.
 Decoder = Callable[[bytes], Iterable[tuple]]
 
+#: What the metadata of a file tell: its title and its date as written, either None.
+Metadata = Callable[[bytes], tuple[str | None, str | None]]
+
 
 def scan(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """``(doc_id, sha256, filename, collection, content)`` of every file below ``path``; the folder names the collection."""
@@ -38,6 +41,19 @@ def decode(files: DataFrame, decoder: Decoder) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(run, LINES)
 
 
+def describe(files: DataFrame, metadata: Metadata | None) -> DataFrame:
+    """``(doc_id, title, published_on)`` as the files' metadata tell, null without any."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = [metadata(content) for content in batch["content"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "title": [t for t, _ in told], "raw": [d for _, d in told]})
+
+    if metadata is None:
+        return files.select("doc_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("date").alias("published_on"))
+    return files.select("doc_id", "content").mapInPandas(run, "doc_id string, title string, raw string").select("doc_id", "title", meta_date(F.col("raw")).alias("published_on"))
+
+
 def meta_date(raw: Column) -> Column:
     """The date in a document's metadata: its first eight digits in a row; null where they are no date."""
     return F.try_to_date(F.regexp_extract(raw, r"(\d{8})", 1), "yyyyMMdd") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.nullif(F.regexp_extract(raw, r"(\d{8})", 1), F.lit("")), F.lit("yyyyMMdd")))
@@ -45,6 +61,8 @@ def meta_date(raw: Column) -> Column:
 
 def text_decoder(content: bytes) -> Iterator[tuple]:
     """A decoder for plain text: a page for each form feed, a line for each line of text, 20 points apart."""
+    if content.startswith(b"%PDF"):
+        raise TypeError("this is a PDF file: give a decoder that reads PDF, the built-in one reads plain text only")
     for page_no, page in enumerate(content.decode("utf-8").split("\f"), 1):
         for n, line in enumerate(page.split("\n")):
             if line.strip():

@@ -306,7 +306,7 @@ def test_store_and_stream(spark, tmp_path):
     docs = [("d1", "a.pdf", "Orrin note", "sha1", "x", "Orrin", date(2024, 5, 1), T0, [(1, note.format("79,900.00"))]), ("d2", "b.pdf", "Second note", "sha2", "x", "Orrin", date(2024, 6, 1), T0, [(1, note.format("81,000.00"))])]
     landed = tmp_path / "landing"
     for i, d in enumerate([docs[0], docs[1], docs[0]]):
-        spark.createDataFrame([d], ingest.ARRIVING).coalesce(1).write.mode("append").parquet(f"file://{landed}")
+        spark.createDataFrame([d], ingest.PLAIN).coalesce(1).write.mode("append").parquet(f"file://{landed}")
         ingest.stream(spark, f"file://{landed}", store, f"file://{tmp_path}/check").awaitTermination()
         assert store.read("documents").count() == min(i + 1, 2)
     facts = store.read("facts")
@@ -314,7 +314,7 @@ def test_store_and_stream(spark, tmp_path):
     kinds = Counter(r["relation"] for r in store.read("relations").collect())
     assert kinds["contradicts"] == 1 and kinds["corroborates"] == 2
     again = store.version("facts")
-    ingest.ingest(store, spark.createDataFrame(docs, ingest.ARRIVING))
+    ingest.ingest(store, spark.createDataFrame(docs, ingest.PLAIN))
     assert store.version("facts") == again
     assert store.relations("contradicts", cross_document=True).count() == 1 and store.facts(q="parcel").count() == 2 and store.facts(collection="x", limit=4).count() == 4
     assert store.concepts().count() > 0 and store.page("d1", 1).count() == 1 and store.stats().where("measure = 'facts'").first()["n"] == 6
@@ -327,6 +327,54 @@ def test_store_and_stream(spark, tmp_path):
     assert {r["relation"] for r in store.read("relations").collect()} <= {"reconciled_by_context"}
 
 
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    """A batch that failed before its documents were listed is taken again: votes, uses and facts stay as they were."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    said = "The {} of Orrin for FY24 stood at Rs 79,900.00 million. The {} of Orrin for FY23 stood at Rs 61,220.00 million."
+    docs = [(f"d{i}", f"{i}.pdf", f"Note {i}", f"sha{i}", "x", None, None, T0, [(1, said.format(w, w))]) for i, w in enumerate(["gross freight revenue", "freight operations revenue booked"])]
+    arriving = spark.createDataFrame(docs, ingest.PLAIN)
+    ingest.ingest(store, arriving)
+    look = lambda: [rows(store.read(t).select(*c)) for t, c in (("aliases", ["left_key", "right_key"]), ("wordings", ["metric_key", "uses", "concept_id"]), ("facts", ["fact_id", "concept_id"]), ("relations", ["relation_id"]), ("documents", ["doc_id", "subject", "n_pages"]))]
+    first = look()
+    store.replace("documents", store.read("documents").limit(0))
+    ingest.ingest(store, arriving)
+    assert look() == first and {r["subject"] for r in store.read("documents").collect()} != {None}
+
+
+def test_promoted_aliases_fuse_concepts(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    fact = "fact_id string, metric_key string, concept_id string"
+    store.replace("facts", spark.createDataFrame([("f1", "toll income", "c1"), ("f2", "road dues", "c2"), ("f3", "rent", "c3")], fact))
+    store.replace("concepts", spark.createDataFrame([(f"c{i}", "k", "l") for i in (1, 2, 3)], "concept_id string, canonical_key string, label string"))
+    words = "metric_key string, metric string, uses long, concept_id string, batch string"
+    store.replace("wordings", spark.createDataFrame([("toll income", "x", 1, "c1", "b"), ("road dues", "x", 1, "c2", "b"), ("rent", "x", 1, "c3", "b")], words))
+    pair = spark.createDataFrame([("road dues", "toll income", 5)], "left_key string, right_key string, n long")
+    for batch, concepts in (("b1", {"c1", "c2", "c3"}), ("b1", {"c1", "c2", "c3"}), ("b2", {"c1", "c3"})):
+        store.vote(pair, batch)
+        ingest._merge(store)
+        assert {r["concept_id"] for r in store.read("facts").collect()} == {r["concept_id"] for r in store.read("concepts").collect()} == concepts
+    assert store.aliases().first()["votes"] == 2
+
+
+def test_tables_keep_their_cells_on_the_way_in(spark, tmp_path):
+    """Numbers of a table take period and basis from the headers above their columns; labels and columns are stored."""
+    from claimlake.operators.layout import LINES, pages_from_lines
+
+    lines = [("t", 1, 600.0, 800.0, n, *x) for n, x in enumerate([(290.0, 100.0, 380.0, 110.0, "FY17 consolidated"), (410.0, 100.0, 500.0, 110.0, "FY16 standalone"), (60.0, 140.0, 180.0, 150.0, "Parcel shipments"), (310.0, 140.0, 360.0, 150.0, "12,345"), (430.0, 140.0, 480.0, 150.0, "67,890"), (290.0, 770.0, 320.0, 780.0, "page 9")])]
+    pages = pages_from_lines(spark.createDataFrame(lines, LINES))
+    gathered = pages.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "text", "n_columns", "printed_label", "cells")).alias("pages"))
+    arriving = gathered.selectExpr("doc_id", "'t.pdf' filename", "'Orrin note' title", "'sha' sha256", "'x' collection", "cast(null as string) subject", "cast(null as date) published_on", "timestamp_ntz'2024-01-01' ingested_at", "pages")
+    store = Store(spark, f"file://{tmp_path}/store")
+    ingest.ingest(store, arriving)
+    got = sorted((r["value"], r["period_label"], r["context"]["consolidation"]) for r in store.read("facts").collect())
+    assert got == [(12345.0, "FY2017", "consolidated"), (67890.0, "FY2016", "standalone")] and store.read("pages").first()["printed_label"] == "9"
+
+
+def test_pdf_files_need_a_decoder():
+    with pytest.raises(TypeError, match="PDF"):
+        list(binary.text_decoder(b"%PDF-1.7 ..."))
+
+
 def test_binary_scan(spark, tmp_path):
     (tmp_path / "coll").mkdir()
     (tmp_path / "coll" / "a.pdf").write_bytes(b"Revenue for FY24 stood at Rs 100 crore.\fpage two")
@@ -351,7 +399,7 @@ def test_command_line_and_sql_functions(spark, tmp_path):
 
     (tmp_path / "in" / "coll").mkdir(parents=True)
     for name, value in (("a", "100"), ("b", "180")):
-        (tmp_path / "in" / "coll" / f"{name}.pdf").write_text(f"The total revenue of Orrin for FY24 stood at Rs {value} crore.")
+        (tmp_path / "in" / "coll" / f"{name}.txt").write_text(f"The total revenue of Orrin for FY24 stood at Rs {value} crore.")
     root = f"file://{tmp_path}/store"
     assert "facts\t2" in main(["ingest", "--store", root, f"file://{tmp_path}/in"], spark) and "relation contradicts\t1" in main(["stats", "--store", root], spark)
     said = main(["report", "--store", root, "--collection", "coll"], spark)
