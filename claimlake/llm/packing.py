@@ -146,6 +146,19 @@ def fill_containers(sized: DataFrame, capacity: int = CAPACITY, n_documents: int
     return spread.groupBy("shard").applyInPandas(place, schema)
 
 
+def breaches(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row of what a placement must be: ``(n_docs, over_full, split_in_vain, with_gaps)``.
+
+    ``over_full`` containers hold more than the capacity, ``split_in_vain`` documents have several pieces though they fit
+    whole, ``with_gaps`` documents have pieces that do not follow one another from the first token on; all are 0.
+    """
+    over = placed.groupBy("shard", "container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("over_full"))
+    docs = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("m"), F.count_distinct("piece").alias("d"), F.max("piece").alias("last"), F.sum("first_token").alias("starts"), F.min("first_token").alias("first"), F.max(F.struct("first_token", "n_tokens")).alias("end"))
+    gaps = (F.col("d") != F.col("m")) | (F.col("last") != F.col("m") - 1) | (F.col("first") != 0) | (F.col("end.first_token") + F.col("end.n_tokens") != F.col("n")) | (F.col("starts") != capacity * F.col("m") * (F.col("m") - 1) / 2)
+    seen = docs.agg(F.count("*").alias("n_docs"), F.count_if((F.col("m") > 1) & (F.col("n") <= capacity)).alias("split_in_vain"), F.count_if(gaps).alias("with_gaps"))
+    return seen.crossJoin(over).select("n_docs", "over_full", "split_in_vain", "with_gaps")  # one row each
+
+
 def container_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``(containers, tokens, room, utilisation)`` of a placement."""
     boxes = placed.groupBy("shard", "container").agg(F.sum("n_tokens").alias("n"))

@@ -36,6 +36,11 @@ def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return packing.container_report(p6_containers(spark, root))
 
 
+def p6_breaches(spark: SparkSession, root: str) -> DataFrame:
+    """What no placement may have, counted over all documents."""
+    return packing.breaches(p6_containers(spark, root))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.find_leaks(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text"))
 
@@ -56,12 +61,13 @@ def p8_composition(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p6_containers, p6_report, p7_found, p7_kept, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p3_found, p6_containers, p6_report, p6_breaches, p7_found, p7_kept, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for groups; the other problems have none and are tested against brute force, round trips and held-out texts."""
     return {
+        "p6_breaches": "SELECT count(*) n_docs, 0 over_full, 0 split_in_vain, 0 with_gaps FROM documents WHERE length(text) > 0",
         "p1_found": """
           WITH RECURSIVE m AS (
             SELECT left_id a, right_id b FROM relations

@@ -180,6 +180,14 @@ def test_very_long_runs_of_blanks_are_counted():
     assert packing.token_count(" " * 2_000_000 + "x", "/opt/tokenizers") > 1 and packing.token_count("\n" * 2_000_000, "/opt/tokenizers") > 0
 
 
+def test_breaches_are_counted(spark):
+    schema = "doc_id long, piece long, first_token long, n_tokens long, shard int, container long"
+    sound = [(1, 0, 0, 10, 0, 0), (1, 1, 10, 10, 0, 1), (1, 2, 20, 3, 0, 2), (2, 0, 0, 7, 0, 2)]
+    assert packing.breaches(spark.createDataFrame(sound, schema), 10).first() == (2, 0, 0, 0)
+    wrong = [(1, 0, 0, 10, 0, 0), (1, 2, 20, 3, 0, 0), (2, 0, 0, 3, 0, 1), (2, 1, 3, 4, 0, 1), (3, 0, 0, 4, 0, 1)]
+    assert packing.breaches(spark.createDataFrame(wrong, schema), 10).first() == (3, 2, 1, 2)
+
+
 def test_container_report(spark):
     r = entry.queries()["p6_report"](spark, SMALL).first()
     assert r["utilisation"] > 0.97 and r["tokens"] + r["room"] == r["containers"] * 2048
