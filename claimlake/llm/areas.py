@@ -141,7 +141,8 @@ class Chunk:
 
     n: np.ndarray
     sizes: np.ndarray
-    terms: np.ndarray
+    terms: np.ndarray  # once placed, places in a vocabulary
+    placed: bool = False
 
     @property
     def doc(self) -> np.ndarray:
@@ -149,12 +150,24 @@ class Chunk:
 
     def known(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sentence, place in ``vocabulary``) of the terms that it holds."""
+        if self.placed:
+            return np.repeat(np.arange(len(self.sizes)), self.sizes), self.terms
         if not len(vocabulary):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(vocabulary, self.terms), len(vocabulary) - 1)
         there = vocabulary[at] == self.terms
         return np.repeat(np.arange(len(self.sizes)), self.sizes)[there], at[there]
 
+    def narrowed(self, vocabulary: np.ndarray) -> Chunk:
+        """The same documents with the terms of ``vocabulary`` alone, as places in it."""
+        s, t = self.known(vocabulary)
+        return Chunk(self.n, np.bincount(s, minlength=len(self.sizes)).astype(np.int64), t, placed=True)
+
+    def by_document(self) -> dict[str, list[np.ndarray]]:
+        """Sizes and terms of each document."""
+        ends = np.cumsum(self.n)
+        return {"sizes": np.split(self.sizes, ends[:-1]), "terms": np.split(self.terms, np.concatenate([[0], np.cumsum(self.sizes)])[ends[:-1]])}
+
 
 def term_numbers(terms: Sequence[str]) -> np.ndarray:
     """A number for each term, the same in every process: four bits of its language and 59 of a hash."""
@@ -399,11 +412,12 @@ def _topical(tongue: np.ndarray, n: np.ndarray, docs: np.ndarray, length: np.nda
     return out, by_chance
 
 
+#: Sums a step over all documents, given the rows of its result.
 Tally = Callable[[Callable[[Chunk], np.ndarray], int], np.ndarray]
 
 
-def _fit_terms(areas: list[str], labelled: Sequence[tuple[int, Chunk]], counts: tuple[np.ndarray, np.ndarray, np.ndarray], tally: Tally) -> AreaModel:
-    """Term weights. ``counts`` are :func:`term_counts` of all documents, ``tally`` sums a step over all of them."""
+def _fit_terms(areas: list[str], labelled: Sequence[tuple[int, Chunk]], counts: tuple[np.ndarray, np.ndarray, np.ndarray], over: Callable[[np.ndarray], Tally]) -> AreaModel:
+    """Term weights. ``counts`` are :func:`term_counts` of all documents, ``over`` gives the tally of a vocabulary."""
     k = len(areas) + 1
     h, n, docs = counts
     spoken = np.zeros(len(LANGUAGES))
@@ -412,7 +426,7 @@ def _fit_terms(areas: list[str], labelled: Sequence[tuple[int, Chunk]], counts:
     wide = dict(zip(h[h >= 0].tolist(), zip(n[h >= 0].tolist(), docs[h >= 0].tolist())))
     seen = Counter(t for _, c in labelled for t in c.terms.tolist())
     terms = np.array(sorted({t for t, m in seen.items() if m > 1} | {t for t, m in wide.items() if m[0] > SELDOM}), np.int64)
-    size = len(terms)
+    size, tally = len(terms), over(terms)
     gold = np.zeros((size, k))
     for area, chunk in labelled:
         np.add.at(gold, (chunk.known(terms)[1], area), 1.0)
@@ -439,8 +453,7 @@ def _fit_terms(areas: list[str], labelled: Sequence[tuple[int, Chunk]], counts:
         weights = _term_weights(3 * gold + tally(step, size), tongue)
         weights[common] = 0
         step = partial(_expected, terms=terms, weights=weights)
-    tells = weights.any(1)  # the others add nothing to any sentence
-    return AreaModel(areas, terms[tells], weights[tells])
+    return AreaModel(areas, terms, weights)
 
 
 def _labelled(examples: Sequence[tuple[str, str]]) -> tuple[list[str], list[tuple[int, Chunk]], list[tuple[int, Chunk]]]:
@@ -460,7 +473,8 @@ def fit_terms(examples: Sequence[tuple[str, str]], texts: Sequence[str]) -> Area
     """Term weights from ``(area, text)`` examples and unlabelled texts, in memory."""
     areas, labelled, _ = _labelled(examples)
     chunk = encode(texts)
-    return _fit_terms(areas, labelled, term_counts(chunk), lambda step, size: step(chunk))
+    narrow = lambda terms: partial(lambda own, step, size: step(own), chunk.narrowed(terms))
+    return _fit_terms(areas, labelled, term_counts(chunk), narrow)
 
 
 @dataclass
@@ -582,12 +596,12 @@ def classify(texts: Sequence[str | None], sources: Sequence, model: AreaModel) -
     return [[model.areas[j] for j in np.flatnonzero(row)] for row in _decided(read_documents(encode(texts), model), sources, model)]
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Chunk]]:
+def _chunks(batches: Iterator[pd.DataFrame], placed: bool = False) -> Iterator[tuple[pd.DataFrame, Chunk]]:
     for batch in batches:
         for at in range(0, len(batch), CHUNK):
             part = batch.iloc[at : at + CHUNK]
             whole = lambda c: np.concatenate([np.zeros(0, np.int64), *part[c]]).astype(np.int64)  # noqa: B023, E731
-            yield part, Chunk(part["n"].to_numpy(np.int64), whole("sizes"), whole("terms"))
+            yield part, Chunk(part["n"].to_numpy(np.int64), whole("sizes"), whole("terms"), placed)
 
 
 def _encoded(documents: DataFrame) -> DataFrame:
@@ -598,10 +612,7 @@ def _encoded(documents: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 c = encode(part["text"].tolist())
-                ends = np.cumsum(c.n)
-                sizes = np.split(c.sizes, ends[:-1])
-                terms = np.split(c.terms, np.concatenate([[0], np.cumsum(c.sizes)])[ends[:-1]])
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "n": c.n, "sizes": sizes, "terms": terms})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "n": c.n, **c.by_document()})
 
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, n int, sizes array<int>, terms array<bigint>"
     return spread(documents.select("doc_id", "text", "source"), "doc_id").where(F.length("text") > 0).mapInPandas(run, schema)
@@ -619,23 +630,34 @@ def _count_all(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(got[c].to_numpy() for c in ("h", "n", "docs"))
 
 
-def _tally(encoded: DataFrame, k: int) -> Tally:
+def _narrowed(encoded: DataFrame, terms: np.ndarray) -> DataFrame:
+    """Documents with the terms of a vocabulary alone, as places in it."""
+    shared = encoded.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, chunk in _chunks(batches):
+            yield part[["doc_id", "source", "n"]].assign(**chunk.narrowed(shared.value).by_document())
+
+    return encoded.mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, source string, n int, sizes array<int>, terms array<int>")
+
+
+def _tally(narrowed: DataFrame, k: int) -> Tally:
     """Sums of a step over all documents; what the step knows is broadcast, and tasks send sums of terms."""
-    context = encoded.sparkSession.sparkContext
+    context = narrowed.sparkSession.sparkContext
 
     def tally(step: Callable[[Chunk], np.ndarray], size: int) -> np.ndarray:
         shared = context.broadcast(step)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums = 0
-            for _, chunk in _chunks(batches):
+            for _, chunk in _chunks(batches, placed=True):
                 sums = sums + shared.value(chunk)
             if not np.isscalar(sums):
                 some = np.flatnonzero(sums.any(1))
                 yield pd.DataFrame({"i": some, **{f"c{j}": sums[some, j] if j < sums.shape[1] else 0.0 for j in range(k)}})
 
         schema = ", ".join(["i int", *(f"c{j} double" for j in range(k))])
-        got = encoded.drop("doc_id", "source").mapInPandas(run, schema).groupBy("i").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(k))).toArrow()
+        got = narrowed.select("n", "sizes", "terms").mapInPandas(run, schema).groupBy("i").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(k))).toArrow()
         shared.destroy()
         out = np.zeros((size, k))
         out[got["i"].to_numpy()] = np.stack([got[f"c{j}"].to_numpy() for j in range(k)], 1)
@@ -644,16 +666,16 @@ def _tally(encoded: DataFrame, k: int) -> Tally:
     return tally
 
 
-def _read_all(encoded: DataFrame, model: AreaModel) -> DataFrame:
+def _read_all(narrowed: DataFrame, model: AreaModel) -> DataFrame:
     """:func:`read_documents` of all documents: ``(doc_id, source, n, votes, total, variance)``."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = narrowed.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, chunk in _chunks(batches):
+        for part, chunk in _chunks(batches, placed=True):
             r = read_documents(chunk, shared.value)
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "n": r.n, "votes": list(r.votes), "total": list(r.total), "variance": list(r.variance)})
 
-    return encoded.mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, source string, n int, votes array<double>, total array<double>, variance array<double>")
+    return narrowed.mapInPandas(run, f"doc_id {narrowed.schema['doc_id'].dataType.simpleString()}, source string, n int, votes array<double>, total array<double>, variance array<double>")
 
 
 def _as_reading(part: pd.DataFrame, k: int) -> Reading:
@@ -689,9 +711,16 @@ def label_documents(documents: DataFrame, examples: DataFrame, sample: int = SAM
     areas, labelled, held = _labelled(given)
     scratch = Scratch(spark, "areas")
     path, encoded = scratch.write(_encoded(documents))
-    model = _fit_terms(areas, labelled, _count_all(encoded), _tally(encoded, len(areas) + 1))
-    _, read = scratch.write(_read_all(encoded, model))
-    scratch.drop(path)
+    counts, kept = _count_all(encoded), []
+
+    def over(terms: np.ndarray) -> Tally:
+        kept[:] = scratch.write(_narrowed(encoded, terms))
+        scratch.drop(path)
+        return _tally(kept[1], len(areas) + 1)
+
+    model = _fit_terms(areas, labelled, counts, over)
+    _, read = scratch.write(_read_all(kept[1], model))
+    scratch.drop(kept[0])
     model = _chained(read, model, sample, labelled, held)
     model.terms, model.weights = model.terms[:0], model.weights[:0]
     shared = spark.sparkContext.broadcast(model)

@@ -304,7 +304,7 @@ def test_areas_count_terms_of_all_documents(spark):
         assert {(i, "energy") for i in ids[len(sampled) :]} <= found
     names, chunks, _ = areas._labelled([(r[0], r[1]) for r in labelled.orderBy("area", "text").collect()])
     encoded = areas._encoded(docs).cache()
-    spread_out = areas._fit_terms(names, chunks, areas._count_all(encoded), areas._tally(encoded, len(names) + 1))
+    spread_out = areas._fit_terms(names, chunks, areas._count_all(encoded), lambda terms: areas._tally(areas._narrowed(encoded, terms), len(names) + 1))
     local = areas.fit_terms(examples, texts)
     assert np.array_equal(spread_out.terms, local.terms) and np.array_equal(spread_out.weights, local.weights)
     assert areas.term_numbers(["quorvane"])[0] in local.terms
