@@ -23,12 +23,15 @@ def _flat(text: str | None) -> str:
 def refine(facts: DataFrame, pages: DataFrame, client: Client, limit: int = 200) -> DataFrame:
     """Facts with the client's grounded proposals applied.
 
-    Only the weakest facts are asked about. A quote that is not on the page (white space aside) rejects the proposal; a
+    Only the ``limit`` weakest facts are asked about, in batches of BATCH from one task. A quote that is not on the page (white space aside) rejects the proposal; a
     period is read again from the words proposed; unknown context dimensions are dropped; a fact called unusable goes;
     value, unit, display and place never change. Facts the client says nothing about stay as they are.
     """
-    weak = serve.refiner_candidates(facts, relate.GENERIC, limit).select("fact_id")
-    asked = facts.join(weak, "fact_id", "left_semi").join(pages.select("doc_id", "page_no", "text"), ["doc_id", "page_no"], "left").select("fact_id", "metric", "evidence", "text").coalesce(1)
+    few = serve.refiner_candidates(facts, relate.GENERIC, limit).select("fact_id")  # at most ``limit`` rows
+    weak = facts.join(F.broadcast(few), "fact_id", "left_semi").select("fact_id", "doc_id", "page_no", "metric", "evidence")
+    texts = pages.select("doc_id", "page_no", "text").join(F.broadcast(weak.select("doc_id", "page_no").distinct()), ["doc_id", "page_no"], "left_semi")
+    # pages are narrowed where they lie; only the facts asked about and their pages come together for the client's batches
+    asked = weak.join(texts, ["doc_id", "page_no"], "left").select("fact_id", "metric", "evidence", "text").repartition(1)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["fact_id", "metric", "metric_key", "period_label", "period_kind", "period_start", "period_end", "context", "usable"]
