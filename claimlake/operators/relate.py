@@ -232,6 +232,36 @@ def bridgeable(left: Column, right: Column) -> Column:
     return (F.length(left) > 0) & (F.length(right) > 0) & shared & ~((head(a) == head(b)) & only(a, b) & only(b, a))
 
 
+#: The columns that name a block of bridges.
+BRIDGE_BLOCK = ["collection", "k_subject", "k_unit", "k_period", "k_value"]
+
+
+def _bridge_blocks(facts: DataFrame) -> DataFrame:
+    """Facts that bridges may tie, with their block: collection, sentence subject, unit, period, value at three figures."""
+    subject = F.when(F.col("subject_source") == "sentence", F.coalesce("subject_key", F.lit(""))).otherwise("")
+    usable = ~F.col("unit").isin("count", "unknown") & (F.length("period_label") > 0) & (F.col("value") != 0) & (F.size(F.split("metric_key", " ")) <= BRIDGE_WORDS) & (F.length("metric_key") > 0) & F.col("confidence").isNotNull()
+    return facts.where(usable).withColumns({"k_subject": subject, "k_unit": F.col("unit"), "k_period": F.col("period_label"), "k_value": C.bridge_bucket(F.col("value"))})
+
+
+def bridgeable_keys(keys: DataFrame) -> DataFrame:
+    """``(a_key, b_key)`` of distinct ``keys(metric_key)`` that may name one measure, the smaller first, a key with itself too.
+
+    An equi-join on specific words, of wordings and never of facts.
+    """
+    specific = F.array_distinct(F.array_except(F.split("metric_key", " "), F.array(*map(F.lit, GENERIC))))
+    words = keys.select("metric_key", F.explode(specific).alias("word"))
+    pairs = words.withColumnRenamed("metric_key", "a_key").join(words.withColumnRenamed("metric_key", "b_key"), "word").where("a_key <= b_key").select("a_key", "b_key").distinct()
+    return pairs.where(bridgeable(F.col("a_key"), F.col("b_key")))
+
+
+def _links(cells: DataFrame) -> DataFrame:
+    """Pairs of ``cells(*BRIDGE_BLOCK, metric_key, n)`` of one block whose keys may name one measure, with the facts of each."""
+    # the count keeps the wordings' plan that of the cells, which then run once
+    pairs = bridgeable_keys(cells.groupBy("metric_key").agg(F.sum("n").alias("n")).where("n > 0"))
+    side = lambda p: cells.select(*BRIDGE_BLOCK, F.col("metric_key").alias(f"{p}_key"), F.col("n").alias(f"{p}_n"))
+    return side("a").join(pairs, "a_key").join(side("b"), [*BRIDGE_BLOCK, "b_key"])
+
+
 def value_bridge(facts: DataFrame) -> DataFrame:
     """Corroborations across concepts and documents: differently worded facts that state one value.
 
@@ -261,6 +291,30 @@ def alias_candidates(bridges: DataFrame, votes: int = ALIAS_VOTES) -> DataFrame:
     return keys.groupBy("left_key", "right_key").agg(F.count("*").alias("n")).where(F.col("n") >= votes)
 
 
+def alias_counts(facts: DataFrame, votes: int = ALIAS_VOTES) -> DataFrame:
+    """:func:`alias_candidates` of the bridges of ``facts``, exactly, without making the bridges.
+
+    Facts that a bridge cannot tell apart are counted as one cell. Bridges of two wordings are the pairs of their cells of
+    different concepts, less those within one document.
+    """
+    cell, same = [*BRIDGE_BLOCK, "metric_key"], ["concept_id", "value", "precision"]
+    by_doc = _bridge_blocks(facts).groupBy(*cell, *same, "doc_id").agg(F.count("*").alias("n"))
+    cells = by_doc.groupBy(*cell, *same).agg(F.sum("n").alias("n"))
+    links = _links(cells.groupBy(*cell).agg(F.sum("n").alias("n"))).select(*BRIDGE_BLOCK, "a_key", "b_key")
+
+    def paired(of: DataFrame, sign: int, *also: str) -> DataFrame:
+        side = lambda p: of.select(*BRIDGE_BLOCK, *also, F.col("metric_key").alias(f"{p}_key"), *(F.col(c).alias(f"{p}_{c}") for c in [*same, "n"]))
+        a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+        met = side("a").join(links, [*BRIDGE_BLOCK, "a_key"]).join(side("b"), [*BRIDGE_BLOCK, "b_key", *also])
+        apart = met.where(~a("concept_id").eqNullSafe(b("concept_id")) & C.values_agree(a("value"), a("precision"), b("value"), b("precision")))
+        return apart.select("a_key", "b_key", (a("n") * b("n") * sign).alias("n"))
+
+    total = paired(cells, 1).unionByName(paired(by_doc, -1, "doc_id")).groupBy("a_key", "b_key").agg(F.sum("n").alias("n"))
+    # cells of one wording meet twice
+    once = F.when(F.col("a_key") == F.col("b_key"), F.shiftright("n", 1)).otherwise(F.col("n"))
+    return total.select(F.col("a_key").alias("left_key"), F.col("b_key").alias("right_key"), once.alias("n")).where(F.col("n") >= votes)
+
+
 RELATION = ["relation_id", "left_id", "right_id", "relation", "confidence", "explanation", "dimensions", "basis"]
 
 

@@ -262,7 +262,7 @@ blocked AS (""", 1).replace("po AS (SELECT f.*", "fine AS (SELECT f.*", 1)  # fm
 def _coarse(spark: SparkSession, root: str) -> DataFrame:
     digits = F.length(F.floor(F.abs("value")).cast("decimal(38,0)").cast("string"))
     period = F.when(F.length("period_label") > 0, "any")
-    return R.value_bridge(_pool(spark, root).withColumns({"value": F.when(F.col("value") == 0, 0.0).otherwise(100.0 * digits), "period_label": period}))
+    return _pool(spark, root).withColumns({"value": F.when(F.col("value") == 0, 0.0).otherwise(100.0 * digits), "period_label": period})
 
 
 _COARSE_VOTES = ", c AS (SELECT least(a.metric_key, b.metric_key) left_key, greatest(a.metric_key, b.metric_key) right_key, count(*) n FROM bp GROUP BY 1, 2 HAVING count(*) >= 2) "
@@ -270,17 +270,17 @@ _COARSE_VOTES = ", c AS (SELECT least(a.metric_key, b.metric_key) left_key, grea
 
 @query(COARSE + f"SELECT a.fact_id left_id, b.fact_id right_id, {ROUNDED} confidence FROM (SELECT a, b, {QUOTIENT.format(x='(least(a.confidence, b.confidence) * 0.9::DOUBLE)')} q FROM bp)")
 def value_bridge_coarse(spark, root):
-    return _coarse(spark, root).select("left_id", "right_id", "confidence")
+    return R.value_bridge(_coarse(spark, root)).select("left_id", "right_id", "confidence")
 
 
 @query(COARSE + _COARSE_VOTES + "SELECT left_key, right_key, n FROM c")
 def alias_candidates_coarse(spark, root):
-    return R.alias_candidates(_coarse(spark, root))
+    return R.alias_counts(_coarse(spark, root))
 
 
 @query(COARSE + _COARSE_VOTES + "SELECT left_key, right_key, CAST(1 + n % 2 AS BIGINT) votes FROM c")
 def alias_votes_coarse(spark, root):
-    new = R.alias_candidates(_coarse(spark, root))
+    new = R.alias_candidates(R.value_bridge(_coarse(spark, root)))
     stored = new.where(F.col("n") % 2 == 1).select("left_key", "right_key", F.lit(1).alias("votes"))
     return S.alias_votes(stored, new)
 
