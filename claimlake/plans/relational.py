@@ -280,7 +280,7 @@ def alias_candidates_coarse(spark, root):
 
 @query(COARSE + _COARSE_VOTES + "SELECT left_key, right_key, CAST(1 + n % 2 AS BIGINT) votes FROM c")
 def alias_votes_coarse(spark, root):
-    new = R.alias_candidates(R.value_bridge(_coarse(spark, root)))
+    new = R.alias_counts(_coarse(spark, root))
     stored = new.where(F.col("n") % 2 == 1).select("left_key", "right_key", F.lit(1).alias("votes"))
     return S.alias_votes(stored, new)
 
