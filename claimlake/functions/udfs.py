@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from claimlake.functions import facts as X, layout, metrics, periods, qualifiers, quantities, text as N
 from claimlake.plans.spread import spread
@@ -44,10 +48,27 @@ def earlier_periods(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [periods.shift_back(p)._asdict() for p in periods.find_periods(t)])
 
 
-@F.pandas_udf(T.ArrayType(QUANTITY))
-def find_quantities(texts: pd.Series) -> pd.Series:
+def each_once(kernel: Callable, kind: T.DataType, *columns: pa.Array) -> pa.Array:
+    """``kernel`` over the rows of ``columns``; rows of a batch that are equal are read once and their result repeated."""
+    places: dict[tuple, int] = {}
+    if len(columns) == 1 and pa.types.is_string(columns[0].type):
+        coded = columns[0].dictionary_encode(null_encoding="encode")
+        rows, at = [(t,) for t in coded.dictionary.to_pylist()], coded.indices
+    else:
+        keys = zip(*(c.to_pylist() for c in columns))
+        at = pa.array([places.setdefault(tuple(tuple(v) if isinstance(v, list) else v for v in k), len(places)) for k in keys], "int32")
+        rows = list(places)
+    return pa.array([kernel(*r) for r in rows], to_arrow_type(kind)).take(at)
+
+
+QUANTITIES = T.ArrayType(QUANTITY)
+
+
+@F.arrow_udf(QUANTITIES)
+def find_quantities(texts: pa.Array) -> pa.Array:
     """Quantities of a text, its periods masked."""
-    return texts.map(lambda t: [q._asdict() for q in quantities.find_quantities(t, [(p.at, p.to) for p in periods.find_periods(t)], quantities.declared_unit(t))])
+    read = lambda t: [q._asdict() for q in quantities.find_quantities(t, [(p.at, p.to) for p in periods.find_periods(t)], quantities.declared_unit(t))]
+    return each_once(read, QUANTITIES, texts)
 
 
 def _on_page(page: str) -> list[dict]:

@@ -90,7 +90,7 @@ def unit_context(spark, root):
 @query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 1000 AS counted FROM lineitem")
 def span_mask(spark, root):
     """Numbers inside period mentions are no quantities."""
-    li = table(spark, root, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    li = spread(table(spark, root, "lineitem", "l_orderkey", "l_linenumber", "l_quantity"))
     said = F.concat(F.lit("In FY2024 and 2024-25 the depot moved "), _grouped(F.col("l_quantity").cast("long") * 1000), F.lit(" parcels by March 31, 2024."))
     q = li.select("l_orderkey", "l_linenumber", U.find_quantities(said).alias("q")).where(F.size("q") == 1)
     return q.select("l_orderkey", "l_linenumber", F.col("q")[0]["value"].cast("long").alias("counted"))
