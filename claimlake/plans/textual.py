@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from claimlake.functions import columns as C, udfs as U
@@ -517,33 +518,37 @@ def header_context(spark, root):
   FROM customer, (VALUES (0, 'express parcels of '), (1, 'shared trucks of ')) t(n, m)""")
 def caption_recovery(spark, root):
     """Numbers whose row names nothing take the captions in the line beside them."""
-    c = table(spark, root, "customer", "c_custkey", "c_mktsegment")
+    c = spread(table(spark, root, "customer", "c_custkey", "c_mktsegment"))
     captions = [F.concat(F.lit(f"{what} of "), F.lower("c_mktsegment")) for what in ("Express parcels", "Shared trucks")]
     return _table_facts(c, [F.lit("FY24"), F.lit("FY23")], F.lit("+ +"), captions).select("c_custkey", "ord", F.lower("metric").alias("metric"), "label_text")
 
 
 def _table_facts(rows: DataFrame, heads: list[Column], stub: Column, captions: list[Column] | None = None) -> DataFrame:
-    """Facts of a table per customer, one row and two columns of numbers, laid out and extracted with its cells."""
-    import pandas as pd
+    """Facts of a table per customer, one row and two columns of numbers, laid out and extracted with its cells.
+
+    Tables of a batch that are equal are laid out and read once.
+    """
     from pyspark.sql import types as S
 
     from claimlake.functions import facts as X, layout as G
 
-    schema = S.StructType([S.StructField("c_custkey", S.LongType()), S.StructField("ord", S.IntegerType()), *U.FACT.fields])
+    kind = S.ArrayType(U.FACT)
+
+    def read(tops: tuple, name: str, below: tuple | None) -> list[dict]:
+        lines = [G.Line(290, 100, 380, 110, tops[0]), G.Line(410, 100, 500, 110, tops[1]), G.Line(60, 140, 180, 150, name), G.Line(310, 140, 360, 150, "12,345"), G.Line(430, 140, 480, 150, "67,890")]
+        if below is not None:
+            lines += [G.Line(290, 152, 380, 162, below[0]), G.Line(410, 152, 500, 162, below[1])]
+        page, _, cells = G.page_from_lines(lines, 600, 800)
+        facts = [U._flat(f) for f in X.facts_on_page(page, "Orrin", cells)]
+        return [f | {"context": list(f["context"].items())} for f in facts]
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for key, tops, name, below in zip(b["c_custkey"], b["heads"], b["stub"], b["captions"]):
-                lines = [G.Line(290, 100, 380, 110, tops[0]), G.Line(410, 100, 500, 110, tops[1]), G.Line(60, 140, 180, 150, name), G.Line(310, 140, 360, 150, "12,345"), G.Line(430, 140, 480, 150, "67,890")]
-                if below is not None:
-                    lines += [G.Line(290, 152, 380, 162, below[0]), G.Line(410, 152, 500, 162, below[1])]
-                page, _, cells = G.page_from_lines(lines, 600, 800)
-                out += [{"c_custkey": key, "ord": n} | U._flat(f) for n, f in enumerate(X.facts_on_page(page, "Orrin", cells))]
-            yield pd.DataFrame(out, columns=schema.names)
+    @F.arrow_udf(kind)
+    def told(tops: pa.Array, names: pa.Array, below: pa.Array) -> pa.Array:
+        return U.each_once(read, kind, tops, names, below)
 
     below = F.array(*captions) if captions else F.lit(None).cast("array<string>")
-    return rows.select("c_custkey", F.array(*heads).alias("heads"), stub.alias("stub"), below.alias("captions")).mapInPandas(run, schema)
+    facts = F.posexplode(told(F.array(*heads), stub, below)).alias("ord", "f")
+    return rows.select("c_custkey", facts).select("c_custkey", "ord", "f.*")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
