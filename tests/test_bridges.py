@@ -55,3 +55,11 @@ def test_counts_of_a_block_too_large_for_pairs(spark):
     facts = ids.selectExpr("fact_id", "doc_id", "if(one, 'freight revenue', 'freight revenue net') metric_key", "if(one, 'c1', 'c2') concept_id", "'document' subject_source", "'' subject_key", "'INR' unit", "'any' period_label", "100.0D value", "1.0D precision", "0.9D confidence", "'x' collection")
     (row,) = R.alias_counts(facts).collect()
     assert row.asDict() == {"left_key": "freight revenue", "right_key": "freight revenue net", "n": n * n - 100 * 200 * 200}
+
+
+@pytest.mark.parametrize("part", [R.LINK_PAIRS, 7])
+def test_bridges_are_those_of_all_pairs(spark, mixed, monkeypatch, part):
+    """Also where the facts of two wordings meet in several tasks; facts without confidence make none, as in the SQL."""
+    monkeypatch.setattr(R, "LINK_PAIRS", part)
+    got = R.value_bridge(mixed).select("left_id", "right_id", "l_metric_key", "r_metric_key", "confidence").collect()
+    assert {(a, b): tuple(rest) for a, b, *rest in got} == bridged(spark, mixed) and len(got) == len({r[:2] for r in got}) > 0
