@@ -63,3 +63,13 @@ def test_bridges_are_those_of_all_pairs(spark, mixed, monkeypatch, part):
     monkeypatch.setattr(R, "LINK_PAIRS", part)
     got = R.value_bridge(mixed).select("left_id", "right_id", "l_metric_key", "r_metric_key", "confidence").collect()
     assert {(a, b): tuple(rest) for a, b, *rest in got} == bridged(spark, mixed) and len(got) == len({r[:2] for r in got}) > 0
+
+
+def test_votes_and_promotion_from_counts(spark):
+    """Counted bridges vote and promote as made ones do."""
+    from claimlake.operators import serve as S
+
+    rows = [fact(i, doc_id="ab"[i % 2], metric_key=KEYS[i % 2], concept_id=f"c{i % 2}") for i in range(6)]
+    new = R.alias_counts(spark.createDataFrame(rows, POOL))
+    stored = spark.createDataFrame([(KEYS[0], KEYS[1], 1)], "left_key string, right_key string, votes int")
+    assert [tuple(r) for r in S.promoted(S.alias_votes(stored, new)).select("left_key", "right_key").collect()] == [(KEYS[0], KEYS[1])]
