@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimlake.functions import columns as C
+from claimlake.plans.scratch import Scratch
 
 #: A block keeps its most confident facts, which bounds its pairs (24,090) whatever the skew of concepts.
 BLOCK_CAP = 220
@@ -30,11 +31,11 @@ READABLE = {
 SIDE = ["fact_id", "doc_id", "page_no", "subject", "subject_key", "subject_source", "metric", "metric_key", "concept_id", "value", "unit", "display", "precision", "period_label", "period_start", "period_end", "context", "confidence", "published_on", "doc_label"]
 
 
-def pool(facts: DataFrame, documents: DataFrame) -> DataFrame:
+def pool(facts: DataFrame, documents: DataFrame, columns: list[str] = SIDE) -> DataFrame:
     """Facts that may be compared, with what the classifier needs of their documents. Facts need a value."""
     docs = documents.select("doc_id", "collection", "published_on", C.short_label(F.col("title"), F.col("filename")).alias("doc_label"))
     kept = facts.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return kept.join(docs, "doc_id").select("collection", *SIDE)
+    return kept.join(docs, "doc_id").select("collection", *columns)
 
 
 def top_of_blocks(facts: DataFrame, cap: int | None = BLOCK_CAP) -> DataFrame:
@@ -232,16 +233,22 @@ def bridgeable(left: Column, right: Column) -> Column:
     return (F.length(left) > 0) & (F.length(right) > 0) & shared & ~((head(a) == head(b)) & only(a, b) & only(b, a))
 
 
+#: The columns of facts that counts of bridges read.
+COUNTED = ["fact_id", "doc_id", "subject_key", "subject_source", "metric_key", "concept_id", "value", "unit", "precision", "period_label", "confidence"]
 #: The columns that name a block of bridges, and the pairs of facts that one task compares before a link is split.
 BRIDGE_BLOCK = ["collection", "k_subject", "k_unit", "k_period", "k_value"]
 LINK_PAIRS = 4_000_000
 
 
+def usable() -> Column:
+    """Whether bridges may tie a fact: unit, period and value tell something, few words name it."""
+    return ~F.col("unit").isin("count", "unknown") & (F.length("period_label") > 0) & (F.col("value") != 0) & (F.size(F.split("metric_key", " ")) <= BRIDGE_WORDS) & (F.length("metric_key") > 0) & F.col("confidence").isNotNull()
+
+
 def _bridge_blocks(facts: DataFrame) -> DataFrame:
     """Facts that bridges may tie, with their block: collection, sentence subject, unit, period, value at three figures."""
     subject = F.when(F.col("subject_source") == "sentence", F.coalesce("subject_key", F.lit(""))).otherwise("")
-    usable = ~F.col("unit").isin("count", "unknown") & (F.length("period_label") > 0) & (F.col("value") != 0) & (F.size(F.split("metric_key", " ")) <= BRIDGE_WORDS) & (F.length("metric_key") > 0) & F.col("confidence").isNotNull()
-    return facts.where(usable).withColumns({"k_subject": subject, "k_unit": F.col("unit"), "k_period": F.col("period_label"), "k_value": C.bridge_bucket(F.col("value"))})
+    return facts.where(usable()).withColumns({"k_subject": subject, "k_unit": F.col("unit"), "k_period": F.col("period_label"), "k_value": C.bridge_bucket(F.col("value"))})
 
 
 def bridgeable_keys(keys: DataFrame) -> DataFrame:
@@ -305,21 +312,32 @@ def alias_counts(facts: DataFrame, votes: int = ALIAS_VOTES) -> DataFrame:
     """:func:`alias_candidates` of the bridges of ``facts``, exactly, without making the bridges.
 
     Facts that a bridge cannot tell apart are counted as one cell. Bridges of two wordings are the pairs of their cells of
-    different concepts, less those within one document.
+    different concepts, less those within one document. Facts are read once: cells of documents and of blocks are written.
     """
-    cell, same = [*BRIDGE_BLOCK, "metric_key"], ["concept_id", "value", "precision"]
-    by_doc = _bridge_blocks(facts).groupBy(*cell, *same, "doc_id").agg(F.count("*").alias("n"))
-    cells = by_doc.groupBy(*cell, *same).agg(F.sum("n").alias("n"))
-    links = _links(cells.groupBy(*cell).agg(F.sum("n").alias("n"))).select(*BRIDGE_BLOCK, "a_key", "b_key")
-
-    def paired(of: DataFrame, sign: int, *also: str) -> DataFrame:
-        side = lambda p: of.select(*BRIDGE_BLOCK, *also, F.col("metric_key").alias(f"{p}_key"), *(F.col(c).alias(f"{p}_{c}") for c in [*same, "n"]))
-        a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-        met = side("a").join(links, [*BRIDGE_BLOCK, "a_key"]).join(side("b"), [*BRIDGE_BLOCK, "b_key", *also])
-        apart = met.where(~a("concept_id").eqNullSafe(b("concept_id")) & C.values_agree(a("value"), a("precision"), b("value"), b("precision")))
-        return apart.select("a_key", "b_key", (a("n") * b("n") * sign).alias("n"))
-
-    total = paired(cells, 1).unionByName(paired(by_doc, -1, "doc_id")).groupBy("a_key", "b_key").agg(F.sum("n").alias("n"))
+    scratch, same = Scratch(facts.sparkSession, "aliases"), ["concept_id", "value", "precision"]
+    cell = F.collect_list(F.struct("metric_key", *same, "n")).alias("cells")
+    # the hash goes first, for rows are sorted by it in one comparison; the columns behind it decide
+    place = ["place", "doc_id", *BRIDGE_BLOCK]
+    placed = _bridge_blocks(facts).withColumn("place", F.xxhash64("doc_id", *BRIDGE_BLOCK)).repartition(*place)
+    _, docs = scratch.write(placed.groupBy(*place, "metric_key", *same).agg(F.count("*").alias("n")).groupBy(*place).agg(cell).select(*BRIDGE_BLOCK, "cells"))
+    # a block has as many cells as its wordings, concepts and precisions give, whatever the number of its facts
+    by_block = docs.select(*BRIDGE_BLOCK, F.inline("cells")).groupBy(*BRIDGE_BLOCK, "metric_key", *same).agg(F.sum("n").alias("n"))
+    _, blocks = scratch.write(by_block.groupBy(F.xxhash64(*BRIDGE_BLOCK).alias("place"), *BRIDGE_BLOCK).agg(cell).select(F.monotonically_increasing_id().alias("block"), "cells"))
+    keys = blocks.select("block", F.explode(F.array_distinct(F.col("cells.metric_key"))).alias("metric_key"))
+    _, pairs = scratch.write(bridgeable_keys(keys.select("metric_key").distinct()))
+
+    side = lambda p: blocks.select("block", F.explode("cells").alias(p)).withColumn(f"{p}_key", F.col(f"{p}.metric_key"))
+    links = keys.withColumnRenamed("metric_key", "a_key").join(pairs, "a_key").join(keys.withColumnRenamed("metric_key", "b_key"), ["block", "b_key"])
+    met = links.join(side("a"), ["block", "a_key"]).join(side("b"), ["block", "b_key"])
+    within = docs.where(F.size("cells") > 1).select("cells", F.explode("cells").alias("a")).select("a", F.explode("cells").alias("b"))
+    within = within.withColumns({"a_key": F.col("a.metric_key"), "b_key": F.col("b.metric_key")}).where("a_key <= b_key").join(pairs, ["a_key", "b_key"])
+
+    def paired(of: DataFrame, sign: int) -> DataFrame:
+        a, b = F.col("a"), F.col("b")
+        apart = of.where(~a["concept_id"].eqNullSafe(b["concept_id"]) & C.values_agree(a["value"], a["precision"], b["value"], b["precision"]))
+        return apart.select("a_key", "b_key", (a["n"] * b["n"] * sign).alias("n"))
+
+    total = paired(met, 1).unionByName(paired(within, -1)).groupBy("a_key", "b_key").agg(F.sum("n").alias("n"))
     # cells of one wording meet twice
     once = F.when(F.col("a_key") == F.col("b_key"), F.shiftright("n", 1)).otherwise(F.col("n"))
     return total.select(F.col("a_key").alias("left_key"), F.col("b_key").alias("right_key"), once.alias("n")).where(F.col("n") >= votes)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimlake.functions import columns as C, udfs as U
 from claimlake.operators import concepts as K, relate as R, serve as S
+from claimlake.plans.scratch import Scratch
 from claimlake.sources import claims as T
 from claimlake.sources.tables import table
 
@@ -259,10 +260,15 @@ COARSE = BASE.replace("blocked AS (", """po AS (SELECT * REPLACE (CASE WHEN "val
 blocked AS (""", 1).replace("po AS (SELECT f.*", "fine AS (SELECT f.*", 1)
 
 
-def _coarse(spark: SparkSession, root: str) -> DataFrame:
+def _coarse(pool: DataFrame) -> DataFrame:
     digits = F.length(F.floor(F.abs("value")).cast("decimal(38,0)").cast("string"))
     period = F.when(F.length("period_label") > 0, "any")
-    return _pool(spark, root).withColumns({"value": F.when(F.col("value") == 0, 0.0).otherwise(100.0 * digits), "period_label": period})
+    return pool.withColumns({"value": F.when(F.col("value") == 0, 0.0).otherwise(100.0 * digits), "period_label": period})
+
+
+def _coarse_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Counts of coarse bridges, which tie the same facts as fine ones: coarse periods and values are empty or 0 where fine ones are."""
+    return R.alias_counts(_coarse(R.pool(T.facts_where(spark, root, R.usable(), *R.COUNTED), T.documents(spark, root), R.COUNTED)))
 
 
 _COARSE_VOTES = ", c AS (SELECT least(a.metric_key, b.metric_key) left_key, greatest(a.metric_key, b.metric_key) right_key, count(*) n FROM bp GROUP BY 1, 2 HAVING count(*) >= 2) "
@@ -270,17 +276,17 @@ _COARSE_VOTES = ", c AS (SELECT least(a.metric_key, b.metric_key) left_key, grea
 
 @query(COARSE + f"SELECT a.fact_id left_id, b.fact_id right_id, {ROUNDED} confidence FROM (SELECT a, b, {QUOTIENT.format(x='(least(a.confidence, b.confidence) * 0.9::DOUBLE)')} q FROM bp)")
 def value_bridge_coarse(spark, root):
-    return R.value_bridge(_coarse(spark, root)).select("left_id", "right_id", "confidence")
+    return R.value_bridge(_coarse(_pool(spark, root))).select("left_id", "right_id", "confidence")
 
 
 @query(COARSE + _COARSE_VOTES + "SELECT left_key, right_key, n FROM c")
 def alias_candidates_coarse(spark, root):
-    return R.alias_counts(_coarse(spark, root))
+    return _coarse_counts(spark, root)
 
 
 @query(COARSE + _COARSE_VOTES + "SELECT left_key, right_key, CAST(1 + n % 2 AS BIGINT) votes FROM c")
 def alias_votes_coarse(spark, root):
-    new = R.alias_counts(_coarse(spark, root))
+    _, new = Scratch(spark, "votes").write(_coarse_counts(spark, root))
     stored = new.where(F.col("n") % 2 == 1).select("left_key", "right_key", F.lit(1).alias("votes"))
     return S.alias_votes(stored, new)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from claimlake.plans.scratch import Scratch
 from claimlake.sources.tables import table
 
 
@@ -33,6 +34,19 @@ def facts(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return _pick(table(spark, root, "facts", *wanted), "fact_id", "recorded_at", latest=False)
 
 
+def facts_where(spark: SparkSession, root: str, condition: Column, *columns: str) -> DataFrame:
+    """:func:`facts` that meet ``condition``; a row whose id stands once is judged before it is moved, and moved no further.
+
+    Only rows of ids that repeat are brought together. Hashes of ids tell them, where one too many costs time alone.
+    """
+    wanted = dict.fromkeys(["fact_id", "recorded_at", *columns]) if columns else []
+    rows = table(spark, root, "facts", *wanted).where("fact_id is not null")
+    code = F.xxhash64("fact_id").alias("code")
+    _, again = Scratch(spark, "repeated").write(rows.select(code).groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code"))
+    of = lambda how: rows.select("*", code).join(again, "code", how).drop("code")
+    return of("left_anti").unionByName(_pick(of("left_semi"), "fact_id", "recorded_at", latest=False)).where(condition)
+
+
 def relations(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     """Relations by ``relation_id``, kinds in lower case without outer blanks; rows without a side are left out."""
     wanted = dict.fromkeys(["relation_id", "recorded_at", "left_id", "right_id", "relation", *columns]) if columns else []

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimlake.operators import relate as R
 
@@ -73,3 +74,35 @@ def test_votes_and_promotion_from_counts(spark):
     new = R.alias_counts(spark.createDataFrame(rows, POOL))
     stored = spark.createDataFrame([(KEYS[0], KEYS[1], 1)], "left_key string, right_key string, votes int")
     assert [tuple(r) for r in S.promoted(S.alias_votes(stored, new)).select("left_key", "right_key").collect()] == [(KEYS[0], KEYS[1])]
+
+
+def test_promotion_reads_facts_once_for_all_its_uses(spark):
+    """Votes use the counts twice and counts use the cells many times; what is left to run reads what was counted."""
+    import __spark_entry__ as entry
+
+    files = entry.queries()["alias_promotion_coarse"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("facts.parquet" in f for f in files)
+
+
+def test_facts_judged_early_are_the_facts_that_meet_the_condition(spark, tmp_path):
+    """Also where copies differ: the first arrival decides, and copies of one instant are merged before they are judged."""
+    from claimlake.sources import claims as T
+
+    rows = [("once", 1, 5.0, "INR"), ("once-not", 1, 5.0, "count"), ("first-not", 1, 5.0, "count"), ("first-not", 2, 5.0, "INR"), ("later-not", 1, 5.0, "INR"), ("later-not", 2, 5.0, "count"), ("merged", 1, 0.0, "A"), ("merged", 1, 5.0, "count"), ("merged-in", 1, None, "INR"), ("merged-in", 1, 5.0, "count"), ("merged-in", 1, 7.0, "A"), ("no-unit", 1, 5.0, None), (None, 1, 5.0, "INR"), ("again", 1, 5.0, "INR"), ("again", 3, 5.0, "INR")]
+    spark.createDataFrame(rows, "fact_id string, recorded_at int, value double, unit string").write.parquet(f"{tmp_path}/facts.parquet")
+    condition = "unit <> 'count' and value <> 0"
+    for columns in ([], ["value", "unit"]):
+        got = T.facts_where(spark, str(tmp_path), F.expr(condition), *columns)
+        expected = T.facts(spark, str(tmp_path), *columns).where(condition)
+        assert got.columns == expected.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert {r["fact_id"] for r in got.collect()} >= {"once", "later-not", "again"} and "first-not" not in {r["fact_id"] for r in got.collect()}
+
+
+def test_counts_by_document_and_precision(spark):
+    """Of cells that meet in a document only those pairs are taken off, one wording with itself and values that differ included."""
+    r = random.Random(11)
+    rows = [fact(i, doc_id=f"d{r.randrange(40)}", metric_key=r.choice(KEYS), concept_id=r.choice(["c1", "c2", None]), value=r.choice([100.0, 100.3, -100.0]), precision=r.choice([0.1, 1.0, None])) for i in range(300)]
+    facts = spark.createDataFrame(rows, POOL)
+    expected = Counter(tuple(sorted(keys)) for *keys, _ in bridged(spark, facts).values())
+    got = {(r["left_key"], r["right_key"]): r["n"] for r in R.alias_counts(facts).collect()}
+    assert got == {k: n for k, n in expected.items() if n >= R.ALIAS_VOTES}
