@@ -238,6 +238,8 @@ COUNTED = ["fact_id", "doc_id", "subject_key", "subject_source", "metric_key", "
 #: The columns that name a block of bridges, and the pairs of facts that one task compares before a link is split.
 BRIDGE_BLOCK = ["collection", "k_subject", "k_unit", "k_period", "k_value"]
 LINK_PAIRS = 4_000_000
+#: So many cells of blocks are held by each task (some 100 MB); more of them meet by sorting.
+HELD_CELLS = 1_000_000
 
 
 def usable() -> Column:
@@ -312,24 +314,27 @@ def alias_counts(facts: DataFrame, votes: int = ALIAS_VOTES) -> DataFrame:
     """:func:`alias_candidates` of the bridges of ``facts``, exactly, without making the bridges.
 
     Facts that a bridge cannot tell apart are counted as one cell. Bridges of two wordings are the pairs of their cells of
-    different concepts, less those within one document. Facts are read once: cells of documents and of blocks are written.
+    different concepts, less those within one document. Facts are read once, and what several steps read is written.
     """
     scratch, same = Scratch(facts.sparkSession, "aliases"), ["concept_id", "value", "precision"]
     cell = F.collect_list(F.struct("metric_key", *same, "n")).alias("cells")
-    # the hash goes first, for rows are sorted by it in one comparison; the columns behind it decide
-    place = ["place", "doc_id", *BRIDGE_BLOCK]
-    placed = _bridge_blocks(facts).withColumn("place", F.xxhash64("doc_id", *BRIDGE_BLOCK)).repartition(*place)
-    _, docs = scratch.write(placed.groupBy(*place, "metric_key", *same).agg(F.count("*").alias("n")).groupBy(*place).agg(cell).select(*BRIDGE_BLOCK, "cells"))
+    # hashes go first, for rows are sorted by them in one comparison; the columns behind them decide
+    place, hashed = ["place", "doc_id", *BRIDGE_BLOCK], F.xxhash64(*BRIDGE_BLOCK).alias("hashed")
+    _, placed = scratch.write(_bridge_blocks(facts).select(F.xxhash64("doc_id", *BRIDGE_BLOCK).alias("place"), "doc_id", *BRIDGE_BLOCK, "metric_key", *same))
     # a block has as many cells as its wordings, concepts and precisions give, whatever the number of its facts
-    by_block = docs.select(*BRIDGE_BLOCK, F.inline("cells")).groupBy(*BRIDGE_BLOCK, "metric_key", *same).agg(F.sum("n").alias("n"))
-    _, blocks = scratch.write(by_block.groupBy(F.xxhash64(*BRIDGE_BLOCK).alias("place"), *BRIDGE_BLOCK).agg(cell).select(F.monotonically_increasing_id().alias("block"), "cells"))
+    by_block = placed.groupBy(*BRIDGE_BLOCK, "metric_key", *same).agg(F.count("*").alias("n"))
+    _, blocks, seen = scratch.write_observing(by_block.groupBy(hashed, *BRIDGE_BLOCK).agg(cell).select(F.monotonically_increasing_id().alias("block"), "cells"), n=F.sum(F.size("cells")))
     keys = blocks.select("block", F.explode(F.array_distinct(F.col("cells.metric_key"))).alias("metric_key"))
     _, pairs = scratch.write(bridgeable_keys(keys.select("metric_key").distinct()))
 
-    side = lambda p: blocks.select("block", F.explode("cells").alias(p)).withColumn(f"{p}_key", F.col(f"{p}.metric_key"))
-    links = keys.withColumnRenamed("metric_key", "a_key").join(pairs, "a_key").join(keys.withColumnRenamed("metric_key", "b_key"), ["block", "b_key"])
+    how = "broadcast" if (seen["n"] or 0) <= HELD_CELLS else "merge"
+    side = lambda p: blocks.select("block", F.explode("cells").alias(p)).withColumn(f"{p}_key", F.col(f"{p}.metric_key")).hint(how)
+    links = keys.withColumnRenamed("metric_key", "a_key").join(pairs, "a_key").join(keys.withColumnRenamed("metric_key", "b_key").hint(how), ["block", "b_key"])
     met = links.join(side("a"), ["block", "a_key"]).join(side("b"), ["block", "b_key"])
-    within = docs.where(F.size("cells") > 1).select("cells", F.explode("cells").alias("a")).select("a", F.explode("cells").alias("b"))
+    # most facts are alone with their document in their block
+    _, shared = scratch.write(placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place"))
+    docs = placed.join(shared, "place", "left_semi").groupBy(*place, "metric_key", *same).agg(F.count("*").alias("n")).groupBy(*place).agg(cell)
+    within = docs.select("cells", F.explode("cells").alias("a")).select("a", F.explode("cells").alias("b"))
     within = within.withColumns({"a_key": F.col("a.metric_key"), "b_key": F.col("b.metric_key")}).where("a_key <= b_key").join(pairs, ["a_key", "b_key"])
 
     def paired(of: DataFrame, sign: int) -> DataFrame:

@@ -106,3 +106,13 @@ def test_counts_by_document_and_precision(spark):
     expected = Counter(tuple(sorted(keys)) for *keys, _ in bridged(spark, facts).values())
     got = {(r["left_key"], r["right_key"]): r["n"] for r in R.alias_counts(facts).collect()}
     assert got == {k: n for k, n in expected.items() if n >= R.ALIAS_VOTES}
+
+
+@pytest.mark.parametrize("held", [R.HELD_CELLS, 0])
+def test_counts_of_nothing_and_of_cells_that_meet_by_sorting(spark, mixed, tmp_path, monkeypatch, held):
+    expected = sorted(map(tuple, R.alias_counts(mixed).collect()))
+    monkeypatch.setattr(R, "HELD_CELLS", held)
+    assert sorted(map(tuple, R.alias_counts(mixed).collect())) == expected
+    mixed.write.parquet(f"{tmp_path}/facts")
+    stored = spark.read.parquet(f"{tmp_path}/facts")
+    assert R.alias_counts(mixed.where("false")).count() == R.alias_counts(stored.where("value = 1234567")).count() == 0
