@@ -238,7 +238,7 @@ COUNTED = ["fact_id", "doc_id", "subject_key", "subject_source", "metric_key", "
 #: The columns that name a block of bridges, and the pairs of facts that one task compares before a link is split.
 BRIDGE_BLOCK = ["collection", "k_subject", "k_unit", "k_period", "k_value"]
 LINK_PAIRS = 4_000_000
-#: So many cells of blocks are held by each task (some 100 MB); more of them meet by sorting.
+#: So many cells of blocks are broadcast (an estimated 100 to 200 MB); more of them meet by sorting.
 HELD_CELLS = 1_000_000
 
 
